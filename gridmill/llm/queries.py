@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import langid_cnn, media_audio, quality_rules, secrets
+from gridmill.llm import cross_entropy, html_density, langid_cnn, media_audio, quality_kneser_ney, quality_rules, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_cnn.language_of(_documents(spark, sf_dir))
 
@@ -28,15 +32,26 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_kneser_ney.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("lang",))
+
+
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.digest(media_audio.audio_features(_documents(spark, sf_dir)))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.score_against_trusted(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_audio_features": op8_audio_features,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 _RATES = ", ".join(f"('{k}', {m}, {f})" for k, (m, f) in quality_rules.RATES.items())
