@@ -23,7 +23,7 @@ from gridmill.llm.shared import saved
 TRUSTED_SAMPLE = 20_000
 PRIOR_TOKENS = 200
 QUANTILE = 0.99
-MARGIN = 1.0
+MARGIN = 4.0
 MIN_TRUSTED = 20
 #: Languages beyond the most frequent ones of the trusted sample share its overall threshold.
 MAX_LANGUAGES = 1000

@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import cross_entropy, html_density, langid_cnn, media_audio, quality_kneser_ney, quality_rules, secrets
+from gridmill.llm import cross_entropy, html_density, langid_cnn, media_audio, quality_kneser_ney, quality_rules, secrets, unigram_pieces
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of an installed tokenizer file (never copied here)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +51,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.score_against_trusted(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_pieces.encode(_documents(spark, sf_dir), unigram_pieces.Vocabulary.read(tokenizer_path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
@@ -52,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_audio_features": op8_audio_features,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _RATES = ", ".join(f"('{k}', {m}, {f})" for k, (m, f) in quality_rules.RATES.items())
