@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import cross_entropy, html_density, langid_cnn, media_audio, quality_kneser_ney, quality_rules, secrets, unigram_pieces
+from gridmill.llm import cross_entropy, html_density, langid_cnn, media_audio, near_duplicates, quality_kneser_ney, quality_rules, secrets, unigram_pieces
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +39,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(_documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_kneser_ney.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("lang",))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_audio_features": op8_audio_features,
     "op9_lm_scoring": op9_lm_scoring,
