@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import cross_entropy, html_density, langid_cnn, media_audio, near_duplicates, quality_kneser_ney, quality_rules, secrets, unigram_pieces
+from gridmill.llm import cross_entropy, html_density, langid_cnn, media_audio, near_duplicates, packing, quality_kneser_ney, quality_rules, secrets, unigram_pieces
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,6 +35,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in names], "base_failed", "kept")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_classifier": op7_quality_classifier,

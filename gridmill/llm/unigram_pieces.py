@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.piececache import PieceCache
 from gridmill.llm.textbytes import blocks
 
 MARK = "▁"
@@ -170,12 +171,7 @@ class Codec:
         self.parts = re.compile(rf"(?s).+" if crossing else rf"{lines or '(?!)'}|{MARK}+[^{MARK}{lines}]*|[^{MARK}{lines}]+")
         self.fallback = bool((v.byte_ids >= 0).all())
         self.plain = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
-        self._forget()
-
-    def _forget(self) -> None:
-        """Parts seen so far: their numbers, and their pieces end to end."""
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.cache = PieceCache(self._end_to_end, CACHE)
 
     def marked(self, text: str) -> str:
         return ((MARK if self.vocabulary.prefix else "") + text.replace(" ", MARK)) if text else ""
@@ -252,25 +248,15 @@ class Codec:
             out.append(np.array(ids[::-1], np.int32))
         return out
 
+    def _end_to_end(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.segment(parts)
+        return np.concatenate([*found, np.empty(0, np.int32)]), np.fromiter(map(len, found), np.int64, len(found))
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text)."""
         find = self.parts.findall
         cut = [find(self.marked(t)) for t in texts]
-        if len(self.known) > CACHE:
-            self._forget()
-        known = self.known
-        new = list({p for c in cut for p in c if p not in known})
-        if new:
-            pieces = self.segment(new)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *pieces])
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in pieces])))
-        per_text = np.array([len(c) for c in cut], np.int64)
-        part = np.fromiter((known[p] for c in cut for p in c), np.int64, int(per_text.sum()))
-        start, size = self.ends[part], self.ends[part + 1] - self.ends[part]
-        before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
-        return ids, before[np.concatenate(([0], np.cumsum(per_text)))]
+        return self.cache.encode(cut)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
