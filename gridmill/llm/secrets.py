@@ -137,6 +137,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """``docs`` with secrets blanked out of ``text_col`` and ``length_col`` set to the new length of changed texts."""
     kind = docs.schema
     at = docs.columns.index(text_col)
+    k = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +145,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
             new = [redact(t) for t in old]
             columns = list(batch.columns)
             columns[at] = pa.array(new, columns[at].type)
-            if length_col in docs.columns:
-                k = docs.columns.index(length_col)
+            if k is not None:
                 columns[k] = pa.array([len(n) if n is not o and n != o else was for n, o, was in zip(new, old, columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
