@@ -81,3 +81,31 @@ def overlaps(rows_a: np.ndarray, hash_a: np.ndarray, rows_b: np.ndarray, hash_b:
     shared = np.bincount(ra[hit], weights=np.minimum(ca[hit], cb[at[hit]]), minlength=n)
     total = np.bincount(ra, weights=ca, minlength=n) + np.bincount(rb, weights=cb, minlength=n)
     return shared.astype(np.int64), (total - shared).astype(np.int64)
+
+
+def overlaps_of(starts: np.ndarray, elements: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of minima and maxima for the pairs (x, y) of bags that lie end to end from ``starts``, sorted within each."""
+    shared, total = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    ends = np.cumsum(np.concatenate(([0], counts)))
+    weight = ends[starts[1:]] - ends[starts[:-1]]
+    size = np.diff(starts)
+    at = 0
+    while at < len(x):
+        # Pairs are taken in runs of a bounded number of elements (or one pair).
+        n = int(np.searchsorted(np.cumsum(size[x[at:]] + size[y[at:]]), 2_000_000)) or 1
+        p, q = x[at : at + min(n, 4000)], y[at : at + min(n, 4000)]
+        key, which = [], []
+        for side in (p, q):
+            many = size[side]
+            pair = np.repeat(np.arange(len(side)), many)
+            index = starts[side][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+            key.append((pair.astype(np.uint64) << np.uint64(52)) | elements[index])
+            which.append((pair, index))
+        found = np.searchsorted(key[1], key[0])
+        hit = found < len(key[1])
+        hit[hit] = key[1][found[hit]] == key[0][hit]
+        low = np.minimum(counts[which[0][1][hit]], counts[which[1][1][found[hit]]])
+        shared[at : at + len(p)] = np.bincount(which[0][0][hit], weights=low, minlength=len(p))
+        total[at : at + len(p)] = weight[p] + weight[q]
+        at += len(p)
+    return shared, total - shared

@@ -6,10 +6,10 @@
    bags are one node from here on, so exact copies cost nothing further.
 2. Nodes that share a band key form a bucket.  Each is compared with its bucket's
    least node: links grow with the bucket, not with its square.
-3. Nodes that are not yet connected but share a bucket are compared too: first
-   each with the partner that the sketches rate most similar, then with all
-   partners that the sketches do not rule out.  Large buckets are dealt out in
-   chunks, and only pairs that no link connects so far remain.
+3. Nodes that are not yet connected but share a bucket are compared too, bucket by
+   bucket: the sketches rule out most pairs, likelier ones come first, and pairs that
+   links connect meanwhile are left out.  Large buckets are dealt out in pairs of
+   chunks, so no task holds more than two chunks.
 4. A link is a weighted Jaccard similarity of at least ``SIMILARITY``, computed
    from the two texts' bags.  Connected components of links are the classes.
 
@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 REGISTERS, BANDS, BAND_ROWS = 256, 24, 5
 SKETCH_LEAST = 0.72
 #: Rows of a bucket that are compared with one another at a time.
-CHUNK = 1500
+CHUNK = 1200
 _SIG_BYTES = BANDS * 8 + REGISTERS
 
 
@@ -101,42 +101,60 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, "x long, y long, ok boolean")
 
 
-def _proposed(rows: DataFrame, best_only: bool, keys: list[str]) -> DataFrame:
-    """(x, y) pairs of unconnected rows in one group of ``keys`` that the sketches do not rule out.
+def _links_in_group(cols: dict[str, np.ndarray], texts: pa.Array, similarity: float) -> list[tuple[int, int]]:
+    """Verified links (larger node, smaller node) that connect left with right rows of one bucket.
 
-    ``rows``: key, band, chunk, other, left, right, node, comp, size, sig.  With ``best_only`` the
-    most similar partner of each row; else all pairs of a left with a right row, each
-    pair only in the first bucket that its two rows share.
+    The sketches rule out most pairs.  Each left row's likeliest partner is verified
+    first; then, in order of likeness, all pairs that the links found so far do not
+    connect - each only in the first bucket that its two rows share.
     """
-
-    def group(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        n = len(cols["node"])
-        sig = np.frombuffer(b"".join(cols["sig"]), np.uint8).reshape(n, _SIG_BYTES)
-        sketch, bands = sig[:, BANDS * 8 :], np.ascontiguousarray(sig[:, : BANDS * 8]).view(np.int64)
-        node, comp, size, band = cols["node"], cols["comp"], cols["size"], int(cols["band"][0])
-        lefts, rights = np.flatnonzero(cols["left"]), np.flatnonzero(cols["right"])
-        xs, ys = [], []
-        for a in range(0, len(lefts), 64):
-            i = lefts[a : a + 64]
-            alike = (sketch[i][:, None, :] == sketch[rights][None, :, :]).sum(axis=2) / REGISTERS
-            small, large = np.minimum(size[i][:, None], size[rights]), np.maximum(size[i][:, None], size[rights])
-            alike[(comp[i][:, None] == comp[rights]) | (small < SIMILARITY * large) | (alike < SKETCH_LEAST)] = 0
-            if best_only:
-                j = alike.argmax(axis=1)
-                ok = alike[np.arange(len(i)), j] > 0
-                u, v = i[ok], rights[j[ok]]
-            else:
-                p, q = np.nonzero(alike)
-                u, v = i[p], rights[q]
-                first = ~(bands[u, :band] == bands[v, :band]).any(axis=1) if band else np.ones(len(u), bool)
-                u, v = u[first], v[first]
-            xs.append(np.maximum(node[u], node[v]))
-            ys.append(np.minimum(node[u], node[v]))
-        x, y = np.concatenate([*xs, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*ys, np.empty(0, np.int64)]).astype(np.int64)
-        pairs = np.unique(np.stack((x, y), axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
-        return pairs[:, 0], pairs[:, 1]
-
-    names = ["band", "left", "right", "node", "comp", "size", "sig"]
+    n = len(cols["node"])
+    sig = np.frombuffer(b"".join(cols["sig"]), np.uint8).reshape(n, _SIG_BYTES)
+    sketch, bands = sig[:, BANDS * 8 :], np.ascontiguousarray(sig[:, : BANDS * 8]).view(np.int64)
+    node, size, band = cols["node"], cols["size"], int(cols["band"][0])
+    label = np.unique(cols["comp"], return_inverse=True)[1]
+    lefts, rights = np.flatnonzero(cols["left"]), np.flatnonzero(cols["right"])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(lefts), 32):
+        i = lefts[a : a + 32]
+        alike = (sketch[i][:, None, :] == sketch[rights][None, :, :]).mean(axis=2, dtype=np.float32)
+        small, large = np.minimum(size[i][:, None], size[rights]), np.maximum(size[i][:, None], size[rights])
+        p, q = np.nonzero((alike >= SKETCH_LEAST) & (label[i][:, None] != label[rights]) & (small >= similarity * large))
+        found.append((i[p], rights[q], alike[p, q]))
+    u, v, alike = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    if not len(u):
+        return []
+    row, element, count = bags(*shingles(*utf8_buffers(texts), WIDTH))
+    starts = np.searchsorted(row, np.arange(n + 1))
+    order = np.argsort(-alike, kind="stable")
+    u, v = u[order], v[order]
+    links: list[tuple[int, int]] = []
+
+    def verify(x: np.ndarray, y: np.ndarray) -> None:
+        shared, total = bagminhash.overlaps_of(starts, element, count, x, y)
+        for k in np.flatnonzero(shared >= similarity * total - 1e-9):
+            if label[x[k]] != label[y[k]]:
+                links.append((int(max(node[x[k]], node[y[k]])), int(min(node[x[k]], node[y[k]]))))
+                label[label == label[x[k]]] = label[y[k]]
+
+    best = np.unique(u, return_index=True)[1]
+    verify(u[best], v[best])
+    rest = np.ones(len(u), bool)
+    rest[best] = False
+    if band:
+        rest[rest] = ~(bands[u[rest], :band] == bands[v[rest], :band]).any(axis=1)
+    u, v = u[rest], v[rest]
+    while len(u):
+        verify(u[:1000], v[:1000])
+        u, v = u[1000:], v[1000:]
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return links
+
+
+def _links(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """(x, y) links of all groups of ``keys``; rows: keys, band, left, right, node, comp, size, sig, text."""
+    names = ["band", "left", "right", "node", "comp", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -152,11 +170,11 @@ def _proposed(rows: DataFrame, best_only: bool, keys: list[str]) -> DataFrame:
                 cuts.pop()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = table.slice(a, b - a)
-                x, y = group({k: np.array(part[k].to_pylist(), object) if k == "sig" else part[k].to_numpy() for k in names})
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+                cols = {k: part[k].to_numpy() for k in names} | {"sig": part["sig"].to_pylist()}
+                if links := _links_in_group(cols, part["text"].combine_chunks(), similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *names).mapInArrow(run, "x long, y long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *names, "sig", "text").mapInArrow(run, "x long, y long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -190,26 +208,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     tested = saved(_verified(members.filter("node != hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct(), texts, similarity))
     found = stars(tested.filter("ok"))
 
-    for best_only in (True, False):
-        now = _labelled(members, found)
-        mixed = saved(now.groupBy("key").agg(F.min(F.struct("node", "comp"))["comp"].alias("hub_comp"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high"))
-        rest = now.join(mixed.select("key", "hub_comp"), "key").join(nodes.select("node", "size", "sig"), "node")
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        rest = rest.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-        if best_only:
-            rest, keys = rest.withColumn("left", F.lit(True)).withColumn("right", F.lit(True)), ["key", "chunk"]
-        else:
-            # A pair of chunks is a group: left rows of the one (those outside the least node's component), all rows of the other.
-            each = F.sequence(F.lit(0), chunks - 1)
-            outside = F.col("comp") != F.col("hub_comp")
-            as_left = rest.filter(outside & (chunks > 1)).withColumn("other", F.explode(each)).withColumn("left", F.lit(True)).withColumn("right", F.lit(False))
-            as_right = rest.filter(chunks > 1).withColumn("other", F.col("chunk")).withColumn("chunk", F.explode(each)).withColumn("left", F.lit(False)).withColumn("right", F.lit(True))
-            alone = rest.filter(chunks == 1).withColumn("other", F.lit(0)).withColumn("left", outside).withColumn("right", F.lit(True))
-            rest, keys = as_left.unionByName(as_right).unionByName(alone), ["key", "chunk", "other"]
-        fresh = _proposed(rest, best_only, keys).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
-        more = saved(_verified(fresh, texts, similarity))
-        tested = tested.unionByName(more)
-        found = stars(found.unionByName(more.filter("ok").select("x", "y")))
+    # In buckets that the links leave in several parts: all rows outside the least node's part against all others.
+    now = _labelled(members, found)
+    mixed = saved(now.groupBy("key").agg(F.min(F.struct("node", "comp"))["comp"].alias("hub_comp"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high"))
+    rest = now.join(mixed.select("key", "hub_comp"), "key").withColumn("left", F.col("comp") != F.col("hub_comp"))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    each = F.sequence(F.lit(0), chunks - 1)
+    alone = rest.filter(chunks == 1).withColumn("other", F.lit(0)).withColumn("right", F.lit(True))
+    # A pair of chunks of a large bucket is a group: left rows of the one, all rows of the other.
+    as_left = rest.filter((chunks > 1) & F.col("left")).withColumn("other", F.explode(each)).withColumn("right", F.lit(False))
+    as_right = rest.filter(chunks > 1).withColumn("other", F.col("chunk")).withColumn("chunk", F.explode(each)).withColumn("left", F.lit(False)).withColumn("right", F.lit(True))
+    dealt = alone.unionByName(as_left).unionByName(as_right).join(nodes.select("node", "size", "sig").join(texts, "node"), "node")
+    more = saved(_links(dealt, ["key", "chunk", "other"], similarity))
+    found = stars(found.unionByName(more))
 
     comp = _labelled(nodes.select("node", "hi", "lo", "first_id"), found)
     least = saved(comp.groupBy("comp").agg(F.min("first_id").alias("class_id")))
