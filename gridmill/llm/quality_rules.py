@@ -144,27 +144,30 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``quality`` (counts), ``base_failed`` and ``kept``.
+    """``docs`` with ``quality`` (counts), ``base_failed`` and ``kept``, which replace columns of these names.
 
     The thresholds are made first and written to the shared checkpoint folder, so
     their size is known before the join: small tables are broadcast, others joined
     by a salted key.  Without the text the counts are written too and the texts
     are read once; with it they are counted again rather than copied.
     """
-    counted = with_counts(docs, text_col)
+    # The row travels as one struct, so that no column of ``docs`` can clash with those made here.
+    rest = [c for c in docs.columns if keep_text or c != text_col]
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    counted = with_counts(inner).drop("text")
     if not keep_text:
-        counted = saved(counted.drop(text_col))
-    made = thresholds(sketches(counted, lang_col, source_col)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+        counted = saved(counted)
+    made = thresholds(sketches(counted)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     made = saved(made)
-    on = F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source"))
+    on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     if made.count() <= BROADCAST_ROWS:
         joined = counted.join(F.broadcast(made), on, "left")
     else:
         salted = made.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         key = F.pmod(F.hash(*[F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_lines")]), F.lit(SALTS))
-        joined = counted.withColumn("_key", key).join(salted, on & (F.col("_key") == F.col("_salt")), "left").drop("_key", "_salt")
+        joined = counted.withColumn("_key", key).join(salted, on & (F.col("_key") == F.col("_salt")), "left")
     good = ~base_failed()
     for name, value in rates().items():
         good = good & (value <= F.coalesce(F.col(f"most_{name}"), F.lit(2**62)))
-    out = joined.withColumn("base_failed", base_failed()).withColumn("kept", good)
-    return out.drop("_lang", "_source", *[f"most_{r}" for r in RATES])
+    made_here = ("quality", "base_failed", "kept")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in rest if c not in made_here], "quality", base_failed().alias("base_failed"), good.alias("kept"))
