@@ -16,6 +16,7 @@ end token.  Repeated rows are packed as often as they occur.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.piececache import PieceCache
-from gridmill.llm.textbytes import blocks
+from gridmill.llm.piececache import HashedCache, PieceCache
+from gridmill.llm.textbytes import blocks, word_hashes
 
 WINDOW = 2048
 END_ID = 1
@@ -39,8 +40,52 @@ K1, B = 1.2, 0.75
 CACHE_WORDS = 600_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Fixed pattern: how the vocabulary's tokenizer splits lower-case text, for the characters below U+0100.
-_LATIN_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+_SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
+
+
+def _latin_tables() -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """For the characters below U+0100: lower case, kind, and the sign that the byte-level vocabulary writes a byte as."""
+    chars = [chr(i) for i in range(256)]
+    lower = np.array([ord(c.lower()) for c in chars], np.uint8)
+    kind = np.full(256, _SYMBOL, np.uint8)
+    for i, c in enumerate(chars):
+        category = unicodedata.category(c)
+        if c in "\t\n\x0b\x0c\r \x85\xa0":
+            kind[i] = _SPACE
+        elif category[0] in "LN":
+            kind[i] = _LETTER if category[0] == "L" else _DIGIT
+    shown = [i for i in range(256) if chr(i).isprintable() and not chr(i).isspace() and i != 0xAD]
+    hidden = [i for i in range(256) if i not in shown]
+    return lower, kind, {i: chr(i) for i in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LOWER, _KIND, _SIGNS = _latin_tables()
+
+
+def latin_parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the parts that the tokenizer cuts lower-case Latin-1 text into.
+
+    Parts are runs of letters, single digits, and runs of other signs; an apostrophe that
+    starts a run of signs takes a following s, t, m, d, re, ve or ll with it.
+    """
+    kind = np.concatenate((_KIND[data], np.zeros(3, np.uint8)))
+    padded = np.concatenate((data, np.zeros(3, np.uint8)))
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    edge = (kind != before) | (kind == _DIGIT)
+    at = np.flatnonzero(padded[:-3] == ord("'"))
+    at = at[(before[at] != _SYMBOL) & (kind[at + 1] == _LETTER)]
+    if len(at):
+        one, two = padded[at + 1], padded[at + 2]
+        single = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        edge[at[single | double] + 1] = False
+        after = np.concatenate((at[single] + 2, at[double] + 3))
+        edge[after[kind[after] == _LETTER]] = True
+    places = np.flatnonzero(edge)
+    inside = np.flatnonzero(kind[places] != _SPACE)
+    return places[inside], places[inside + 1]
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -48,9 +93,9 @@ _ARROW = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_
 class Tokens:
     """Ids of whole texts, of which each distinct part is tokenized once.
 
-    Texts of characters below U+0100 are lower-cased and cut as the tokenizer itself
-    does (composition changes nothing there); others are cut at white space, which no
-    token reaches across.
+    Texts of characters below U+0100 are lower-cased and cut here as the tokenizer does
+    (composition changes nothing there), and its model is asked for each new part;
+    other texts are cut at white space, which no token reaches across.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,24 +105,46 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache = PieceCache(self._segment, CACHE_WORDS)
+        self.model = self.tokenizer.model
+        self.latin, self.other = HashedCache(self._segment_latin, CACHE_WORDS), PieceCache(self._segment, CACHE_WORDS)
 
     def _segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return self._end_to_end([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+    def _segment_latin(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # A part's UTF-8 bytes, each written as its sign, are what the byte-level model takes.
+        signs = [p.decode("latin-1").encode().decode("latin-1").translate(_SIGNS) for p in parts]
+        return self._end_to_end([[t.id for t in self.model.tokenize(s)] for s in signs])
+
+    @staticmethod
+    def _end_to_end(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids, offsets = self.cache.encode([self._cut(t) for t in texts])
-        return np.split(ids, offsets[1:-1]) if len(texts) else []
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return _WORD.findall(text)
-        return _LATIN_PART.findall(text.lower())
+        out: list[np.ndarray | None] = [None] * len(texts)
+        latin: list[int] = []
+        raw: list[bytes] = []
+        for i, t in enumerate(texts):
+            try:
+                raw.append(t.encode("latin-1"))
+                latin.append(i)
+            except UnicodeEncodeError:
+                pass
+        if latin:
+            data = _LOWER[np.frombuffer(b" ".join(raw), np.uint8)]
+            begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+            starts, ends = latin_parts(data)
+            per_text = np.diff(np.searchsorted(starts, begin))
+            ids, offsets = self.latin.encode(data, starts, ends, word_hashes(data, starts, ends), per_text)
+            for i, part in zip(latin, np.split(ids, offsets[1:-1]), strict=True):
+                out[i] = part
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            ids, offsets = self.other.encode([_WORD.findall(texts[i]) for i in rest])
+            for i, part in zip(rest, np.split(ids, offsets[1:-1]), strict=True):
+                out[i] = part
+        return out
 
 
 _tokens: dict[str, Tokens] = {}
@@ -213,7 +280,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_ARROW)
 
         for batch in batches:
-            for a, b in blocks(batch.column(1), 1 << 20):
+            for a, b in blocks(batch.column(1), 2 << 20):
                 part = batch.slice(a, b - a)
                 for doc_id, found in zip(part.column(0).to_pylist(), coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     if block and (held + len(found) > BLOCK_TOKENS or len(block) >= BLOCK_DOCS):

@@ -12,32 +12,74 @@ from itertools import chain
 import numpy as np
 
 
+class PieceStore:
+    """Ids of numbered parts, end to end, in arrays that grow by doubling."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends, self.n = np.empty(1024, np.int32), np.zeros(1024, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Further parts: their ids end to end, and how many each has."""
+        used = int(self.ends[self.n])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(len(self.flat), np.int32)))
+        while self.n + len(sizes) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros(len(self.ends), np.int64)))
+        self.flat[used : used + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def gather(self, parts: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, offsets by text) of part numbers, ``per_text`` of which belong to each text."""
+        start = self.ends[parts]
+        size = self.ends[parts + 1] - start
+        before = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        return ids, before[np.concatenate(([0], np.cumsum(per_text)))]
+
+
 class PieceCache:
+    """Parts as strings."""
+
     def __init__(self, segment: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
         """``segment`` gives the ids of parts end to end and how many each has; ``most`` parts are remembered before all are forgotten."""
         self.segment, self.most = segment, most
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.store = PieceStore()
 
     def encode(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, offsets by text) of texts cut into parts."""
         if len(self.known) > self.most:
-            self._forget()
+            self.known, self.store = {}, PieceStore()
         known, parts = self.known, list(chain.from_iterable(cut))
         numbers = list(map(known.get, parts))
         if None in numbers:
             new = list(dict.fromkeys(p for p, k in zip(parts, numbers, strict=True) if k is None))
-            ids, sizes = self.segment(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.flat = np.concatenate((self.flat, ids))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+            self.store.add(*self.segment(new))
             numbers = list(map(known.__getitem__, parts))
-        per_text = np.fromiter(map(len, cut), np.int64, len(cut))
-        part = np.array(numbers, np.int64)
-        start, size = self.ends[part], self.ends[part + 1] - self.ends[part]
-        before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
-        return ids, before[np.concatenate(([0], np.cumsum(per_text)))]
+        return self.store.gather(np.array(numbers, np.int64), np.fromiter(map(len, cut), np.int64, len(cut)))
+
+
+class HashedCache:
+    """Parts as slices of bytes, known by 64-bit hashes, so that only distinct parts of a block become Python objects."""
+
+    def __init__(self, segment: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
+        self.segment, self.most = segment, most
+        self.known: dict[int, int] = {}
+        self.store = PieceStore()
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > self.most:
+            self.known, self.store = {}, PieceStore()
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        numbers = list(map(self.known.get, keys))
+        new = [i for i, k in enumerate(numbers) if k is None]
+        if new:
+            raw = data.tobytes()
+            at = first[new]
+            self.store.add(*self.segment([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            for i in new:
+                numbers[i] = self.known[keys[i]] = len(self.known)
+        return self.store.gather(np.array(numbers, np.int64)[inverse], per_text)
