@@ -48,12 +48,15 @@ FURNITURE = frozenset(
 )
 _HEADER = frozenset("header pageheader siteheader".split())
 
+# Possessive throughout: a tag that does not close is given up at once.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<attrs2>[^>]*+)>)",
     re.S,
 )
+#: Elements nested deeper than this are not opened (as in browsers); their text counts for the element around them.
+MAX_DEPTH = 400
+_BROKEN = re.compile(r"<[!/?a-zA-Z]")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?<=\s)(hidden)(?=[\s/]|$)""")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -79,22 +82,23 @@ class Page:
     """A parsed page: parallel lists over nodes, and the texts and block edges in page order."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.cut = ["#root"], [-1], [False]
+        self.tag, self.parent, self.cut, self.in_article = ["#root"], [-1], [False], [False]
         self.parts: list[tuple[int, str | None]] = []  # (node, text); None: an edge between blocks
         stack = [0]
         at, end = 0, len(source)
+        last = source.rfind(">")
         while at < end:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                self._text(stack[-1], source[at:])
+            m = _TOKEN.search(source, at) if at <= last else None
+            if m is None:  # what is left has no whole tag; a tag or comment that the page breaks off is not text
+                self._text(stack[-1], _BROKEN.split(source[at:], maxsplit=1)[0])
                 break
             if m.start() > at:
                 self._text(stack[-1], source[at : m.start()])
             at = m.end()
-            name = (m["name"] or m["name2"] or "").lower()
+            name = (m["name"] or "").lower()
             if not name:
                 continue
-            if m["close"] or m["close2"]:
+            if m["close"]:
                 self._close(stack, name)
                 continue
             attrs = m["attrs"] or m["attrs2"] or ""
@@ -102,7 +106,7 @@ class Page:
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = close.end() if close else end
-            elif name not in VOID and not attrs.endswith("/"):
+            elif name not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH:
                 stack.append(node)
 
     def _text(self, node: int, text: str) -> None:
@@ -119,11 +123,12 @@ class Page:
             self.parts.append((up, None))
         elif name == "br":
             self.parts.append((up, " "))
-        in_article = any(self.tag[i] in ("article", "main") for i in stack)
+        in_article = self.in_article[up]
         gone = self.cut[up] or name in CUT or (name == "header" and not in_article) or (name not in ("html", "body", "article", "main") and _is_furniture(attrs, in_article))
         self.tag.append(name)
         self.parent.append(up)
         self.cut.append(gone)
+        self.in_article.append(in_article or name in ("article", "main"))
         return len(self.tag) - 1
 
     def _close_within(self, stack: list[int], names: set[str], until: set[str]) -> None:

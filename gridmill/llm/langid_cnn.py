@@ -48,10 +48,6 @@ class ByteCNN:
     out: np.ndarray
     out_bias: np.ndarray
 
-    def tables(self) -> list[np.ndarray]:
-        """For each width, byte -> contribution at each place of the filter; convolution becomes sums of look-ups."""
-        return [np.stack([self.embed @ f[k * EMBED : (k + 1) * EMBED] for k in range(w)]).astype(np.float32) for w, f in zip(WIDTHS, self.filters, strict=True)]
-
     def pooled(self, windows: np.ndarray) -> np.ndarray:
         """n x (widths * FILTERS) maxima over the places of each window (n x WINDOW bytes)."""
         x = self.embed.astype(np.float32)[windows].reshape(len(windows), -1)
@@ -64,6 +60,8 @@ class ByteCNN:
         return np.concatenate(parts, axis=1)
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
+        if not self.langs:
+            return np.zeros((len(windows), 1))
         z = self.pooled(windows) @ self.out + self.out_bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)

@@ -237,10 +237,12 @@ def _band_keys() -> Column:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class: the one with the least id (of equal rows, one); documents without words all stay."""
+    """One document of each class: the one with the least id; documents without words all stay.  Ids name documents: of rows with one id, one stays."""
     marked = classes(docs, id_col, text_col, similarity)
     chosen = saved(marked.filter(F.col("hi").isNotNull()).groupBy("class_id").agg(F.min("doc_id").alias("doc_id")))
-    chosen = chosen.select(F.col("doc_id").alias("_chosen"))
     has_word = F.coalesce(F.regexp_like(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
-    with_words = docs.filter(has_word).join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen"))).drop("_chosen")
-    return with_words.dropDuplicates([id_col]).unionByName(docs.filter(~has_word))
+    # The row travels as one struct, so that no column of ``docs`` can clash with those made here.
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), has_word.alias("has_word"))
+    with_words = inner.filter("has_word").join(chosen, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["id"])
+    kept = with_words.unionByName(inner.filter(~F.col("has_word")))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
