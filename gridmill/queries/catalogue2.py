@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions import scalar, text
-from gridmill.operators import focal, frames, grid, regress, vector
+from gridmill.operators import focal, frames, grid, pyramid, regress, vector
 from gridmill.plans import formula
 from gridmill.queries.catalogue import ORACLE_SQL, QUERIES, _rounded, _t, embedding_grid, events_grid, line_zones, orders_grid, part_grid, query
 from gridmill.sources import cells as src
@@ -385,3 +385,64 @@ def daily_zonal_sums(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT zone, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM rb GROUP BY zone")
 def embedding_zone_stats(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_grid(spark, sf).groupBy("zone").agg(F.round(F.avg(F.col("value").cast("double")), 6).alias("mean"), F.round(F.stddev_pop(F.col("value").cast("double")), 6).alias("std"))
+
+
+# --- pyramids and more ---------------------------------------------------------------------------
+
+
+@query("SELECT CAST(k AS INTEGER) AS level, \"row\" // k AS \"row\", col // k AS col, round(avg(value), 6) AS value FROM rp, (VALUES (2), (4)) AS l(k) GROUP BY ALL")
+def overviews(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(pyramid.overviews(part_grid(spark, sf), (2, 4)), 6, "value")
+
+
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY b, t) AS pyramid_id FROM (SELECT p_partkey, dense_rank() OVER (ORDER BY translate(p_brand, '_', '%'), p_brand) AS b, dense_rank() OVER (ORDER BY translate(p_type, '_', '%'), p_type) AS t FROM part)")
+def composite_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return pyramid.composite_ids(_t(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"]).select("p_partkey", F.col("pyramid_id").cast("long").alias("pyramid_id"))
+
+
+@query("SELECT a.r + 50 AS \"row\", b.c + 170 AS col, CASE WHEN size = 5 THEN 55 WHEN size BETWEEN 3 AND 60 THEN size END AS value FROM range(40) a(r), range(50) b(c) JOIN rp ON \"row\" = r AND col = c".replace("THEN 55", "THEN 55.0::DOUBLE").replace("THEN size END", "THEN CAST(size AS DOUBLE) END"))
+def to_standard_frame(spark: SparkSession, sf: str) -> DataFrame:
+    cells = part_grid(spark, sf).filter("row < 40").select("row", "col", F.col("size").cast("double").alias("value"))
+    out, _ = pyramid.to_standard(spark, cells, grid.Frame(-10, 40, 1, 1, 40, 50), {5: 55.0}, 3, 60)
+    return out.select("row", "col", "value")
+
+
+@query("SELECT n_regionkey, count(*) AS n, min(n_nationkey) AS minx, max(n_nationkey) AS maxx, min(length(n_name)) AS miny, max(length(n_name)) AS maxy FROM nation GROUP BY n_regionkey".replace("min(length(n_name))", "CAST(min(length(n_name)) AS INTEGER)").replace("max(length(n_name))", "CAST(max(length(n_name)) AS INTEGER)"))
+def dissolve_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    n = _t(spark, sf, "nation")
+    x, y = F.col("n_nationkey"), F.length("n_name")
+    return pyramid.dissolve(n, "n_regionkey", {"minx": x, "maxx": x, "miny": y, "maxy": y})
+
+
+@query("SELECT event_type AS zone, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value > 90) GROUP BY 1")
+def semi_join_clip(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events")
+    return e.join(e.filter("value > 90").select("user_id").distinct(), "user_id", "left_semi").groupBy(F.col("event_type").alias("zone")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "customer").select("c_custkey").join(_t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT \"row\", col, round(100 * value / sum(value) OVER (PARTITION BY \"row\"), 6) AS share FROM rp")
+def row_shares(spark: SparkSession, sf: str) -> DataFrame:
+    p = part_grid(spark, sf)
+    weights = p.groupBy("row").agg(F.sum("value").alias("w"))
+    return p.join(weights, "row").select("row", "col", F.round(100 * F.col("value") / F.col("w"), 6).alias("share"))
+
+
+@query("SELECT block * 1024 AS first_row, count(*) AS n FROM (SELECT DISTINCT \"row\" // 1024 AS block FROM rp) GROUP BY 1".replace("count(*) AS n", "CAST(1 AS BIGINT) AS n"))
+def npy_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return src.write_npy(part_grid(spark, sf), 50).groupBy("first_row").agg(F.count("content").alias("n"))
+
+
+@query("SELECT page_id, regexp_replace(url, '\\.[^./]*$', '') || '.html' AS other, regexp_matches(url, '[/\\\\]|\\.[A-Za-z0-9]{1,8}$') AS is_path FROM pages")
+def path_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").select("page_id", text.replace_ext(F.col("url"), ".html").alias("other"), text.looks_like_path(F.col("url")).alias("is_path"))
+
+
+@query("SELECT n_nationkey, regexp_extract(n_name, 'N(.*?)_', 1) AS middle, n_name LIKE '%1%' OR n_name LIKE '%2%' AS hit FROM nation")
+def strings_between(spark: SparkSession, sf: str) -> DataFrame:
+    found = text.strings_between(F.col("n_name"), "N", "_")
+    return _t(spark, sf, "nation").select("n_nationkey", F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("middle"), (F.col("n_name").contains("1") | F.col("n_name").contains("2")).alias("hit"))

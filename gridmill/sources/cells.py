@@ -178,3 +178,18 @@ def write_tiled(df: DataFrame, path: str, tile: int = 512) -> None:
 
 def read_tiled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("tile_row")
+
+
+def write_npy(df: DataFrame, n_cols: int, rows_per_block: int = 1024) -> DataFrame:
+    """(first_row, content): the grid as .npy arrays of blocks of rows, missing cells NaN; write the rows with any binary sink."""
+
+    def encode(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * rows_per_block
+        block = np.full((int(frame["row"].max()) - first + 1, n_cols), np.nan)
+        block[frame["row"].to_numpy() - first, frame["col"].to_numpy()] = frame["value"].to_numpy()
+        out = io.BytesIO()
+        np.save(out, block)
+        return pd.DataFrame({"first_row": [first], "content": [out.getvalue()]})
+
+    cells = df.select("row", "col", F.col("value").cast("double").alias("value"))
+    return cells.groupBy(F.floor(F.col("row") / rows_per_block).alias("block")).applyInPandas(encode, "first_row long, content binary")

@@ -13,7 +13,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def windowed_sums(events: DataFrame, zone: str, value: str, ts: str = "ts", width: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """(window start, zone, sums, counts); works on streams (with a watermark) and on tables."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    # A watermark needs a time with a zone; on a table the column is taken as it is.
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     at = F.window(ts, width, slide) if slide else F.window(ts, width)
     out = rows.groupBy(at.alias("_w"), F.col(zone).alias("zone")).agg(F.sum(value).alias("sums"), F.count(value).alias("counts"))
     return out.select(F.col("_w.start").alias("window_start"), "zone", "sums", "counts")
