@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.checkpoints import saved
+from gridmill.operators.components import stars
 from gridmill.operators.grid import Frame
 
 
@@ -75,37 +77,15 @@ def regions(cells: DataFrame) -> DataFrame:
     Labels spread along region edges and are then replaced by their labels' labels,
     so the number of rounds grows with the logarithm of a region's extent, not with the extent.
     """
-    from gridmill.checkpoints import saved
-
     wide = 1 << 31
     named = saved(cells.filter("value is not null").select("row", "col", "value", (F.col("row") * wide + F.col("col")).alias("id")))
     right = named.select(F.col("row"), (F.col("col") + 1).alias("col"), "value", F.col("id").alias("other"))
     down = named.select((F.col("row") + 1).alias("row"), F.col("col"), "value", F.col("id").alias("other"))
     edges = saved(named.select("row", "col", "value", "id").join(right.union(down), ["row", "col", "value"]).select(F.col("id").alias("x"), F.col("other").alias("y")))
-    roots = components(edges)
+    roots = stars(edges)
     return named.join(roots.withColumnRenamed("x", "id"), "id", "left").select("row", "col", "value", F.coalesce("y", "id").alias("region"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(x, y): nodes with the least node of their connected component (itself left out)."""
-    from gridmill.checkpoints import saved
-
-    now = saved(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).filter("x != y").distinct())
-    mark = None
-    while True:
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("x", "y")).alias("h")).first()
-        if not row["n"] or (row["n"], row["h"]) == mark:
-            return now
-        mark = (row["n"], row["h"])
-        both = now.union(now.select(F.col("y"), F.col("x")))
-        least = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x != y").distinct()
-        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-        low = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(low, "x").filter("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        now = saved(small.union(low.select("x", F.col("m").alias("y"))).filter("x != y").distinct())
-
-
 def region_boxes(cells: DataFrame) -> DataFrame:
     """One row a connected region: its value, size and extent in cells."""
     return regions(cells).groupBy("region", "value").agg(F.count(F.lit(1)).alias("n_cells"), F.min("row").alias("min_row"), F.min("col").alias("min_col"), F.max("row").alias("max_row"), F.max("col").alias("max_col"))
@@ -113,10 +93,8 @@ def region_boxes(cells: DataFrame) -> DataFrame:
 
 def disjoint_sets(features: DataFrame, key: str, size: float, wkt: str = "wkt") -> DataFrame:
     """(key, set): features in sets without overlapping boxes; greedy by degree within connected groups, each group in one task."""
-    from gridmill.checkpoints import saved
-
     pairs = saved(touching_boxes(features, key, size, wkt))
-    roots = components(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    roots = stars(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
     group = pairs.join(roots.withColumnRenamed("x", "b").withColumnRenamed("y", "root"), "b")
 
     def colour(frames: pd.DataFrame) -> pd.DataFrame:
