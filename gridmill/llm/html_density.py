@@ -46,6 +46,7 @@ FURNITURE = frozenset(
     "commentlist disqus discussion reply replies respond share sharing social related recommended recommendations pagination pager search widget skip hidden contentinfo "
     "complementary tracking popular trending copyright legal".split()
 )
+_ABOUT = frozenset("no with without has".split())
 _HEADER = frozenset("header pageheader siteheader".split())
 
 # Possessive throughout: a tag that does not close is given up at once.
@@ -70,7 +71,9 @@ def _is_furniture(attrs: str, in_article: bool) -> bool:
             return True
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
-            words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
+            found = _WORDS.findall(_CAMEL.sub(" ", value).lower())
+            # "no-sidebar", "with-comments" and the like describe what is around.
+            words = {w for before, w in zip(["", *found], found, strict=False) if before not in _ABOUT}
             if words & FURNITURE or (not in_article and words & _HEADER):
                 return True
         elif key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):

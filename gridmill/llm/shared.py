@@ -1,20 +1,5 @@
 """The folder that driver and executors share."""
 
-from __future__ import annotations
+from gridmill.checkpoints import ensure_checkpoint_dir, saved
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests on one machine)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder, without its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["ensure_checkpoint_dir", "saved"]

@@ -523,3 +523,14 @@ def test_pipeline(spark, tmp_path):
     assert all(len(t) == n for t, n in zip(fourth["text"], fourth["n_chars"], strict=True))
     check_pieces(kept["packing"], list(zip(fourth["doc_id"], fourth["text"], strict=True)))
     assert rows(corpus_pipeline.run(spark, FOLDER).select("doc_id", "doc_tokens").distinct().toPandas()) == rows(kept["packing"][["doc_id", "doc_tokens"]].drop_duplicates())
+
+
+def test_page_layouts():
+    body = "Some sentences that make up the article, one after the other. " * 4
+    pages = {
+        f'<div class="wrap with-sidebar"><div class="post"><h2>Head</h2><p>{body}</p><p>Short.</p></div><div class="sidebar"><ul><li><a href=a>one</a><li><a href=b>two</a></ul></div></div>': ["Head", body.strip(), "Short."],
+        f'<main><p>{body}</p><aside>Notice</aside><blockquote>Quoted</blockquote><table><tr><td>1</td><td>2</td></tr></table></main><div id="comments"><p>{body}</p><p>{body}</p></div>': [body.strip(), "Quoted", "1", "2"],
+        f'<div role="navigation">Menu</div><section><p>{body}</p><p style="display:none">no</p><p hidden>no</p></section>': [body.strip()],
+    }
+    for page, want in pages.items():
+        assert html_density.main_text(f"<html><body>{page}</body></html>").split("\n\n") == want
