@@ -83,3 +83,24 @@ def design(df: DataFrame, formula: Formula | str, ndv: float | None = None, stri
         df = df.filter((F.col("row") % stride == 0) & (F.col("col") % stride == 0))
     out = df.select(F.col(f.dependent).cast("double").alias("y"), *[t.cast("double").alias(n) for n, t in f.terms.items()])
     return out.dropna()
+
+
+def dummies(df: DataFrame, column: str, most: int = 200) -> tuple[DataFrame, list[str]]:
+    """``df`` with a 0/1 column for each distinct value, of which there may be at most ``most``."""
+    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    made = {f"{column}_{v}": (F.col(column) == v).cast("int") for v in values}
+    return df.withColumns(made), list(made)
+
+
+def transforms(df: DataFrame, column: str, kinds: tuple[str, ...] = ("square", "cube", "log")) -> DataFrame:
+    """Powers 2 to 5 (square, cube, quad, quint), log and log10 of a column; logarithms of what is not positive are NULL."""
+    powers = {"square": 2, "cube": 3, "quad": 4, "quint": 5}
+    x = F.col(column).cast("double")
+    logs = {"log": F.when(x > 0, F.ln(x)), "log10": F.when(x > 0, F.log10(x))}
+    return df.withColumns({f"{column}_{k}": F.pow(x, F.lit(powers[k])) if k in powers else logs[k] for k in kinds})
+
+
+def interaction(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.withColumn(f"{a}_x_{b}", F.col(a) * F.col(b))

@@ -10,7 +10,7 @@ from gridmill.operators import focal, frames, grid, pyramid, regress, vector
 from gridmill.plans import formula
 from gridmill.queries.catalogue import ORACLE_SQL, QUERIES, _rounded, _t, embedding_grid, events_grid, line_zones, orders_grid, part_grid, query
 from gridmill.sources import cells as src
-from gridmill.sources import tables
+from gridmill.sources import features, metadata, tables
 from gridmill.streaming import windows
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -446,3 +446,37 @@ def path_edits(spark: SparkSession, sf: str) -> DataFrame:
 def strings_between(spark: SparkSession, sf: str) -> DataFrame:
     found = text.strings_between(F.col("n_name"), "N", "_")
     return _t(spark, sf, "nation").select("n_nationkey", F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("middle"), (F.col("n_name").contains("1") | F.col("n_name").contains("2")).alias("hit"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) ** 2 AS p_size_square, CAST(p_size AS DOUBLE) ** 3 AS p_size_cube, round(CASE WHEN p_size > 0 THEN log10(p_size) END, 9) AS p_size_log10 FROM part")
+def variable_transforms(spark: SparkSession, sf: str) -> DataFrame:
+    out = formula.transforms(_t(spark, sf, "part").select("p_partkey", "p_size"), "p_size", ("square", "cube", "log10"))
+    return _rounded(out.drop("p_size"), 9, "p_size_log10")
+
+
+@query("SELECT c_custkey, CAST(c_mktsegment = (SELECT min(c_mktsegment) FROM customer) AS INTEGER) AS first_segment FROM customer")
+def dummy_variables(spark: SparkSession, sf: str) -> DataFrame:
+    out, names = formula.dummies(_t(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
+    return out.select("c_custkey", F.col(names[0]).alias("first_segment"))
+
+
+@query("SELECT 6 AS n, 0 AS x".replace("SELECT 6 AS n, 0 AS x", "SELECT 'b' AS raster_id UNION ALL SELECT 'c'"))
+def unaligned_rasters(spark: SparkSession, sf: str) -> DataFrame:
+    table = metadata.rasters(spark, {"a": grid.Frame.world(3600), "b": grid.Frame(0, 10, 1, 1, 10, 10), "c": grid.Frame.world(900), "d": grid.Frame.world(3600)})
+    return metadata.unaligned(table, "a")
+
+
+@query("SELECT 'a' AS raster_id, 3600 AS arcseconds UNION ALL SELECT 'b', 300 UNION ALL SELECT 'c', NULL")
+def raster_resolutions(spark: SparkSession, sf: str) -> DataFrame:
+    table = metadata.rasters(spark, {"a": grid.Frame.world(3600), "b": grid.Frame(0, 10, 0.08333, 0.08333, 10, 10), "c": grid.Frame(0, 10, 0.6, 0.6, 10, 10)})
+    return metadata.resolutions(table)
+
+
+@query("SELECT 5.0::DOUBLE AS minx, 0.0::DOUBLE AS miny, 10.0::DOUBLE AS maxx, 8.0::DOUBLE AS maxy")
+def common_box(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.common_box(metadata.rasters(spark, {"a": grid.Frame(0, 10, 1, 1, 10, 10), "b": grid.Frame(5, 8, 1, 1, 12, 20)}))
+
+
+@query("SELECT r * 36 + c AS id, 'POLYGON((' || (c * 10 - 180) || ' ' || (r * 10 - 90) || ',' || (c * 10 - 180) || ' ' || (r * 10 - 80) || ',' || (c * 10 - 170) || ' ' || (r * 10 - 80) || ',' || (c * 10 - 170) || ' ' || (r * 10 - 90) || ',' || (c * 10 - 180) || ' ' || (r * 10 - 90) || '))' AS wkt FROM range(18) a(r), range(36) b(c)")
+def graticule_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    return features.graticules(spark, 10)

@@ -1,15 +1,17 @@
 """Operators that SQL cannot express, and edge cases."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridmill.functions import text
-from gridmill.operators import algebra, allocate, focal, frames, grid, rank, reclass, regress, vector, zonal
-from gridmill.plans import formula
+from gridmill.operators import algebra, allocate, focal, frames, grid, pyramid, rank, reclass, regress, vector, zonal
+from gridmill.plans import config, formula
 from gridmill.plans.tasks import Project
 from gridmill.sources import cells as src
-from gridmill.sources import tables
+from gridmill.sources import features, metadata, tables
 from gridmill.streaming import windows
 
 
@@ -159,3 +161,33 @@ def test_stream(spark, tmp_path):
     windows.write(sums, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     batch = windows.windowed_sums(spark.read.parquet(str(tmp_path / "in")), "event_type", "value")
     assert 0 < spark.read.parquet(str(tmp_path / "out")).count() <= batch.count()
+
+
+def test_features(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"id":7,"name":"x"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[0,4],[4,4],[4,0],[0,0]]]}}]}')
+    got = features.read_geojson(spark, str(tmp_path / "a.geojson"), "id long, name string")
+    assert got.first().asDict() == {"id": 7, "name": "x", "wkt": "POLYGON((0 0,0 4,4 4,4 0,0 0))"}
+    line = features.to_geojson(got).first()["value"]
+    assert json.loads(line)["geometry"]["coordinates"] == [[[0, 0], [0, 4], [4, 4], [4, 0], [0, 0]]]
+    assert features.select_features(got, "id", [7]).count() == 1
+    with pytest.raises(ValueError):
+        features.select_features(got, "id", [8])
+    assert features.layer_info(got).first()["maxx"] == 4
+
+
+def test_config(spark):
+    assert config.parse_value("x", "[a, int(2), float(3.5)]") == ["a", 2, 3.5]
+    assert config.parse_value("x", "{k: int(1), j: hello}") == {"k": 1, "j": "hello"}
+    assert config.parse_value("years", "2017 2020 2030") == [2017, 2020, 2030] and config.parse_value("key_base_year", "2017") == 2017
+    assert config.parse_value("dimensions", "lat lon time") == ["lat", "lon", "time"] and config.parse_value("x", "nan") is None
+    assert config.parse_value("x", "<^region^>_scenario") == "<^region^>_scenario"
+    rows = spark.createDataFrame([("years", "2017 2020"), ("label", "base")], "key string, value string")
+    assert config.parameters(rows, {"label": "other", "n": 1}) == {"label": "base", "n": 1, "years": [2017, 2020]}
+    assert config.fill("<^a^>-<^b^>", {"a": 1}) == "1-<^b^>" and config.runs([1, {"a": 1}, {"b": 2}, 2, 3]) == [[1], {"a": 1, "b": 2}, [2, 3]]
+
+
+def test_metadata(spark):
+    table = metadata.rasters(spark, {"a": grid.Frame.world(3600), "b": grid.Frame.world(900)})
+    assert metadata.frame_of(table, "b") == grid.Frame.world(900) and not metadata.agree(table, "xres") and metadata.agree(table, "crs", "dtype")
+    assert metadata.common_box(table).first()["maxx"] == 180 and pyramid.is_standard(grid.Frame.world(300))
+    assert pyramid.transform_box((0, 0, 2, 1), lambda x, y: (y, x)) == (0, 0, 1, 2) and pyramid.standard_box((-9.5, 0.2, 3, 4), 3600) == (-10, 0, 3, 4)
