@@ -28,7 +28,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 #: rate -> (multiple of the quartile range, floor); a rate above q75 + multiple * (q75 - q25) + floor is rejected.
-RATES = {"symbol_rate": (4, 60), "dup_line_rate": (4, 400), "repeat_rate": (4, 200), "length_rate": (4, 150)}
+RATES = {"symbol_rate": (4, 60), "dup_line_rate": (4, 400), "repeat_rate": (4, 350), "length_rate": (4, 150)}
 MIN_GROUP = 50
 #: Threshold tables of at most this many rows are broadcast.
 BROADCAST_ROWS = 50_000
