@@ -12,7 +12,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's source to the executors of this application, once."""
+    """Send the package's source to the executors of this application, once.
+
+    The archive is made beside the driver and served by it; executors read no path of the driver's.
+    """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent

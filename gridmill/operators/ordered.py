@@ -37,3 +37,15 @@ def _parts(df: DataFrame, order: tuple[Column, ...]) -> DataFrame:
 def _before(totals: DataFrame) -> DataFrame:
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     return totals.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+
+
+def quantile(df: DataFrame, value: str, q: float, name: str = "quantile") -> DataFrame:
+    """One row: the exact quantile, interpolated between neighbours, of the values that are there.
+
+    The two neighbours are found by their ranks, so no task holds all distinct values.
+    """
+    rows = ranked(df.select(F.col(value).cast("double").alias("v")).filter("v is not null"), F.asc("v"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
+    place = F.lit(q) * (F.col("n") - 1)
+    near = rows.crossJoin(F.broadcast(size)).filter((F.col("rank") == F.floor(place) + 1) | (F.col("rank") == F.ceil(place) + 1))
+    return near.agg((F.min("v") + (F.max("v") - F.min("v")) * F.max(place - F.floor(place))).alias(name))

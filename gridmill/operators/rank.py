@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.operators.ordered import ranked, running_sum
+from gridmill.operators.ordered import quantile, ranked, running_sum
 
 NDV = -9999
 
@@ -34,14 +34,14 @@ def rank_grid(cells: DataFrame, masked: Column | None = None, highest_first: boo
 
 def top_percentile(cells: DataFrame, percent: float, as_set: bool = False, value: str = "value") -> DataFrame:
     """Values (or 1) of cells above the percentile that leaves ``percent`` of cells at the top, else 0."""
-    cut = cells.agg(F.percentile(value, F.lit(1 - percent / 100)).alias("_cut"))  # one row
+    cut = quantile(cells, value, 1 - percent / 100, "_cut")  # one row
     kept = F.lit(1) if as_set else F.col(value)
     return cells.crossJoin(F.broadcast(cut)).withColumn(value, F.when(F.col(value) > F.col("_cut"), kept).otherwise(F.lit(0)).cast("double")).drop("_cut")
 
 
 def rank_of_top_percentile(ranks: DataFrame, percent: float) -> DataFrame:
     """Ranks below the percentile of ranks, else 0."""
-    cut = ranks.agg(F.percentile("rank", F.lit(percent / 100)).alias("_cut"))  # one row
+    cut = ranks.agg((F.lit(1) + F.lit(percent / 100) * (F.count("rank") - 1)).alias("_cut"))  # one row; ranks are 1..N
     return ranks.crossJoin(F.broadcast(cut)).withColumn("rank", F.when(F.col("rank") < F.col("_cut"), F.col("rank")).otherwise(F.lit(0))).drop("_cut")
 
 
