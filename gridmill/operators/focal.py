@@ -111,11 +111,29 @@ def distance_transform(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
         return pd.DataFrame({"row": at, "col": frame["col"].to_numpy(), "g": near})
 
     def along(frame: pd.DataFrame) -> pd.DataFrame:
-        at, g2 = frame["col"].to_numpy(), frame["g"].to_numpy() ** 2
-        best = np.full(len(at), np.inf)
-        for a in range(0, len(at), 256):
-            best[a : a + 256] = ((at[a : a + 256, None] - at[None, :]) ** 2 + g2[None, :]).min(axis=1)
-        return pd.DataFrame({"row": frame["row"].to_numpy(), "col": at, "distance": np.sqrt(best)})
+        # The lower envelope of the parabolas (x - c)^2 + g^2 over a row, in one sweep.
+        frame = frame[["row", "col", "g"]].sort_values("col")
+        at, g2 = frame["col"].to_numpy().astype(float), frame["g"].to_numpy() ** 2
+        tops: list[int] = []
+        cuts: list[float] = []  # where each parabola of the envelope takes over from the one before
+        for i in np.flatnonzero(np.isfinite(g2)).tolist():
+            cut = -np.inf
+            while tops:
+                j = tops[-1]
+                cut = ((g2[i] + at[i] ** 2) - (g2[j] + at[j] ** 2)) / (2 * (at[i] - at[j]))
+                if cut > cuts[-1]:
+                    break
+                tops.pop()
+                cuts.pop()
+                cut = -np.inf
+            tops.append(i)
+            cuts.append(cut)
+        if not tops:
+            best = np.full(len(at), np.inf)
+        else:
+            own = np.array(tops)[np.searchsorted(cuts, at, side="right") - 1]
+            best = (at - at[own]) ** 2 + g2[own]
+        return pd.DataFrame({"row": frame["row"].to_numpy(), "col": frame["col"].to_numpy(), "distance": np.sqrt(best)})
 
     columns = cells.select("row", "col", F.col("value").cast("double").alias("value")).groupBy("col").applyInPandas(down, "row long, col long, g double")
     return columns.groupBy("row").applyInPandas(along, "row long, col long, distance double")
