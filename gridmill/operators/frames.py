@@ -22,8 +22,11 @@ def infer_key(left: DataFrame, right: DataFrame) -> str:
     return next((c for c in shared if kinds[c] in ("int", "bigint", "smallint", "tinyint")), shared[0])
 
 
-def merge(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = None, how: str = "full", left_on: str | None = None, right_on: str | None = None, clash: str = "keep_both") -> DataFrame:
-    """Join with a rule for clashing columns: keep_both (the right one gets ``_right``), keep_left, keep_right, or raise."""
+def merge(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = None, how: str = "full", left_on: str | None = None, right_on: str | None = None, clash: str = "keep_both", drop_identical: bool = False) -> DataFrame:
+    """Join with a rule for clashing columns: keep_both (the right one gets ``_right``), keep_left, keep_right, or raise.
+
+    With ``drop_identical`` right columns that equal the left ones in every joined row are dropped (one more pass).
+    """
     if left_on and right_on:
         right, on = right.withColumnRenamed(right_on, left_on), left_on
     keys = [on] if isinstance(on, str) else list(on) if on else [infer_key(left, right)]
@@ -36,7 +39,12 @@ def merge(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = No
         left = left.drop(*both)
     else:
         right = right.withColumnsRenamed({c: f"{c}_right" for c in both})
-    return left.join(right, keys, how)
+    out = left.join(right, keys, how)
+    pairs = [c for c in both if f"{c}_right" in out.columns] if drop_identical and clash == "keep_both" else []
+    if pairs:
+        same = out.agg(*[F.bool_and(F.col(c).eqNullSafe(F.col(f"{c}_right"))).alias(c) for c in pairs]).first()
+        out = out.drop(*[f"{c}_right" for c in pairs if same[c]])
+    return out
 
 
 def merge_all(frames: Sequence[DataFrame], on: str, suffixes: Sequence[str], how: str = "full") -> DataFrame:
@@ -52,8 +60,20 @@ def merge_remapped(left: DataFrame, right: DataFrame, remap: DataFrame, on: str,
     return merge(left, moved, on, how)
 
 
-def best_matches(left: DataFrame, right: DataFrame, key: str, cutoff: float = 0.6, gram: int = 3) -> DataFrame:
-    """(key, match, score): each distinct right key with the most similar left key, at least ``cutoff``.
+def match_candidates(left: DataFrame, right: DataFrame, key: str, k: int = 3, cutoff: float = 0.6) -> DataFrame:
+    """(key, match, score, rank): the ``k`` most similar left keys of each distinct right key, for a look before merging."""
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "match")
+    return _similar(left, right, key, cutoff).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def best_matches(left: DataFrame, right: DataFrame, key: str, cutoff: float = 0.6) -> DataFrame:
+    """(key, match, score): each distinct right key with the most similar left key, at least ``cutoff``."""
+    scored = _similar(left, right, key, cutoff)
+    return scored.groupBy(key).agg(F.max_by(F.struct("match", "score"), F.struct("score", F.col("match"))).alias("b")).select(key, F.col("b.match").alias("match"), F.col("b.score").alias("score"))
+
+
+def _similar(left: DataFrame, right: DataFrame, key: str, cutoff: float, gram: int = 3) -> DataFrame:
+    """(key, match, score) of all pairs of distinct keys that reach ``cutoff``.
 
     Only pairs that share a run of ``gram`` letters (or are equal) are compared, so no cross join is made.
     """
@@ -66,8 +86,7 @@ def best_matches(left: DataFrame, right: DataFrame, key: str, cutoff: float = 0.
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    scored = pairs.withColumn("score", ratio(F.col(key), F.col("match"))).filter(F.col("score") >= cutoff)
-    return scored.groupBy(key).agg(F.max_by(F.struct("match", "score"), F.struct("score", F.col("match"))).alias("b")).select(key, F.col("b.match").alias("match"), F.col("b.score").alias("score"))
+    return pairs.withColumn("score", ratio(F.col(key), F.col("match"))).filter(F.col("score") >= cutoff)
 
 
 def fuzzy_merge(left: DataFrame, right: DataFrame, key: str, how: str = "full", cutoff: float = 0.6) -> DataFrame:

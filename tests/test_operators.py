@@ -81,6 +81,8 @@ def test_frames(spark):
     right = spark.createDataFrame([("californa", 10), ("nowhere", 20)], "name string, b int")
     got = {r["name"]: (r["a"], r["b"]) for r in frames.fuzzy_merge(left, right, "name").collect()}
     assert got == {"california": (1, 10), "texas": (2, None), "nowhere": (None, 20)}
+    assert [r["match"] for r in frames.match_candidates(left, right, "name").collect()] == ["california"]
+    assert frames.merge(left, left.withColumn("b", F.lit(1)), "name", drop_identical=True).columns == ["name", "a", "b"]
     assert frames.smart_cast(spark.createDataFrame([("1", "a", "1.5"), (None, "b", "2")], "x string, y string, z string")).dtypes == [("x", "bigint"), ("y", "string"), ("z", "double")]
     assert frames.move_column(left, "a", "name").columns == ["a", "name"]
     assert frames.reorder(right, ["b"]).columns == ["b", "name"]
