@@ -22,12 +22,14 @@ def square(radius: int, weight: float = 1.0) -> dict[tuple[int, int], float]:
     return {(r, c): weight for r in range(-radius, radius + 1) for c in range(-radius, radius + 1)}
 
 
-def gaussian(sigma: float, radius: int) -> dict[tuple[int, int], float]:
-    """Differences of the normal distribution's integral along both axes, scaled to a sum of 1."""
-    cdf = lambda x: 0.5 * (1 + math.erf(x / (sigma * math.sqrt(2))))
-    line = [cdf(i + 0.5) - cdf(i - 0.5) for i in range(-radius, radius + 1)]
+def gaussian(size: int = 21, reach: float = 3.0) -> dict[tuple[int, int], float]:
+    """A size x size blur: roots of the normal distribution's shares of equal steps over ``reach`` deviations to either side, scaled to a sum of 1."""
+    half = reach + (2 * reach + 1) / size / 2
+    edges = [-half + 2 * half * i / size for i in range(size + 1)]
+    share = [0.5 * (math.erf(b / math.sqrt(2)) - math.erf(a / math.sqrt(2))) for a, b in zip(edges, edges[1:], strict=False)]
+    line = [math.sqrt(x) for x in share]
     total = sum(line) ** 2
-    return {(r - radius, c - radius): line[r] * line[c] / total for r in range(len(line)) for c in range(len(line))}
+    return {(r - size // 2, c - size // 2): line[r] * line[c] / total for r in range(size) for c in range(size)}
 
 
 def convolve(cells: DataFrame, kernel: Mapping[tuple[int, int], float], ignore_nodata: bool = False, mask_nodata: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.operators.ordered import quantile, ranked, running_sum
+from gridmill.operators.ordered import ranked, running_sum
 
 NDV = -9999
 
@@ -32,11 +32,11 @@ def rank_grid(cells: DataFrame, masked: Column | None = None, highest_first: boo
     return cells.join(ranks, ["row", "col"], "left").withColumn("rank", F.coalesce("rank", F.lit(NDV)).cast("long"))
 
 
-def top_percentile(cells: DataFrame, percent: float, as_set: bool = False, value: str = "value") -> DataFrame:
-    """Values (or 1) of cells above the percentile that leaves ``percent`` of cells at the top, else 0."""
-    cut = quantile(cells, value, 1 - percent / 100, "_cut")  # one row
+def top_percentile(cells: DataFrame, percent: float, as_set: bool = False, value: str = "value", highest_first: bool = True) -> DataFrame:
+    """Values (or 1) of cells whose rank lies below that percentile of all ranks, else 0; cells without data are left out."""
+    ranks = rank_of_top_percentile(rank_cells(cells, highest_first, value=value), percent)
     kept = F.lit(1) if as_set else F.col(value)
-    return cells.crossJoin(F.broadcast(cut)).withColumn(value, F.when(F.col(value) > F.col("_cut"), kept).otherwise(F.lit(0)).cast("double")).drop("_cut")
+    return ranks.withColumn(value, F.when(F.col("rank") > 0, kept).otherwise(F.lit(0)).cast("double")).drop("rank")
 
 
 def rank_of_top_percentile(ranks: DataFrame, percent: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import scalar
 from gridmill.operators import algebra, allocate, rank, reclass, zonal
-from gridmill.operators.ordered import running_sum
+from gridmill.operators.ordered import quantile, running_sum
 from gridmill.sources import cells as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,12 +344,12 @@ def rank_ascending_clipped(spark: SparkSession, sf: str) -> DataFrame:
     return rank.rank_cells(orders_grid(spark, sf), False, 50_000, 200_000).select("row", "col", "rank")
 
 
-@query("SELECT \"row\", col, CASE WHEN value > cut THEN value ELSE 0 END AS value FROM ro, (SELECT quantile_cont(value, 0.95) AS cut FROM ro)")
+@query("SELECT \"row\", col, CASE WHEN rank < cut THEN value ELSE 0 END AS value FROM (SELECT \"row\", col, value, row_number() OVER (ORDER BY value DESC, \"row\", col) AS rank FROM ro), (SELECT quantile_cont(rank, 0.05) AS cut FROM (SELECT row_number() OVER () AS rank FROM ro))")
 def top_percentile_values(spark: SparkSession, sf: str) -> DataFrame:
     return rank.top_percentile(orders_grid(spark, sf).select("row", "col", "value"), 5)
 
 
-@query("SELECT CAST(CASE WHEN value > cut THEN 1 ELSE 0 END AS DOUBLE) AS value, count(*) AS n FROM ro, (SELECT quantile_cont(value, 0.9) AS cut FROM ro) GROUP BY 1")
+@query("SELECT CAST(CASE WHEN rank < cut THEN 1 ELSE 0 END AS DOUBLE) AS value, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY value DESC, \"row\", col) AS rank FROM ro), (SELECT quantile_cont(rank, 0.1) AS cut FROM (SELECT row_number() OVER () AS rank FROM ro)) GROUP BY 1")
 def top_percentile_set(spark: SparkSession, sf: str) -> DataFrame:
     return rank.top_percentile(orders_grid(spark, sf), 10, True).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -375,6 +375,11 @@ def running_total(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(running_sum(orders_grid(spark, sf), F.col("value"), F.asc("row"), F.asc("col")), 2, "running").select("row", "col", "running")
 
 
+@query("SELECT quantile_cont(value, 0.975) AS high FROM ro")
+def exact_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    return quantile(orders_grid(spark, sf), "value", 0.975, "high")
+
+
 @query("SELECT (v + nx) / 2 AS unused FROM (SELECT v, lead(v) OVER (ORDER BY v) AS nx FROM (SELECT DISTINCT value AS v FROM rp)) WHERE nx IS NOT NULL ORDER BY nx - v DESC, v LIMIT 1")
 def value_gap(spark: SparkSession, sf: str) -> DataFrame:
     return rank.unused_value(part_grid(spark, sf))
