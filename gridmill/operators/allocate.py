@@ -6,7 +6,6 @@ is one unit of work in ``applyInPandas``; groups run in parallel.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -16,53 +15,58 @@ def allocate_classes(cells: DataFrame, goals: DataFrame, group: str = "zone", st
 
     ``cells``: group, cell, class, target, score - a row a cell and target class, with the class the
     cell has now and how well it suits the target.  ``goals``: group, class, net - cells to gain or
-    lose.  Classes take turns of ``step`` cells.  A growing class takes its best unchanged cells from
-    classes that must shrink (or that no goal names); a shrinking class gives up its least suitable
-    cells to the growing class that they suit best.  Ends when no class can move.  Result: group, cell, class.
+    lose; classes without a goal (or with 0) are free.  Classes take turns of ``step`` ranks.  A growing
+    class walks its ranking from the top and takes unchanged cells of classes that must shrink or are
+    free; its donor's own walk moves back one rank.  A shrinking class walks its ranking from the
+    bottom and gives each of its unchanged cells to the class with the best score: its goal (a
+    free class: its size) divided by the cell's rank in it; only classes that still have to grow, or
+    are free, can win.  Ends when the goals are met or no walk has ranks left.  Result: group, cell, class.
     """
     kind = dict(cells.dtypes)[group]
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        now = left.drop_duplicates("cell").set_index("cell")["class"].to_dict()
-        net = {int(c): int(n) for c, n in zip(right["class"], right["net"], strict=True)}
-        named, changed = set(net), set()
-        ranked = {int(t): p.sort_values(["score", "cell"], ascending=[False, True])["cell"].tolist() for t, p in left.groupby("target")}
-        suits = {(c, t): s for c, t, s in zip(left["cell"], left["target"], left["score"], strict=True)}
-        at = dict.fromkeys(ranked, 0)
-        moved = True
-        while moved and any(net.values()):
-            moved = False
-            for c in sorted(net):
-                for _ in range(step):
-                    if net[c] > 0:
-                        cell = None
-                        while at.get(c, 0) < len(ranked.get(c, ())):
-                            here = ranked[c][at[c]]
-                            at[c] += 1
-                            donor = now[here]
-                            if here not in changed and donor != c and (donor not in named or net[donor] < 0):
-                                cell = here
-                                break
-                        if cell is None:
-                            break
-                        if now[cell] in net:
-                            net[now[cell]] += 1
-                        now[cell] = c
-                        changed.add(cell)
-                        net[c] -= 1
-                        moved = True
-                    elif net[c] < 0:
-                        grow = [k for k in sorted(net) if net[k] > 0]
-                        own = [x for x in reversed(ranked.get(c, ())) if now[x] == c and x not in changed][:1]
-                        if not grow or not own:
-                            break
-                        best = max(grow, key=lambda k: (suits.get((own[0], k), -np.inf), -k))
-                        now[own[0]] = best
-                        changed.add(own[0])
-                        net[c] += 1
-                        net[best] -= 1
-                        moved = True
-        return pd.DataFrame({group: key[0], "cell": list(now), "class": list(now.values())})
+        if not len(left):
+            return pd.DataFrame({group: [], "cell": [], "class": []}).astype({"cell": "int64", "class": "int64"})
+        before = {int(c): int(k) for c, k in zip(left["cell"], left["class"], strict=True)}
+        ranked = {int(t): p.sort_values(["score", "cell"], ascending=[False, True])["cell"].astype(int).tolist() for t, p in left.groupby("target")}
+        rank = {t: {c: i + 1 for i, c in enumerate(order)} for t, order in ranked.items()}
+        classes = sorted(set(ranked) | set(before.values()))
+        goal = dict.fromkeys(classes, 0) | {int(c): int(n) for c, n in zip(right["class"], right["net"], strict=True)}
+        size = {c: sum(k == c for k in before.values()) for c in classes}
+        net, after = dict(goal), {}
+        place = {c: 0 if goal[c] > 0 else len(ranked.get(c, ())) - 1 for c in goal}
+
+        def weight(c: int) -> float:
+            return float(goal[c]) if goal[c] > 0 else float(size.get(c, 0)) if goal[c] == 0 else 0.0
+
+        busy = True
+        while busy and any(net[c] for c in goal if goal[c]):
+            busy = False
+            for c in sorted(goal):
+                own = ranked.get(c, [])
+                for _ in range(min(step, abs(net[c])) if goal[c] and net[c] * goal[c] > 0 else 0):
+                    if not 0 <= place[c] < len(own):
+                        break
+                    busy = True
+                    cell = own[place[c]]
+                    now = before[cell]
+                    if goal[c] > 0:
+                        place[c] += 1
+                        if cell not in after and now != c and (net[now] < 0 or goal[now] == 0):
+                            after[cell] = c
+                            net[c] -= 1
+                            net[now] += 1
+                            place[now] -= goal[now] < 0
+                    else:
+                        place[c] -= 1
+                        if cell not in after and now == c:
+                            able = [(weight(k) / rank[k][cell], -k) for k in ranked if k != c and cell in rank[k] and weight(k) > 0 and (goal[k] == 0 or net[k] > 0)]
+                            if able:
+                                new = -max(able)[1]
+                                after[cell] = new
+                                net[c] += 1
+                                net[new] -= net[new] > 0
+        return pd.DataFrame({group: key[0], "cell": list(before), "class": [after.get(c, k) for c, k in before.items()]})
 
     return cells.groupBy(group).cogroup(goals.groupBy(group)).applyInPandas(run, f"{group} {kind}, cell long, class long")
 
