@@ -46,6 +46,12 @@ def zonal_classes(zoned: DataFrame, classes: Sequence, zone: str = "zone", value
     return zoned.filter(F.col(value).isNotNull()).groupBy(zone).agg(*sums)
 
 
+def zonal_class_rows(zoned: DataFrame, zone: str = "zone", value: str = "value", weight: str | None = None) -> DataFrame:
+    """(zone, class, n): the same in long form, for classes that are not known beforehand; values are cut to whole numbers."""
+    rows = zoned.filter(F.col(value).isNotNull())
+    return rows.groupBy(zone, F.col(value).cast("long").alias("class")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+
+
 def zonal_merge(frames: dict[str, DataFrame], zone: str = "zone") -> DataFrame:
     """Zonal sums of several zoned grids side by side: one pass over their union."""
     union = reduce(DataFrame.unionByName, [f.select(zone, F.col("value").cast("double").alias("value"), F.lit(k).alias("_name")) for k, f in frames.items()])

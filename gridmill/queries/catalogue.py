@@ -90,6 +90,11 @@ def zonal_enumeration(spark: SparkSession, sf: str) -> DataFrame:
     return zonal.zonal_classes(line_zones(spark, sf), ["A", "N", "R"], value="flag")
 
 
+@query("SELECT zone, CAST(trunc(quantity) AS BIGINT) AS class, count(*) AS n FROM lz GROUP BY 1, 2")
+def zonal_enumeration_long(spark: SparkSession, sf: str) -> DataFrame:
+    return zonal.zonal_class_rows(line_zones(spark, sf), value="quantity")
+
+
 @query("SELECT zone, coalesce(round(sum(quantity) FILTER (flag = 'A'), 2), 0) AS \"class_A\", coalesce(round(sum(quantity) FILTER (flag = 'R'), 2), 0) AS \"class_R\" FROM lz GROUP BY zone")
 def zonal_enumeration_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(zonal.zonal_classes(line_zones(spark, sf), ["A", "R"], value="flag", weight="quantity"), 2, "class_A", "class_R")
