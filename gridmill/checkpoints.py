@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +19,13 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder, without its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of finished phases.
+
+    Checkpoints cut lineage, but files go only when the driver has collected the
+    objects that stand for them, which a driver with memory to spare puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
