@@ -64,7 +64,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, signed: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(1), 3 << 20, 3000):
+            for a, b in blocks(batch.column(1), 3 << 19, 2000):
                 part = batch.slice(a, b - a)
                 n = b - a
                 rows, elements, counts = bags(*shingles(*utf8_buffers(part.column(1)), WIDTH))
@@ -89,7 +89,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(3), 2 << 20, 2000):
+            for a, b in blocks(batch.column(3), 1 << 20, 2000):
                 part = batch.slice(a, b - a)
                 left, right = (shingles(*utf8_buffers(part.column(k)), WIDTH) for k in (2, 3))
                 shared, total = bagminhash.overlaps(*left, *right, b - a)
