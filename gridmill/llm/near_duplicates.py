@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm import bagminhash
-from gridmill.llm.shared import saved
+from gridmill.llm.shared import release, saved
 from gridmill.llm.textbytes import bags, blocks, mix64, shingles, utf8_buffers
 from gridmill.operators.components import stars
 
@@ -204,9 +204,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     texts = text_rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
     texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")))
 
+    release(docs.sparkSession)
+
     # Everyone against the bucket's least node.
     tested = saved(_verified(members.filter("node != hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct(), texts, similarity))
     found = stars(tested.filter("ok"))
+    release(docs.sparkSession)
 
     # In buckets that the links leave in several parts: all rows outside the least node's part against all others.
     now = _labelled(members, found)
@@ -221,10 +224,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     as_right = rest.filter(chunks > 1).withColumn("other", F.col("chunk")).withColumn("chunk", F.explode(each)).withColumn("left", F.lit(False)).withColumn("right", F.lit(True))
     dealt = alone.unionByName(as_left).unionByName(as_right).join(nodes.select("node", "size", "sig").join(texts, "node"), "node")
     more = saved(_links(dealt, ["key", "chunk", "other"], similarity))
+    release(docs.sparkSession)
     found = stars(found.unionByName(more))
 
     comp = _labelled(nodes.select("node", "hi", "lo", "first_id"), found)
     least = saved(comp.groupBy("comp").agg(F.min("first_id").alias("class_id")))
+    release(docs.sparkSession)
     named = comp.join(least, "comp").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("class_id").alias("_class"))
     out = rows.select("doc_id", "hi", "lo").join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
     return out.select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"), "hi", "lo")

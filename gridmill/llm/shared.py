@@ -1,5 +1,5 @@
 """The folder that driver and executors share."""
 
-from gridmill.checkpoints import ensure_checkpoint_dir, saved
+from gridmill.checkpoints import ensure_checkpoint_dir, release, saved
 
-__all__ = ["ensure_checkpoint_dir", "saved"]
+__all__ = ["ensure_checkpoint_dir", "release", "saved"]
