@@ -42,38 +42,43 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with struct ``quality``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+    """``docs`` with struct ``quality`` in place of the text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+
+    Each step carries on only what the next ones need: arrays as large as the text are not copied from step to step.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(F.translate(text, SPACES[1:], " " * 5), " "), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, SPACES) != "")
-    out = docs.withColumn("_words", words).withColumn("_lines", lines)
+    symbols = F.length(text) - F.length(_without(text, SYMBOLS))
+    out = docs.select(*rest, F.length(_without(text, SPACES)).cast("long").alias("_chars"), symbols.cast("long").alias("_symbols"), words.alias("_words"), lines.alias("_lines"))
     n = F.size("_words")
     # 64-bit hashes stand for the windows of three words; two different windows of one text share one with a chance below n**2 / 2**65.
-    out = out.withColumn("_hash", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")))
+    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<bigint>"))
+    n_lines = F.size("_lines").cast("long")
+    n_dup = (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
+    out = out.select(*rest, "_chars", "_symbols", n.cast("long").alias("_n"), n_lines.alias("_n_lines"), n_dup.alias("_n_dup"), hashes.alias("_hash"))
+    kept = [*rest, "_chars", "_symbols", "_n", "_n_lines", "_n_dup"]
     repeats = F.size(F.array_distinct("_hash")) < F.size("_hash")
-    out = out.withColumn("_sorted", F.when(repeats, F.sort_array("_hash")).otherwise(F.array().cast("array<bigint>")))
+    out = out.select(*kept, "_hash", F.when(repeats, F.sort_array("_hash")).otherwise(F.array().cast("array<bigint>")).alias("_sorted"))
     # Equal hashes stand side by side in sorted order.
-    out = out.withColumn("_again", F.array_distinct(F.filter("_sorted", lambda x, k: F.coalesce(F.get("_sorted", k - 1) == x, F.lit(False)))))
+    out = out.select(*kept, "_hash", F.array_distinct(F.filter("_sorted", lambda x, k: F.coalesce(F.get("_sorted", k - 1) == x, F.lit(False)))).alias("_again"))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
     marked = F.transform("_hash", lambda x, k: F.struct(x.alias("h"), k.alias("i")))
-    few = F.transform(F.filter(marked, lambda x: F.array_contains("_again", x["h"])), lambda x: x["i"])
-    out = out.withColumn("_marked", F.when(F.size("_again") > FEW_REPEATS, F.sort_array(marked)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    found = F.when(F.size("_again") == 0, none).when(F.size("_again") <= FEW_REPEATS, F.filter(marked, lambda x: F.array_contains("_again", x["h"]))).otherwise(F.sort_array(marked))
+    out = out.select(*kept, (F.size("_again") > FEW_REPEATS).alias("_many"), found.alias("_marked"))
     beside = lambda x, k: F.coalesce(F.get("_marked", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_marked", k + 1)["h"] == x["h"], F.lit(False))
-    many = F.sort_array(F.transform(F.filter("_marked", beside), lambda x: x["i"]))
-    out = out.withColumn("_at", F.when(F.size("_again") == 0, F.array().cast("array<int>")).when(F.size("_again") <= FEW_REPEATS, few).otherwise(many))
+    places = lambda c: F.transform(c, lambda x: x["i"])
+    out = out.select(*kept, F.when(F.col("_many"), F.sort_array(places(F.filter("_marked", beside)))).otherwise(places(F.col("_marked"))).alias("_at"))
     # A window adds the words that the window before it does not cover.
-    covered = F.aggregate(
-        F.transform("_at", lambda x, k: F.least(F.lit(3), F.coalesce(x - F.get("_at", k - 1), F.lit(3)))), F.lit(0), lambda acc, x: acc + x
-    )
+    covered = F.aggregate(F.transform("_at", lambda x, k: F.least(F.lit(3), F.coalesce(x - F.get("_at", k - 1), F.lit(3)))), F.lit(0), lambda acc, x: acc + x)
     counts = F.struct(
-        n.cast("long").alias("n_words"),
-        F.length(_without(text, SPACES)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_n_lines").alias("n_lines"), F.col("_n_dup").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-    )
+    )
     # A generator of one row: filters on the counts are not pushed below it, where they would repeat the work above.
-    return out.withColumn("quality", F.explode(F.array(counts))).drop("_words", "_lines", "_hash", "_sorted", "_again", "_marked", "_at")
+    return out.select(*rest, F.explode(F.array(counts)).alias("quality"))
 
 
 def base_failed() -> Column:
@@ -154,7 +159,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     # The row travels as one struct, so that no column of ``docs`` can clash with those made here.
     rest = [c for c in docs.columns if keep_text or c != text_col]
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    counted = with_counts(inner).drop("text")
+    counted = with_counts(inner)
     if not keep_text:
         counted = saved(counted)
     made = thresholds(sketches(counted)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
