@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A character without a piece scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Distinct parts remembered between batches; the memory is emptied when full.
-CACHE = 400_000
+CACHE = 800_000
 BATCH_PARTS = 20_000
 
 
@@ -171,35 +171,41 @@ class Codec:
         self.parts = re.compile(rf"(?s).+" if crossing else rf"{lines or '(?!)'}|{MARK}+[^{MARK}{lines}]*|[^{MARK}{lines}]+")
         self.fallback = bool((v.byte_ids >= 0).all())
         self.plain = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
-        self.cache = PieceCache(self._end_to_end, CACHE)
+        self.cache = PieceCache(self.segment, CACHE)
 
     def marked(self, text: str) -> str:
         return ((MARK if self.vocabulary.prefix else "") + text.replace(" ", MARK)) if text else ""
 
-    def segment(self, parts: list[str]) -> list[np.ndarray]:
-        """The best pieces of each part; among equals the one whose last piece is longest."""
+    def segment(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The best pieces of the parts, end to end, and how many each has; among equals the last piece is the longest."""
         raw = [p.encode("utf-8", "replace") for p in parts]
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(parts)
-        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+        order = np.array(sorted(range(len(raw)), key=lambda i: len(raw[i])), np.int64)
+        found, sizes = [], np.zeros(len(raw), np.int64)
         a = 0
         while a < len(order):
             # Parts of like length share a table; a table has a bounded number of cells.
+            least = len(raw[order[a]])
             b = a + 1
-            while b < len(order) and b - a < BATCH_PARTS and (len(raw[order[b]]) <= len(raw[order[a]]) + 4) and (b - a) * len(raw[order[b]]) < 400_000:
+            while b < len(order) and b - a < BATCH_PARTS and len(raw[order[b]]) <= least + 4 and (b - a) * len(raw[order[b]]) < 400_000:
                 b += 1
-            group = order[a:b]
-            for i, ids in zip(group, self._viterbi([raw[i] for i in group]), strict=True):
-                out[i] = ids
+            ids, sizes[order[a:b]] = self._viterbi([raw[i] for i in order[a:b]])
+            found.append(ids)
             a = b
-        return out
-
-    def _viterbi(self, raw: list[bytes]) -> list[np.ndarray]:
+        if not found:
+            return np.empty(0, np.int32), sizes
+        # From the order of lengths back to the order of the parts.
+        start = np.zeros(len(raw), np.int64)
+        start[order] = np.cumsum(sizes[order]) - sizes[order]
+        before = np.cumsum(sizes) - sizes
+        return np.concatenate(found)[np.repeat(start - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _viterbi(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         t, v = self.trie, self.vocabulary
-        n, width = len(raw), max(map(len, raw))
-        size = np.array([len(r) for r in raw])
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        n, width = len(raw), int(size.max())
         text = np.zeros((n, width + t.longest + 1), np.uint8)
-        for i, r in enumerate(raw):
-            text[i, : len(r)] = np.frombuffer(r, np.uint8)
+        row = np.repeat(np.arange(n), size)
+        text[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = np.frombuffer(b"".join(raw), np.uint8)
         best = np.full((n, width + 1), -np.inf)
         best[:, 0] = 0
         came, piece = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
@@ -232,25 +238,37 @@ class Codec:
                 better = score > best[r, e]
                 r, e = r[better], e[better]
                 best[r, e], came[r, e], piece[r, e] = score[better], s, -1
-        out = []
-        for i, r in enumerate(raw):
-            ids: list[int] = []
-            end = len(r)
-            while end:
-                start = int(came[i, end])
-                if piece[i, end] >= 0:
-                    ids.append(int(piece[i, end]))
-                elif self.fallback:
-                    ids += [int(v.byte_ids[b]) for b in reversed(r[start:end])]
-                else:
-                    ids.append(v.unknown)
-                end = start
-            out.append(np.array(ids[::-1], np.int32))
-        return out
-
-    def _end_to_end(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.segment(parts)
-        return np.concatenate([*found, np.empty(0, np.int32)]), np.fromiter(map(len, found), np.int64, len(found))
+        # Back from the ends, all parts in step; pieces are written from the right.
+        ids = np.full((n, width), -1, np.int32)
+        at, left, unknown = size.copy(), np.full(n, width), np.zeros(n, bool)
+        rows = np.flatnonzero(at)
+        while len(rows):
+            got = piece[rows, at[rows]]
+            left[rows] -= 1
+            ids[rows, left[rows]] = got
+            unknown[rows] |= got < 0
+            at[rows] = came[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        for i in np.flatnonzero(unknown).tolist():
+            line = self._spelled(raw[i], came[i], piece[i])
+            ids[i] = -1
+            ids[i, width - len(line) :] = line
+        return ids[ids >= 0], (ids >= 0).sum(axis=1)
+
+    def _spelled(self, raw: bytes, came: np.ndarray, piece: np.ndarray) -> list[int]:
+        """One part's pieces where some characters have none: their bytes' pieces, or the unknown piece."""
+        out: list[int] = []
+        end = len(raw)
+        while end:
+            start = int(came[end])
+            if piece[end] >= 0:
+                out.append(int(piece[end]))
+            elif self.fallback:
+                out += [int(self.vocabulary.byte_ids[b]) for b in reversed(raw[start:end])]
+            else:
+                out.append(self.vocabulary.unknown)
+            end = start
+        return out[::-1]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text)."""
