@@ -301,10 +301,10 @@ _CASE = "CASE size " + " ".join(f"WHEN {k} THEN {v}" for k, v in _RULES.items())
 def _reclass(name: str, unlisted: str, rest: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         out = reclass.reclassify(part_grid(spark, sf).select("row", "col", F.col("size").alias("value")), _RULES, unlisted)
-        return out.withColumn("value", F.col("value").cast("long"))
+        return out.withColumn("value", F.col("value").cast("double"))
 
     run.__name__ = name
-    query(f'SELECT "row", col, CAST({_CASE} ELSE {rest} END AS BIGINT) AS value FROM rp')(run)
+    query(f'SELECT "row", col, CAST({_CASE} ELSE {rest} END AS DOUBLE) AS value FROM rp')(run)
 
 
 _reclass("reclass_keep", "keep", "size")

@@ -103,9 +103,9 @@ def raster_info(spark: SparkSession, sf: str) -> DataFrame:
     return src.info(events_grid(spark, sf))
 
 
-@query("SELECT CASE WHEN size = 10 THEN NULL ELSE size END AS value, count(*) AS n FROM rp GROUP BY 1")
+@query("SELECT CAST(CASE WHEN size = 10 THEN NULL ELSE size END AS DOUBLE) AS value, count(*) AS n FROM rp GROUP BY 1")
 def nodata_to_null(spark: SparkSession, sf: str) -> DataFrame:
-    return src.without_nodata(part_grid(spark, sf).select(F.col("size").alias("value")), 10).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return src.without_nodata(part_grid(spark, sf).select(F.col("size").cast("double").alias("value")), 10).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_type AS band, \"row\" + 10 AS \"row\", count(*) AS n FROM re WHERE event_type IN (SELECT min(event_type) FROM re) GROUP BY 1, 2")
@@ -173,19 +173,19 @@ def groupby_named_aggs(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(frames.group(_t(spark, sf, "customer"), ["c_mktsegment"], aggs={"c_acctbal": "avg", "c_custkey": "count"}), 4, "c_acctbal")
 
 
-_PAIR = "(SELECT n_nationkey AS id, n_name AS name FROM nation) l {} JOIN (SELECT n_nationkey + 5 AS id, n_name AS name, n_regionkey FROM nation) r ON l.id = r.id"
+_PAIR = "(SELECT n_nationkey AS id, n_name AS name FROM nation) l {} JOIN (SELECT n_nationkey + 5 AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation) r ON l.id = r.id"
 
 
 @query("SELECT coalesce(l.id, r.id) AS id, l.name, r.name AS name_right, n_regionkey FROM " + _PAIR.format("FULL"))
 def merge_outer_suffix(spark: SparkSession, sf: str) -> DataFrame:
     n = _t(spark, sf, "nation")
-    return frames.merge(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), n.select((F.col("n_nationkey") + 5).alias("id"), F.col("n_name").alias("name"), "n_regionkey"))
+    return frames.merge(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), n.select((F.col("n_nationkey") + 5).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("double").alias("n_regionkey")))
 
 
 @query("SELECT l.id, l.name, n_regionkey FROM " + _PAIR.format("LEFT"))
 def merge_quick(spark: SparkSession, sf: str) -> DataFrame:
     n = _t(spark, sf, "nation")
-    return frames.merge(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), n.select((F.col("n_nationkey") + 5).alias("id"), F.col("n_name").alias("name"), "n_regionkey"), "id", "left", clash="keep_left")
+    return frames.merge(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), n.select((F.col("n_nationkey") + 5).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("double").alias("n_regionkey")), "id", "left", clash="keep_left")
 
 
 @query("SELECT k, a.n AS n_c, b.n AS n_s, d.n AS n_n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b USING (k) FULL JOIN (SELECT n_nationkey AS k, CAST(n_regionkey AS BIGINT) AS n FROM nation) d USING (k)")
@@ -466,10 +466,10 @@ def unaligned_rasters(spark: SparkSession, sf: str) -> DataFrame:
     return metadata.unaligned(table, "a")
 
 
-@query("SELECT 'a' AS raster_id, 3600 AS arcseconds UNION ALL SELECT 'b', 300 UNION ALL SELECT 'c', NULL")
+@query("SELECT 'a' AS raster_id, 3600.0::DOUBLE AS arcseconds UNION ALL SELECT 'b', 300 UNION ALL SELECT 'c', NULL")
 def raster_resolutions(spark: SparkSession, sf: str) -> DataFrame:
     table = metadata.rasters(spark, {"a": grid.Frame.world(3600), "b": grid.Frame(0, 10, 0.08333, 0.08333, 10, 10), "c": grid.Frame(0, 10, 0.6, 0.6, 10, 10)})
-    return metadata.resolutions(table)
+    return metadata.resolutions(table).withColumn("arcseconds", F.col("arcseconds").cast("double"))
 
 
 @query("SELECT 5.0::DOUBLE AS minx, 0.0::DOUBLE AS miny, 10.0::DOUBLE AS maxx, 8.0::DOUBLE AS maxy")
