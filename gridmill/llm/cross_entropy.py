@@ -1,9 +1,9 @@
 """Cross-entropy difference of a target and a background model.
 
-Both are modified Kneser-Ney models of the same order over the same closed
-vocabulary: the target's from trusted labelled texts, the background's from all
-documents of the corpus.  A document's score is the mean over its tokens of the
-target's loss minus the background's; low scores are more like the target.
+Both are modified Kneser-Ney models of words over the same vocabulary, every
+token of the corpus: the target's from all trusted labelled texts, the
+background's from all documents.  A document's score is the mean over its tokens
+of the target's loss minus the background's; low scores are more like the target.
 
 Null and empty texts have no tokens and score 0.  Repeated rows count as often
 as they occur and get equal scores.  Without target texts the target is uniform.
@@ -14,17 +14,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm import ngram
-from gridmill.llm.quality_kneser_ney import trusted_texts
+from gridmill.llm import word_models
+from gridmill.llm.quality_kneser_ney import good_ids
+
+
+def _scored(marked: DataFrame) -> DataFrame:
+    found = word_models.losses(marked)
+    return found.select("doc_id", "n_tokens", F.col("loss_m").alias("target_loss"), F.col("loss_n").alias("background_loss"), (F.col("loss_m") - F.col("loss_n")).alias("difference"))
 
 
 def score(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference): losses a token in nats, of every row."""
-    models = [ngram.model(ngram.count(t, text_col)) for t in (target, docs)]
-    n = F.greatest(F.col("n_tokens"), F.lit(1))
-    out = ngram.losses(docs, models, text_col=text_col)
-    return out.select("doc_id", "n_tokens", (F.col("loss_0") / n).alias("target_loss"), (F.col("loss_1") / n).alias("background_loss"), ((F.col("loss_0") - F.col("loss_1")) / n).alias("difference"))
+    part = lambda df, n, m: df.select("doc_id", F.col(text_col).alias("text"), F.lit(n).alias("times"), F.lit(m).alias("target_times"))
+    return _scored(part(docs, 1, 0).unionByName(part(target, 0, 1)))
 
 
 def score_against_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, trusted_texts(docs, labels))
+    """The target is every document labelled as good."""
+    good = good_ids(labels).select(F.col("doc_id").alias("_good")).distinct()
+    marked = docs.join(good, F.col("doc_id") == F.col("_good"), "left")
+    return _scored(marked.select("doc_id", "text", F.lit(1).alias("times"), F.col("_good").isNotNull().cast("int").alias("target_times")))

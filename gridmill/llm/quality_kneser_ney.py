@@ -29,10 +29,14 @@ MIN_TRUSTED = 20
 MAX_LANGUAGES = 1000
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """The labels of documents labelled good and not toxic."""
+    return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
+
+
 def trusted_ids(labels: DataFrame, n: int = TRUSTED_SAMPLE) -> DataFrame:
     """At most ``n`` ids of documents labelled good and not toxic, by a hash of the id."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").distinct()
+    return good_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").distinct()
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, n: int = TRUSTED_SAMPLE) -> DataFrame:

@@ -534,3 +534,60 @@ def test_page_layouts():
     }
     for page, want in pages.items():
         assert html_density.main_text(f"<html><body>{page}</body></html>").split("\n\n") == want
+
+
+def plain_word_losses(docs, target):
+    """Mean losses of the docs under word-pair models of docs and target, straight from the definition."""
+    cut = lambda t: re.findall(r"[^\W_\u0800-\uffff]+|[^\s]", t)
+    count = lambda texts: Counter(p for t in texts for p in zip(["", *cut(t)], cut(t)))
+    size = len({w for _, w in [*count(docs), *count(target)]})
+
+    def discounts(values):
+        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        if not all(n):
+            return [0.5, 0.75, 0.9]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(x, 0.05), k - 0.05) for x, k in zip((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]), (1, 2, 3), strict=True)]
+
+    def model(texts):
+        top = count(texts)
+        low = Counter(w for _, w in top)
+        d2, d1 = discounts(top.values()), discounts(low.values())
+
+        def smooth(v, values, d, lower):
+            total = sum(values)
+            return (max(v - d[min(v, 3) - 1], 0) * (v > 0) + sum(d[min(x, 3) - 1] for x in values) * lower) / total if total else lower
+
+        return lambda c, w: smooth(top[c, w], [v for (a, _), v in top.items() if a == c], d2, smooth(low[w], low.values(), d1, 1 / size))
+
+    models = [model(docs), model(target)]
+    return [[-sum(np.log(p(c, w)) for c, w in zip(["", *cut(t)], cut(t))) / max(1, len(cut(t))) for p in models] for t in docs]
+
+
+def test_word_models(spark):
+    docs = ["the cat sat on the mat.", "the dog sat on the log, the dog!", "Über allen Gipfeln ist Ruh", "a a a a the cat", "мама мыла раму, мама", "日本語の本", "the cat sat on the mat."]
+    target = [docs[0], docs[4], "the cat is new here"]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = cross_entropy.score(frame(docs), frame(target)).toPandas().sort_values("doc_id")
+    want = np.array(plain_word_losses(docs, target))
+    assert abs(got["background_loss"].to_numpy() - want[:, 0]).max() < 1e-5 and abs(got["target_loss"].to_numpy() - want[:, 1]).max() < 1e-5
+
+
+def test_scoring_sees_letters_of_all_scripts_and_word_order(spark):
+    rng = np.random.default_rng(5)
+    for letters in ("абвгдежзиклмнопрст", "日本語文章言葉学校先生今明昨何時"):
+        words = ["".join(rng.choice(list(letters), 4)) for _ in range(30)]
+        follow = {w: list(rng.choice(words, 2)) for w in words}
+        texts = []
+        for _ in range(60):
+            text = [str(rng.choice(words))]
+            while len(text) < 40:
+                text.append(str(rng.choice(follow[text[-1]])))
+            texts.append(" ".join(text))
+        shuffled = " ".join(rng.permutation(texts[0].split()))
+        junk = " ".join("".join(rng.choice(list(letters), 4)) for _ in range(40))
+        rows = spark.createDataFrame(list(enumerate([*texts, shuffled, junk])), "doc_id long, text string")
+        got = cross_entropy.score(rows, rows.filter(f"doc_id < {len(texts)}")).toPandas().set_index("doc_id")["target_loss"].sort_index().to_numpy()
+        most = got[: len(texts)].max()
+        assert got[-1] > most + 0.2
+        assert got[-2] > most or letters[0] == "日"  # characters are the tokens there
