@@ -3,8 +3,8 @@
 A page is parsed into a tree.  For each node the characters a tag, damped by the
 share of characters and tags that belong to links, give its density; a node's
 score is the sum of its children's densities.  The best-scoring node marks the
-article.  The least density on its path to the body is the threshold that
-ancestors and siblings must reach to be counted as part of it.  Elements that
+article.  The least density on its path to the body is the threshold that the
+other children of its ancestors must reach to be counted as part of it.  Elements that
 cannot be article text (menus, forms, scripts, adverts, comments ...) are cut
 before counting.
 
@@ -192,7 +192,7 @@ class Page:
         return chars, link_chars, density
 
     def article(self) -> tuple[int, set[int]]:
-        """(root of the main text, nodes within it that are link lists)."""
+        """(root of the main text, nodes within it that are link lists or too sparse)."""
         chars, link_chars, density = self.densities()
         n = len(self.tag)
         score, has_children = [0.0] * n, [False] * n
@@ -212,18 +212,22 @@ class Page:
         while path[-1] not in (body, 0):
             path.append(self.parent[path[-1]])
         threshold = min(density[i] for i in path)
-        # The outermost article on the path, else main, else the nearest container; beyond it a container whose own extra text is as dense.
-        root = next((i for i in reversed(path) if self.tag[i] == "article"), None) or next((i for i in reversed(path) if self.tag[i] == "main"), None)
+        # The outermost article on the path, else the nearest container and, up to main or the body, what else its ancestors hold that is as dense.
+        root = next((i for i in reversed(path) if self.tag[i] == "article"), None)
+        sparse: set[int] = set()
         if root is None:
             root = next((i for i in path if self.tag[i] in CONTAINER), body)
-            while root not in (body, 0):
-                up = self.parent[root]
-                extra, extra_links = chars[up] - chars[root], link_chars[up] - link_chars[root]
-                if density[up] < threshold or (extra and extra_links * 2 > extra):
-                    break
-                root = up
+            inner, top = root, next((i for i in reversed(path) if self.tag[i] == "main"), body)
+            above = set(path[path.index(inner) + 1 : path.index(top) + 1]) if top in path and path.index(top) > path.index(inner) else set()
+            on_path = set(path)
+            for i in range(1, n):
+                if self.parent[i] in above and i not in on_path and density[i] < threshold:
+                    # Inline elements belong to the text around them, unless they are links.
+                    if self.tag[i] in BLOCK or link_chars[i] >= 0.8 * chars[i]:
+                        sparse.add(i)
+            root = top if above else inner
         lists = {i for i in range(n) if self.tag[i] in ("ul", "ol", "div", "p", "section", "table") and chars[i] and link_chars[i] >= 0.8 * chars[i] and density[i] < threshold}
-        return root, lists
+        return root, lists | sparse
 
     def text(self) -> str:
         if not any(t and not t.isspace() for _, t in self.parts):

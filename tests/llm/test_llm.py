@@ -591,3 +591,14 @@ def test_scoring_sees_letters_of_all_scripts_and_word_order(spark):
         most = got[: len(texts)].max()
         assert got[-1] > most + 0.2
         assert got[-2] > most or letters[0] == "日"  # characters are the tokens there
+
+
+def test_page_unlabelled_furniture():
+    body = "Some sentences that make up the article, one after the other, at a good length. " * 4
+    story = f"<p>{body}</p><p>{body}</p><p>{body}</p>"
+    notice = "<div><span>Ten</span> <b>more</b> <i>days</i></div>"
+    teasers = "<div><div><b>New</b><i>shop</i></div><div><b>Win</b><i>this</i></div></div>"
+    for page in (f"{notice}<div><div>{story}</div>{teasers}</div>{notice}", f"<main>{notice}<div>{story}</div>{teasers}</main>"):
+        assert html_density.main_text(f"<html><body>{page}</body></html>").split("\n\n") == [body.strip()] * 3
+    two = f"<div>{notice}<div>{story}</div><div>{story}</div></div>"  # an equally dense sibling is part of the article
+    assert html_density.main_text(f"<html><body>{two}</body></html>").split("\n\n") == [body.strip()] * 6
