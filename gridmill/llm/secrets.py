@@ -3,8 +3,8 @@
 The base patterns (kinds ``assign``, ``access``, ``hex``) are matched leftmost and
 without overlap over the whole text; matches that are too short are dropped
 after matching.  The lexer then reads source and configuration syntax as
-name-literal pairs (``name = "x"``, ``name: x``, ``"name" => 'x'``, ``NAME := x``),
-follows names that were assigned a literal earlier in the same text, and scores
+name-literal pairs (``name = "x"``, ``name: x``, ``"name" => 'x'``, ``NAME := x``,
+``a["name"] = "x"``, ``name: type = "x"``, joined, escaped and many-line literals), follows names that were assigned a literal earlier in the same text, and scores
 each literal by how sensitive the name it ends up under is and by how random the
 literal looks.  Literals that reach the threshold are spans of kind ``lexed``.
 
@@ -42,6 +42,15 @@ SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3,
 SENSITIVE_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("client", "secret")}
 PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your[_-]|xxxx|\*\*\*|<[^>]*>|\$\{|\bnone\b|\bnull\b|\btrue\b|\bfalse\b")
 THRESHOLD = 4.0
+_STEM = re.compile(r"(?ai:pass|pwd|secret|token|key|cred|auth|pin)")
+_TOKEN = re.compile(
+    r"""(?:\b[rRbBuUfF]{1,2})?(?:(?P<q>\"{3}|'{3})(?P<long>(?:[^\\]|\\.)*?)(?P=q)|"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`)"""
+    r"""|(?P<name>[A-Za-z_$][A-Za-z0-9_]*(?:[.\-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<op>:=|=>|[=!<>]=|\.\.|[^\s])|(?P<nl>\n)""",
+    re.S,
+)
+#: Words of messages and labels, which are no passphrases.
+_PROSE = re.compile(r"(?i)\b(?:enter|your|please|password|passwd|token|secret|invalid|required|must|cannot)\b|[.!?:]\s*\Z")
+_STRINGS = ("long", "dq", "sq", "bq")
 
 
 def name_weight(name: str) -> int:
@@ -52,7 +61,7 @@ def name_weight(name: str) -> int:
 
 def literal_score(value: str) -> float:
     """0 to 3: length, character classes and entropy; placeholders score 0."""
-    if len(value) < 8 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+    if len(value) < 8 or PLACEHOLDER.search(value) or (any(c.isspace() for c in value) and _PROSE.search(value)):
         return 0.0
     n = len(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
@@ -60,8 +69,102 @@ def literal_score(value: str) -> float:
     return min(1.0, n / 16) + min(1.0, entropy / 4) + (classes >= 2) * 1.0
 
 
+class _Tokens:
+    """Name-literal pairs of source text, read from its tokens."""
+
+    def __init__(self, text: str) -> None:
+        self.tokens = [(m.lastgroup, m[m.lastgroup], m.span(m.lastgroup)) for m in _TOKEN.finditer(text)]
+        self.constants: dict[str, tuple[str, tuple[int, int]]] = {}
+
+    def at(self, i: int) -> tuple[str, str, tuple[int, int]]:
+        return self.tokens[i] if i < len(self.tokens) else ("end", "", (0, 0))
+
+    def skip_lines(self, i: int) -> int:
+        while self.at(i)[0] == "nl":
+            i += 1
+        return i
+
+    def target(self, i: int) -> tuple[list[str], int]:
+        """The names of an assignment's left side at ``i``: a name or quoted key and its subscripts."""
+        names, i = [self.at(i)[1]], i + 1
+        while self.at(i)[1] == "[" and self.at(i)[0] == "op":
+            if self.at(i + 1)[1] == "]":
+                i += 2
+            elif self.at(i + 2)[1] == "]":
+                if self.at(i + 1)[0] in (*_STRINGS, "name"):
+                    names.append(self.at(i + 1)[1])
+                i += 3
+            else:
+                break
+        return names, i
+
+    def assigned(self, i: int) -> int:
+        """The place after the operator at ``i`` and a type, or -1."""
+        if self.at(i)[1] in ("?", "!") and self.at(i + 1)[1] == ":":
+            i += 1
+        kind, sign, _ = self.at(i)
+        if kind != "op" or sign not in ("=", ":=", "=>", ":"):
+            return -1
+        if sign != ":":
+            return i + 1
+        for k in range(i + 1, i + 24):  # a type ends at "=" on its line
+            kind, sign, _ = self.at(k)
+            if sign == "=" and kind == "op":
+                return k + 1
+            if not (kind == "name" or kind == "op" and sign in ".|[]<>?*&,"):
+                break
+        return i + 1
+
+    def value(self, i: int) -> tuple[str, tuple[int, int]] | None:
+        """The literal at ``i``: strings side by side or joined by an operator, or a name that stands for one."""
+        open_ = 0
+        while True:
+            k = self.skip_lines(i) if open_ else i
+            if self.at(k)[1] == "(" and self.at(k)[0] == "op":
+                open_, i = open_ + 1, k + 1
+                continue
+            i = k
+            break
+        kind, word, _ = self.at(i)
+        if kind == "name":
+            return self.constants.get(word)
+        if kind not in _STRINGS:
+            return None
+        value, (start, end), i = word, self.at(i)[2], i + 1
+        while True:
+            k = self.skip_lines(i)
+            joined = self.at(k)[0] == "op" and self.at(k)[1] in ("+", ".", "..", "\\", "&")
+            if joined:
+                k = self.skip_lines(k + 1)
+            if self.at(k)[0] not in _STRINGS or not (joined or open_ or k == i):
+                return value, (start, end)
+            value, end, i = value + self.at(k)[1], self.at(k)[2][1], k + 1
+
+    def secrets(self) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        for i, (kind, _, _) in enumerate(self.tokens):
+            if kind != "name" and kind not in _STRINGS:
+                continue
+            names, k = self.target(i)
+            k = self.assigned(k)
+            literal = self.value(k) if k >= 0 else None
+            if literal is None:
+                continue
+            self.constants[names[0] if len(names) == 1 else f"{names[0]}[{names[-1]}]"] = literal
+            weight, score = max(map(name_weight, names)), literal_score(literal[0])
+            if weight and score > 0 and weight + score >= THRESHOLD:
+                found.add(literal[1])
+        return found
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that score as secrets under the names they reach."""
+    """Spans of literals that score as secrets under the names they reach: those of the tokens, and bare values of configuration."""
+    quoted = _Tokens(text).secrets() if _STEM.search(text) and any(q in text for q in "\"'`") else set()
+    bare = [x for x in _configured(text) if not any(a <= x[0] and x[1] <= b for a, b in quoted)]
+    return sorted({*quoted, *bare})
+
+
+def _configured(text: str) -> list[tuple[int, int]]:
     constants: dict[str, tuple[int, int]] = {}
     found: set[tuple[int, int]] = set()
     for m in _PAIR.finditer(text):

@@ -602,3 +602,19 @@ def test_page_unlabelled_furniture():
         assert html_density.main_text(f"<html><body>{page}</body></html>").split("\n\n") == [body.strip()] * 3
     two = f"<div>{notice}<div>{story}</div><div>{story}</div></div>"  # an equally dense sibling is part of the article
     assert html_density.main_text(f"<html><body>{two}</body></html>").split("\n\n") == [body.strip()] * 6
+
+
+def test_secret_lexer_forms():
+    key = "Xk29fQz7LmP0vRt4"
+    for code, literal in (
+        (f'config["password"] = "{key}"', key), (f'api_key: str = "{key}"', key), (f'const token: string = "{key}";', key), (f'auth: Optional[str] = "{key}"', key),
+        (f'password\t=\t"{key}"', key), (f'client_secret:\t"{key}"', key), (f'secret = """{key}\nab+{key}"""', f"{key}\nab+{key}"), (f'pwd = "{key}\\"{key}"', f'{key}\\"{key}'),
+        (f'token = "{key}" + "Qw8"', f'{key}" + "Qw8'), (f'token = ("{key}"\n    "Qw8")', f'{key}"\n    "Qw8'), ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+        (f'char token[] = "{key}";', key), (f'x = "{key}"\nconfig["secret"] = x', key),
+    ):
+        text = f"import os\n{code}\nprint(1)\n"
+        a = text.index(literal)
+        assert any(s <= a and a + len(literal) <= e for _, s, e in secrets.scan(text)[1]), code
+        assert literal not in secrets.redact(text) and "Qw8" not in secrets.redact(text)
+    for code in ('password_label = "Please enter your password"', 'tokens["count"] = "12"', 'title: str = "Xk29fQz7LmP0vRt4"'):
+        assert not secrets.scan(code)[1], code
