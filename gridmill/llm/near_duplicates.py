@@ -59,7 +59,7 @@ def _bag_keys(rows: np.ndarray, elements: np.ndarray, counts: np.ndarray, n: int
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, signed: bool) -> DataFrame:
-    """(doc_id, hi, lo, size, then sig or text) of every row that has a word; the same columns with nulls for others."""
+    """(doc_id, hi, lo, size, then sig or text, text_key) of every row that has a word; the same columns with nulls for others."""
     last = "sig" if signed else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,10 +78,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, signed: bool) -> DataFra
                     column = pa.array([None if e else r.tobytes() for e, r in zip(none, raw, strict=True)], pa.binary())
                 else:
                     column = part.column(1).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hi, mask=none), pa.array(lo, mask=none), pa.array(size), column], names=["doc_id", "hi", "lo", "size", last])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hi, mask=none), pa.array(lo, mask=none), pa.array(size), column, part.column(2)], names=["doc_id", "hi", "lo", "size", last, "text_key"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id long, hi long, lo long, size long, {last} {'binary' if signed else 'string'}")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return narrow.mapInArrow(run, f"doc_id long, hi long, lo long, size long, {last} {'binary' if signed else 'string'}, text_key long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -191,7 +191,7 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, hi, lo): one row for each row of ``docs``; hi and lo are the key of its bag (null without words)."""
+    """(doc_id, class_id, hi, lo, comp, text_key): one row for each row of ``docs``; hi and lo are the key of its bag, comp its class (null without words)."""
     rows = saved(_keyed(docs, id_col, text_col, signed=True))
     nodes = rows.filter(F.col("sig").isNotNull()).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -230,9 +230,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     comp = _labelled(nodes.select("node", "hi", "lo", "first_id"), found)
     least = saved(comp.groupBy("comp").agg(F.min("first_id").alias("class_id")))
     release(docs.sparkSession)
-    named = comp.join(least, "comp").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("class_id").alias("_class"))
-    out = rows.select("doc_id", "hi", "lo").join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
-    return out.select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"), "hi", "lo")
+    named = comp.join(least, "comp").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("class_id").alias("_class"), "comp")
+    out = rows.select("doc_id", "hi", "lo", "text_key").join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
+    return out.select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"), "hi", "lo", "comp", "text_key")
 
 
 def _band_keys() -> Column:
@@ -242,12 +242,16 @@ def _band_keys() -> Column:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class: the one with the least id; documents without words all stay.  Ids name documents: of rows with one id, one stays."""
+    """One document of each class: the one with the least id; documents without words all stay.
+
+    Ids and texts together name rows, so rows with one id, or with none, but unrelated texts stay too.
+    """
     marked = classes(docs, id_col, text_col, similarity)
-    chosen = saved(marked.filter(F.col("hi").isNotNull()).groupBy("class_id").agg(F.min("doc_id").alias("doc_id")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    chosen = saved(marked.filter(F.col("comp").isNotNull()).groupBy("comp").agg(least).select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_key").alias("chosen_key")))
     has_word = F.coalesce(F.regexp_like(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
     # The row travels as one struct, so that no column of ``docs`` can clash with those made here.
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), has_word.alias("has_word"))
-    with_words = inner.filter("has_word").join(chosen, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["id"])
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), has_word.alias("has_word"))
+    with_words = inner.filter("has_word").join(chosen, (F.col("text_key") == F.col("chosen_key")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["id", "text_key"])
     kept = with_words.unionByName(inner.filter(~F.col("has_word")))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

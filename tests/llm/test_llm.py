@@ -618,3 +618,12 @@ def test_secret_lexer_forms():
         assert literal not in secrets.redact(text) and "Qw8" not in secrets.redact(text)
     for code in ('password_label = "Please enter your password"', 'tokens["count"] = "12"', 'title: str = "Xk29fQz7LmP0vRt4"'):
         assert not secrets.scan(code)[1], code
+
+
+def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(5)), (8, text(5)), (None, text(4)), (7, text(4) + " more"), (None, None)]
+    kept = near_duplicates.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    assert sorted(t or "" for t in kept["text"] if t not in (text(4), text(4) + " more")) == sorted(["", text(1), text(2), text(3), text(5)])
+    assert sum(t in (text(4), text(4) + " more") for t in kept["text"]) == 1
+    assert kept[kept["text"] == text(5)]["doc_id"].tolist() == [7]
