@@ -1,12 +1,14 @@
 """Cross-entropy difference of a target and a background model.
 
-Both are modified Kneser-Ney models of words over the same vocabulary, every
-token of the corpus: the target's from all trusted labelled texts, the
-background's from all documents.  A document's score is the mean over its tokens
-of the target's loss minus the background's; low scores are more like the target.
+Both are bigram models of words over one vocabulary, every token of the corpus, of
+one order, smoothing and size (``word_models``): the target's from all trusted
+labelled texts, the background's from all documents, scaled to the target's size.
+A document's score is the mean over its tokens (its end is one) of the target's
+loss minus the background's; low scores are more like the target.
 
 Null and empty texts have no tokens and score 0.  Repeated rows count as often
-as they occur and get equal scores.  Without target texts the target is uniform.
+as they occur and get equal scores.  Long texts are a block of their own.  Without
+target texts the target is the background's unigram model.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,19 +20,12 @@ from gridmill.llm import word_models
 from gridmill.llm.quality_kneser_ney import good_ids
 
 
-def _scored(marked: DataFrame) -> DataFrame:
-    found = word_models.losses(marked)
-    return found.select("doc_id", "n_tokens", F.col("loss_m").alias("target_loss"), F.col("loss_n").alias("background_loss"), (F.col("loss_m") - F.col("loss_n")).alias("difference"))
-
-
 def score(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference): losses a token in nats, of every row."""
-    part = lambda df, n, m: df.select("doc_id", F.col(text_col).alias("text"), F.lit(n).alias("times"), F.lit(m).alias("target_times"))
-    return _scored(part(docs, 1, 0).unionByName(part(target, 0, 1)))
+    """(doc_id, n_tokens, target_loss, background_loss, difference): losses a token in nats, of every row of ``docs``."""
+    return word_models.losses(docs, target, text_col).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
 def score_against_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The target is every document labelled as good."""
-    good = good_ids(labels).select(F.col("doc_id").alias("_good")).distinct()
-    marked = docs.join(good, F.col("doc_id") == F.col("_good"), "left")
-    return _scored(marked.select("doc_id", "text", F.lit(1).alias("times"), F.col("_good").isNotNull().cast("int").alias("target_times")))
+    good = good_ids(labels).select("doc_id").distinct()
+    return score(docs, docs.join(good, "doc_id", "left_semi").select("doc_id", "text"))

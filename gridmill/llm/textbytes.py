@@ -30,22 +30,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One random odd 64-bit number for each byte value.
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: An odd multiplier has an inverse modulo 2**64, which makes hashes of slices comparable.
+#: A random 64-bit number for each byte value at each of the first places of a word.
+_PLACES = 64
+_PLACE_CODE = mix64(mix64(np.arange(1, _PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + np.arange(256, dtype=np.uint64)).ravel()
 _BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(max(n, 1), dtype=np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out[:n]
+_HASH_BYTES = 1 << 20
 
 
 def as_single(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -99,13 +88,29 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice that depends on its bytes alone."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    back = _powers(_BASE_INV, len(data) + 1)[starts]
-    return mix64((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each slice that depends on its bytes alone: the sum of a random number for each byte at its place.
+
+    Tabulation of (place, byte) has no words of a form that collide, as sums of powers modulo 2**64 have.
+    """
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    before = np.concatenate(([0], np.cumsum(size)))
+    at = 0
+    while at < len(starts):
+        # A bounded number of bytes at a time (or one slice).
+        end = max(at + 1, int(np.searchsorted(before, before[at] + _HASH_BYTES, side="right")) - 1)
+        n = size[at:end]
+        place = np.arange(before[end] - before[at]) - np.repeat(before[at:end] - before[at], n)
+        byte = data[np.repeat(starts[at:end], n) + place]
+        if len(n) and int(n.max()) <= _PLACES:
+            code = _PLACE_CODE[(place << 8) | byte]
+        else:
+            code = mix64(mix64((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + byte)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)))
+        cut = before[at : end + 1] - before[at]
+        out[at:end] = mix64(sums[cut[1:]] - sums[cut[:-1]] + n.astype(np.uint64))
+        at = end
+    return out
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,14 +1,20 @@
-"""Interpolated modified Kneser-Ney bigram models of words, whose counts grow with the corpus.
+"""Matched bigram models of words, whose counts grow with the corpus.
 
 A token is a run of letters and digits, one other ASCII sign, or one character of
-three or more UTF-8 bytes (scripts that write words without spaces).  Tokens and
-the pairs of a token and its context are 64-bit hashes of their whole bytes;
-nothing is folded, and no count is dropped.  The vocabulary is every token of
-both collections, so two models over it can be compared.
-
-Counts, context sums, unigram shares and the pairs of the texts are joined as
-shards; no task and not the driver holds a model.  Both passes go through the
-pairs in ``ROUNDS`` parts, whose shuffle files are released one after the other.
+three or more UTF-8 bytes (scripts that write words without spaces); a text's
+bounds are a token too.  Tokens and pairs are known by 64-bit hashes of their whole
+bytes; nothing is folded and no count is dropped.
+
+Both models have the vocabulary of both collections, the order and the smoothing in
+common, and one size: the background's counts are scaled by ``r`` to as many tokens
+as the target has, which are the expected counts of a sample of that size, taken
+over all documents:
+
+    p(w) = (r n(w) + KAPPA b(w)) / (r N + KAPPA),  b(w) the share of w in the background and target
+    p(w | c) = (r n(c, w) + MU p(w)) / (r n(c) + MU)
+
+Counts are added up in shards of keys, and come back to the blocks of texts that
+asked for them (``shardjoin``); no task and not the driver holds a model.
 """
 
 from __future__ import annotations
@@ -17,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.shared import release, saved
-from gridmill.llm.textbytes import SPACE_BYTES, blocks, mix64, utf8_buffers, word_hashes
+from gridmill.llm import shardjoin
+from gridmill.llm.textbytes import SPACE_BYTES, mix64, word_hashes
 
-ROUNDS = 4
-SCALE = 1_000_000
+MU, KAPPA = 20.0, 1000.0
 _SPACE, _WORD, _SIGN = range(3)
-_START = np.uint64(1)  # the context of a text's first token
+_BOUND = np.uint64(1)  # stands before the first token and after the last
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: The key whose count is that of all tokens.
+_ALL = np.uint64(7)
 
 
 def _kinds() -> np.ndarray:
@@ -59,127 +66,72 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, context, token) of every token."""
+def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, context, token) of every token and of the end of every text that has one."""
     starts, ends, rows = tokens_of(data, offsets)
-    token = word_hashes(data, starts, ends)
-    context = np.concatenate(([_START], token[:-1])) if len(token) else token
-    context[np.flatnonzero(np.diff(rows, prepend=-1))] = _START
-    return rows, context, token
-
-
-def _pair_rows(marked: DataFrame, by: str, shard: int, per_text: bool) -> DataFrame:
-    """Pairs of one part (by hash of ``by``) with their counts n in the background and m in the target; ``per_text``: by text key too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in blocks(batch.column(0), 1 << 20 if per_text else 8 << 20):
-                part = batch.slice(a, b - a)
-                data, offsets = utf8_buffers(part.column(0))
-                rows, context, token = pairs(data, offsets)
-                mine = mix64(context if by == "c" else token) % np.uint64(ROUNDS) == shard
-                rows, context, token = rows[mine], context[mine], token[mine]
-                if not len(rows):
-                    continue
-                times = [part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)]
-                key = mix64(context) * _PAIR + token
-                if per_text:
-                    key = mix64(key) + mix64(rows.astype(np.uint64) + np.uint64(1))
-                order = np.argsort(key)
-                first = np.flatnonzero(np.diff(key[order], prepend=~key[order[0]]))
-                n, m = (np.add.reduceat(t[rows[order]], first) for t in times)
-                at = order[first]
-                columns = [context[at].view(np.int64), token[at].view(np.int64), n, m]
-                if per_text:
-                    columns.append(word_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)[rows[at]])
-                for i in range(0, len(at), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names=["c", "w", "n", "m", "key"][: len(columns)])
-
-    return marked.select("text", "times", "target_times").mapInArrow(run, "c long, w long, n long, m long" + (", key long" if per_text else ""))
-
-
-def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """The three discounts of Chen and Goodman from counts of counts; plain ones where too few n-grams tell."""
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True))
-
-
-def _share(n: str, d: tuple[float, float, float]) -> Column:
-    """A count less its discount; 0 for none."""
-    x = F.col(n)
-    return F.when(x == 0, 0.0).when(x == 1, 1 - d[0]).when(x == 2, 2 - d[1]).otherwise(x - d[2])
-
-
-def _cut(n: str, d: tuple[float, float, float]) -> Column:
-    return d[0] * F.count_if(F.col(n) == 1) + d[1] * F.count_if(F.col(n) == 2) + d[2] * F.count_if(F.col(n) > 2)
-
-
-def _count_counts(n: str, name: str) -> list[Column]:
-    return [F.count_if(F.col(n) == k).alias(f"{name}{k}") for k in (1, 2, 3, 4)]
-
-
-def _unigrams(marked: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
-    """(w, p_n, p_m): the lowest order of both models, and the discounts of their pairs."""
-    parts: list[DataFrame] = []
-    counts = dict.fromkeys([f"{x}{k}" for x in "nm" for k in (1, 2, 3, 4)], 0)
-    for shard in range(ROUNDS):
-        level = _pair_rows(marked, "w", shard, False).groupBy("c", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        part = level.groupBy("w").agg(F.count_if(F.col("n") > 0).alias("n"), F.count_if(F.col("m") > 0).alias("m"), *_count_counts("n", "n"), *_count_counts("m", "m")).persist()
-        row = part.agg(*[F.sum(k).alias(k) for k in counts]).first()
-        counts = {k: v + (row[k] or 0) for k, v in counts.items()}
-        parts.append(saved(part.select("w", "n", "m")))
-        part.unpersist(True)
-        release(marked.sparkSession)
-    words = parts[0]
-    for p in parts[1:]:
-        words = words.unionByName(p)
-    sums = words.agg(F.count(F.lit(1)).alias("size"), *[F.sum(x).alias(f"total_{x}") for x in "nm"], *_count_counts("n", "n"), *_count_counts("m", "m"), *[F.count_if(F.col(x) > k).alias(f"{x}_over_{k}") for x in "nm" for k in (0, 2)]).first()
-    even = 1 / max(1, sums["size"])
-    out = []
-    for x in "nm":
-        d = _discounts(*(sums[f"{x}{k}"] for k in (1, 2, 3, 4)))
-        total = sums[f"total_{x}"]
-        cut = d[0] * sums[f"{x}1"] + d[1] * sums[f"{x}2"] + d[2] * sums[f"{x}_over_2"]
-        out.append(((_share(x, d) + cut * even) / total if total else F.lit(even)).alias(f"p_{x}"))
-    return words.select("w", *out), {x: _discounts(*(counts[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "nm"}
-
-
-def _loss(x: str, d: tuple[float, float, float]) -> Column:
-    p = F.when(F.col(f"total_{x}") > 0, (_share(x, d) + F.col(f"cut_{x}") * F.col(f"p_{x}")) / F.col(f"total_{x}")).otherwise(F.col(f"p_{x}"))
-    return F.round(-F.log(p) * SCALE).cast("long").alias(f"loss_{x}")
-
-
-def losses(marked: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, loss_n, loss_m): mean losses in nats a token of every row that occurs in the background.
-
-    ``marked`` has doc_id, text, and ``times`` and ``target_times``, how often the row counts in the background and in the target.
-    Equal texts have equal losses, so sums are kept by a hash of the text; losses are whole numbers until the end.
-    """
-    unigrams, discounts = _unigrams(marked)
-    sums: DataFrame | None = None
-    for shard in range(ROUNDS):
-        found = _pair_rows(marked, "c", shard, True).repartition("c", "w")
-        level = found.groupBy("c", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        contexts = level.groupBy("c").agg(*[F.sum(x).alias(f"total_{x}") for x in "nm"], *[_cut(x, discounts[x]).alias(f"cut_{x}") for x in "nm"])
-        model = level.join(contexts, "c").join(unigrams, "w").select("c", "w", *[_loss(x, discounts[x]) for x in "nm"])
-        scored = found.filter("n > 0").select("c", "w", "key", F.col("n").alias("k")).join(model, ["c", "w"])
-        part = saved(scored.groupBy("key").agg(F.sum("k").alias("k"), *[F.sum(F.col("k") * F.col(f"loss_{x}")).alias(f"loss_{x}") for x in "nm"]))
-        sums = part if sums is None else sums.unionByName(part)
-        release(marked.sparkSession)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in blocks(batch.column(1), 4 << 20):
-                part = batch.slice(a, b - a)
-                data, offsets = utf8_buffers(part.column(1))
-                size = np.bincount(tokens_of(data, offsets)[2], minlength=b - a).astype(np.int64)
-                key = word_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(key)], names=["doc_id", "n_tokens", "key"])
-
-    docs = marked.filter("times > 0").select("doc_id", "text")
-    listed = docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, key long")
-    means = sums.groupBy("key").agg(*[(F.sum(f"loss_{x}") / F.sum("k") / SCALE).alias(f"loss_{x}") for x in "nm"])
-    return listed.join(means, "key", "left").select("doc_id", "n_tokens", *[F.coalesce(f"loss_{x}", F.lit(0.0)).alias(f"loss_{x}") for x in "nm"])
+    n = np.bincount(rows, minlength=len(offsets) - 1)
+    n = n[n > 0]
+    last = np.cumsum(n) + np.arange(len(n))  # places of the ends
+    token = np.full(len(rows) + len(n), _BOUND)
+    inner = np.ones(len(token), bool)
+    inner[last] = False
+    token[inner] = word_hashes(data, starts, ends)
+    row = np.empty(len(token), np.int64)
+    row[inner] = rows
+    row[last] = row[last - 1]
+    # The token before a text's first one is the end of the text before it.
+    return row, np.concatenate(([_BOUND], token[:-1])) if len(token) else token, token
+
+
+def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Keys of all tokens, then those of all pairs, then of the count of all; and where the parts end."""
+    _, context, token = events(data, offsets)
+    n = len(token)
+    return np.concatenate((mix64(token), mix64(mix64(context) * _PAIR + token), np.full(n, _ALL))), [n, 2 * n]
+
+
+def _losses(data: np.ndarray, offsets: np.ndarray, ranks: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
+    """n_tokens and mean losses under the target and the background of each row."""
+    row, context, _ = events(data, offsets)
+    token, pair, every = ranks
+    n_rows = len(offsets) - 1
+    size = np.bincount(row, minlength=n_rows)
+    out = [np.maximum(size - 1, 0).astype(np.int64)]
+    # A context is the token before it, and the bound, which is some text's end, before a first one.
+    before = np.concatenate((token[-1:], token[:-1]))
+    background, target = (x.astype(np.float64) for x in found)
+    totals = (background[every[0]], target[every[0]]) if len(every) else (0.0, 0.0)
+    both = (background + target) / max(1.0, sum(totals))
+    for count, total in ((target, totals[1]), (background, totals[0])):
+        r = totals[1] / total if totals[1] and total else 1.0
+        p = (r * count + KAPPA * both) / (r * total + KAPPA)
+        loss = -np.log((r * count[pair] + MU * p[token]) / (r * count[before] + MU))
+        out.append(np.bincount(row, weights=loss, minlength=n_rows) / np.maximum(size, 1))
+    return out
+
+
+def losses(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss): mean losses in nats a token of every row of ``docs``, which is the background."""
+    docs = shardjoin.stable(docs)
+    unit, shards = shardjoin.layout(docs, text_col)
+    asked = shardjoin.ask(docs, keys_of, shards, unit, True, text_col=text_col).unionByName(shardjoin.ask(target, keys_of, shards, unit, False, text_col=text_col))
+    dealt = asked.repartition(shardjoin.partitions(shards), "shard").sortWithinPartitions("shard", "block")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in shardjoin.runs(batches, "shard"):
+            keys = [shardjoin.unpacked_keys(r["keys"]) for r in rows]
+            distinct, rank = np.unique(np.concatenate(keys), return_inverse=True)
+            rank = np.split(rank.astype(np.int32), np.cumsum([len(k) for k in keys])[:-1])
+            counts = np.zeros((2, len(distinct)), np.int64)
+            for r, at in zip(rows, rank, strict=True):
+                counts[0 if r["block"] is not None else 1][at] += shardjoin.widened(r["counts"]).astype(np.int64)
+            seen = None
+            for r, at in zip(rows, rank, strict=True):
+                if r["block"] is not None and r["block"] != seen:
+                    seen = r["block"]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r["shard"]], pa.int32()), pa.array([seen], pa.binary()), *(pa.array([shardjoin.narrowed(c[at])], pa.binary()) for c in counts)], names=["shard", "block", "v0", "v1"]
+                    )
+
+    answers = dealt.mapInArrow(answer, "shard int, block binary, v0 binary, v1 binary")
+    return shardjoin.meet(docs, answers, keys_of, _losses, [None, None], ["n_tokens", "target_loss", "background_loss"], unit, shards, text_col=text_col)

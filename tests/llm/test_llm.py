@@ -13,7 +13,7 @@ import pytest
 from oracle import expected, rows
 from pyspark.sql import functions as F
 
-from gridmill.llm import bagminhash, cross_entropy, html_density, langid_cnn, media_audio, near_duplicates, ngram, packing, quality_kneser_ney, quality_rules, secrets, textbytes, unigram_pieces
+from gridmill.llm import bagminhash, cross_entropy, html_density, langid_cnn, media_audio, near_duplicates, ngram, packing, quality_kneser_ney, quality_rules, secrets, shardjoin, textbytes, unigram_pieces, word_models
 from gridmill.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -537,40 +537,56 @@ def test_page_layouts():
 
 
 def plain_word_losses(docs, target):
-    """Mean losses of the docs under word-pair models of docs and target, straight from the definition."""
+    """Mean losses of the docs under matched word-pair models of target and docs, straight from the definition."""
     cut = lambda t: re.findall(r"[^\W_\u0800-\uffff]+|[^\s]", t)
-    count = lambda texts: Counter(p for t in texts for p in zip(["", *cut(t)], cut(t)))
-    size = len({w for _, w in [*count(docs), *count(target)]})
-
-    def discounts(values):
-        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-        if not all(n):
-            return [0.5, 0.75, 0.9]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [min(max(x, 0.05), k - 0.05) for x, k in zip((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]), (1, 2, 3), strict=True)]
-
-    def model(texts):
-        top = count(texts)
-        low = Counter(w for _, w in top)
-        d2, d1 = discounts(top.values()), discounts(low.values())
-
-        def smooth(v, values, d, lower):
-            total = sum(values)
-            return (max(v - d[min(v, 3) - 1], 0) * (v > 0) + sum(d[min(x, 3) - 1] for x in values) * lower) / total if total else lower
-
-        return lambda c, w: smooth(top[c, w], [v for (a, _), v in top.items() if a == c], d2, smooth(low[w], low.values(), d1, 1 / size))
-
-    models = [model(docs), model(target)]
-    return [[-sum(np.log(p(c, w)) for c, w in zip(["", *cut(t)], cut(t))) / max(1, len(cut(t))) for p in models] for t in docs]
-
-
-def test_word_models(spark):
-    docs = ["the cat sat on the mat.", "the dog sat on the log, the dog!", "Über allen Gipfeln ist Ruh", "a a a a the cat", "мама мыла раму, мама", "日本語の本", "the cat sat on the mat."]
+    events = lambda t: list(itertools.pairwise(["", *cut(t), ""])) if cut(t) else []
+    count = lambda texts: Counter(p for t in texts for p in events(t))
+    tops = [count(target), count(docs)]
+    lows = [Counter(w for p in c.elements() for w in [p[1]]) for c in tops]
+    sizes = [sum(c.values()) for c in tops]
+    out = []
+    for t in docs:
+        for top, low, size in zip(tops, lows, sizes, strict=True):
+            r = sizes[0] / size if sizes[0] and size else 1
+            share = lambda w: (lows[0][w] + lows[1][w]) / sum(sizes)
+            p = lambda w: (r * low[w] + word_models.KAPPA * share(w)) / (r * size + word_models.KAPPA)  # noqa: E731, B023
+            out.append(-sum(np.log((r * top[c, w] + word_models.MU * p(w)) / (r * low[c] + word_models.MU)) for c, w in events(t)) / max(1, len(events(t))))
+    return np.array(out).reshape(-1, 2)
+
+
+@pytest.mark.parametrize("unit", [1 << 20, 40])
+def test_word_models(spark, monkeypatch, unit):
+    monkeypatch.setattr(shardjoin, "LEAST_UNIT", unit)
+    monkeypatch.setattr(shardjoin, "MOST_UNIT", unit)
+    docs = ["the cat sat on the mat.", "the dog sat on the log, the dog!", "Über allen Gipfeln ist Ruh", "a a a a the cat", "мама мыла раму, мама", "日本語の本", "the cat sat on the mat.", "", "  "]
     target = [docs[0], docs[4], "the cat is new here"]
     frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = cross_entropy.score(frame(docs), frame(target)).toPandas().sort_values("doc_id")
-    want = np.array(plain_word_losses(docs, target))
-    assert abs(got["background_loss"].to_numpy() - want[:, 0]).max() < 1e-5 and abs(got["target_loss"].to_numpy() - want[:, 1]).max() < 1e-5
+    for t in (target, []):
+        got = cross_entropy.score(frame(docs), frame(t)).toPandas().sort_values("doc_id")
+        want = plain_word_losses(docs, t)
+        assert abs(got["target_loss"].to_numpy() - want[:, 0]).max() < 1e-9 and abs(got["background_loss"].to_numpy() - want[:, 1]).max() < 1e-9
+    assert got["n_tokens"].tolist()[-2:] == [0, 0]
+    assert cross_entropy.score(frame(docs).limit(0), frame(target)).count() == 0
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(3)
+    for values in (np.empty(0, np.int64), np.zeros(3, np.int64), np.array([255, 256]), rng.integers(0, 1 << 62, 50)):
+        assert shardjoin.widened(shardjoin.narrowed(values)).tolist() == values.tolist()
+    keys = np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))
+    assert (shardjoin.unpacked_keys(shardjoin.packed_keys(keys)) == keys).all()
+    shards = shardjoin.shard_of(keys, 7).astype(int)
+    assert (np.diff(shards) >= 0).all() and set(shards) == set(range(7))
+
+
+def test_word_hashes_have_no_structured_collisions():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    n = len(a)
+    h = textbytes.word_hashes(data, np.array([0, n + 1]), np.array([n, 2 * n + 1]))
+    assert h[0] != h[1]
 
 
 def test_scoring_sees_letters_of_all_scripts_and_word_order(spark):
