@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from gridmill.llm import word_models
 from gridmill.llm.quality_kneser_ney import good_ids
+from gridmill.llm.shared import saved
+
+#: Up to so many trusted ids (16 bytes each) are broadcast; beyond, the join shuffles the texts.
+BROADCAST_IDS = 2_000_000
 
 
 def score(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
@@ -27,5 +31,7 @@ def score(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFra
 
 def score_against_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The target is every document labelled as good."""
-    good = good_ids(labels).select("doc_id").distinct()
+    good = saved(good_ids(labels).select("doc_id").distinct())
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     return score(docs, docs.join(good, "doc_id", "left_semi").select("doc_id", "text"))

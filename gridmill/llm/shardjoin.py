@@ -1,7 +1,7 @@
 """Look-ups of the n-grams of texts in tables that are dealt into shards.
 
 Texts are read in blocks of a bounded number of bytes.  A block asks once for
-each distinct n-gram in it, by a 64-bit key: its sorted keys are cut by shard
+each distinct n-gram in it, by a key of 56 bits: its sorted keys are cut by shard
 (a range of keys) and shuffled as packed arrays, and each shard answers with an
 array in the same order.  The answers meet the block's text again, so every
 occurrence is looked up where it stands.  What is shuffled are distinct n-grams
@@ -11,6 +11,9 @@ and a hot context has its n-grams in all shards.
 A block is known by a hash of its texts.  Both passes read the documents in one
 order: files are scanned twice, and anything else is written to the shared
 folder first (``stable``).  A block whose answers are incomplete raises an error.
+
+Two of n n-grams share a key with a chance below n**2 / 2**57; their counts are then
+added up.  Key 0 is asked for once a block and counts its occurrences of the first kind.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from gridmill.llm.shared import saved
 from gridmill.llm.textbytes import utf8_buffers
 
-#: Bytes of text a block and a shard: from the least for small tables to the most for large ones.
-LEAST_UNIT, MOST_UNIT = 8 << 20, 16 << 20
+#: Bytes of text a block, and on average a shard.
+UNIT = 16 << 20
+KEY_BITS = 56
 MOST_PARTITIONS = 20_000
 ANSWER, TEXTS = 0, 1
 
@@ -41,35 +45,34 @@ def stable(docs: DataFrame) -> DataFrame:
     return docs if plain else saved(docs)
 
 
-def layout(docs: DataFrame, text_col: str) -> tuple[int, int]:
-    """(bytes a block, number of shards) for all texts of ``docs``."""
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    unit = min(MOST_UNIT, max(LEAST_UNIT, total // 128))
-    return unit, max(1, -(-total // unit))
+def shard_number(docs: DataFrame, text_col: str) -> int:
+    """How many shards the n-grams of all texts are dealt into."""
+    return 1 + (docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0) // UNIT
 
 
 def partitions(shards: int) -> int:
     return min(MOST_PARTITIONS, shards)
 
 
-def narrowed(values: np.ndarray) -> bytes:
-    """Whole numbers that are not negative, each in as many bytes as the largest needs; the first byte tells how many."""
+def narrowed(values: np.ndarray, squeeze: bool = True) -> bytes:
+    """Whole numbers that are not negative: how many, then the bytes of all by their place, as far as the largest needs them."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
-    return bytes([width]) + raw[:, :width].tobytes()
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    head = len(values).to_bytes(7, "little") + bytes([width + 128 * squeeze])
+    return head + (pa.compress(raw, "zstd", asbytes=True) if squeeze else raw)
 
 
 def widened(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
+    n, width = int.from_bytes(data[:7], "little"), data[7] % 128
+    raw = pa.decompress(data[8:], n * width, "zstd", asbytes=True) if data[7] >= 128 and n else data[8:]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as their differences."""
-    return narrowed(np.concatenate((keys[:1], np.diff(keys))))
+    return narrowed(np.concatenate((keys[:1], np.diff(keys))), squeeze=False)
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
@@ -78,7 +81,11 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each key; it grows with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def as_keys(hashes: np.ndarray) -> np.ndarray:
+    return np.maximum(hashes >> np.uint64(64 - KEY_BITS), np.uint64(1))
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
@@ -108,15 +115,17 @@ def block_name(table: pa.Table) -> bytes:
     return digest.digest()
 
 
-def ask(docs: DataFrame, keys_of: Keys, shards: int, unit: int, named: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(shard, block, keys, counts): the distinct keys of each block by shard and how often each occurs; block is null unless ``named``."""
+    unit = UNIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches, unit):
             data, offsets = utf8_buffers(table.column(1))
-            every, _ = keys_of(data, offsets)
+            every, ends = keys_of(data, offsets)
             name = block_name(table) if named else None
             keys, times = np.unique(every, return_counts=True)
+            keys, times = np.concatenate((np.zeros(1, np.uint64), keys)), np.concatenate((np.array(ends[:1] or [len(every)]), times))
             del every, table
             cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
             for s in range(shards):
@@ -144,15 +153,15 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]
 
 
 def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]], list[np.ndarray]], kinds: list[str], names: list[str],
-         unit: int, shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(*keep, doc_id, *names) of every row: ``finish`` gets a block's bytes, offsets, the parts of ``keys_of`` as ranks of keys, and the answers by rank.
+         shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, doc_id, *names) of every row: ``finish`` gets a block's bytes, offsets, the parts of ``keys_of`` as ranks of keys (key 0 is the first), and the answers by rank.
 
     ``answers`` has (shard, block, values...): one array of ``kinds`` (numpy types, None for ``narrowed`` whole numbers) each, in the order of the block's keys.
     """
     fields = [f.name for f in docs.select(F.col(id_col).alias("doc_id"), *keep).schema.fields]
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("doc_id"), *[F.col(f"`{k}`") for k in keep]).alias("row"))
     row_type = docs.schema["row"].dataType
-    values = [f"v{i}" for i in range(len(kinds))]
+    values, unit = [f"v{i}" for i in range(len(kinds))], UNIT
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches, unit):
@@ -177,9 +186,9 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[n
                 every, cuts = keys_of(data, offsets)
                 keys, rank = np.unique(every, return_inverse=True)
                 del every
-                if found and len(keys) != len(found[0]):
+                if len(keys) + 1 != len(found[0]):
                     raise RuntimeError("the documents were read in another order the second time: write them before scoring")
-                results = finish(data, offsets, np.split(rank.astype(np.int32), cuts), found)
+                results = finish(data, offsets, np.split(rank.astype(np.int32) + 1, cuts), found)
                 rows_of = table.column("row").combine_chunks()
                 out = [rows_of.field(k) for k in range(len(fields))]
                 for a in range(0, table.num_rows, 10_000):

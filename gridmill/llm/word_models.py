@@ -33,8 +33,6 @@ MU, KAPPA = 20.0, 1000.0
 _SPACE, _WORD, _SIGN = range(3)
 _BOUND = np.uint64(1)  # stands before the first token and after the last
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: The key whose count is that of all tokens.
-_ALL = np.uint64(7)
 
 
 def _kinds() -> np.ndarray:
@@ -84,26 +82,25 @@ def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Keys of all tokens, then those of all pairs, then of the count of all; and where the parts end."""
+    """Keys of all tokens, then those of all pairs; and where the first part ends."""
     _, context, token = events(data, offsets)
-    n = len(token)
-    return np.concatenate((mix64(token), mix64(mix64(context) * _PAIR + token), np.full(n, _ALL))), [n, 2 * n]
+    return shardjoin.as_keys(np.concatenate((mix64(token), mix64(mix64(context) * _PAIR + token)))), [len(token)]
 
 
 def _losses(data: np.ndarray, offsets: np.ndarray, ranks: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
     """n_tokens and mean losses under the target and the background of each row."""
     row, context, _ = events(data, offsets)
-    token, pair, every = ranks
+    token, pair = ranks
     n_rows = len(offsets) - 1
     size = np.bincount(row, minlength=n_rows)
     out = [np.maximum(size - 1, 0).astype(np.int64)]
     # A context is the token before it, and the bound, which is some text's end, before a first one.
     before = np.concatenate((token[-1:], token[:-1]))
     background, target = (x.astype(np.float64) for x in found)
-    totals = (background[every[0]], target[every[0]]) if len(every) else (0.0, 0.0)
-    both = (background + target) / max(1.0, sum(totals))
-    for count, total in ((target, totals[1]), (background, totals[0])):
-        r = totals[1] / total if totals[1] and total else 1.0
+    both = (background + target) / max(1.0, background[0] + target[0])
+    for count in (target, background):
+        total = count[0]
+        r = target[0] / total if target[0] and total else 1.0
         p = (r * count + KAPPA * both) / (r * total + KAPPA)
         loss = -np.log((r * count[pair] + MU * p[token]) / (r * count[before] + MU))
         out.append(np.bincount(row, weights=loss, minlength=n_rows) / np.maximum(size, 1))
@@ -113,8 +110,8 @@ def _losses(data: np.ndarray, offsets: np.ndarray, ranks: list[np.ndarray], foun
 def losses(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss): mean losses in nats a token of every row of ``docs``, which is the background."""
     docs = shardjoin.stable(docs)
-    unit, shards = shardjoin.layout(docs, text_col)
-    asked = shardjoin.ask(docs, keys_of, shards, unit, True, text_col=text_col).unionByName(shardjoin.ask(target, keys_of, shards, unit, False, text_col=text_col))
+    shards = shardjoin.shard_number(docs, text_col)
+    asked = shardjoin.ask(docs, keys_of, shards, True, text_col=text_col).unionByName(shardjoin.ask(target, keys_of, shards, False, text_col=text_col))
     dealt = asked.repartition(shardjoin.partitions(shards), "shard").sortWithinPartitions("shard", "block")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,4 +131,4 @@ def losses(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFr
                     )
 
     answers = dealt.mapInArrow(answer, "shard int, block binary, v0 binary, v1 binary")
-    return shardjoin.meet(docs, answers, keys_of, _losses, [None, None], ["n_tokens", "target_loss", "background_loss"], unit, shards, text_col=text_col)
+    return shardjoin.meet(docs, answers, keys_of, _losses, [None, None], ["n_tokens", "target_loss", "background_loss"], shards, text_col=text_col)

@@ -556,8 +556,7 @@ def plain_word_losses(docs, target):
 
 @pytest.mark.parametrize("unit", [1 << 20, 40])
 def test_word_models(spark, monkeypatch, unit):
-    monkeypatch.setattr(shardjoin, "LEAST_UNIT", unit)
-    monkeypatch.setattr(shardjoin, "MOST_UNIT", unit)
+    monkeypatch.setattr(shardjoin, "UNIT", unit)
     docs = ["the cat sat on the mat.", "the dog sat on the log, the dog!", "Über allen Gipfeln ist Ruh", "a a a a the cat", "мама мыла раму, мама", "日本語の本", "the cat sat on the mat.", "", "  "]
     target = [docs[0], docs[4], "the cat is new here"]
     frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -572,8 +571,8 @@ def test_word_models(spark, monkeypatch, unit):
 def test_packed_arrays():
     rng = np.random.default_rng(3)
     for values in (np.empty(0, np.int64), np.zeros(3, np.int64), np.array([255, 256]), rng.integers(0, 1 << 62, 50)):
-        assert shardjoin.widened(shardjoin.narrowed(values)).tolist() == values.tolist()
-    keys = np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))
+        assert all(shardjoin.widened(shardjoin.narrowed(values, squeeze)).tolist() == values.tolist() for squeeze in (True, False))
+    keys = np.unique(rng.integers(0, 1 << shardjoin.KEY_BITS, 1000, dtype=np.uint64))
     assert (shardjoin.unpacked_keys(shardjoin.packed_keys(keys)) == keys).all()
     shards = shardjoin.shard_of(keys, 7).astype(int)
     assert (np.diff(shards) >= 0).all() and set(shards) == set(range(7))
