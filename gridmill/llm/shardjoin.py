@@ -30,7 +30,7 @@ from gridmill.llm.shared import saved
 from gridmill.llm.textbytes import utf8_buffers
 
 #: Bytes of text a block, and on average a shard.
-UNIT = 16 << 20
+UNIT = 8 << 20
 KEY_BITS = 56
 MOST_PARTITIONS = 20_000
 ANSWER, TEXTS = 0, 1
@@ -184,11 +184,19 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[n
                 table = pa.ipc.open_stream(r["texts"]).read_all()
                 data, offsets = utf8_buffers(table.column(1))
                 every, cuts = keys_of(data, offsets)
-                keys, rank = np.unique(every, return_inverse=True)
+                order = np.argsort(every)
+                every = every[order]
+                new = np.concatenate(([True], every[1:] != every[:-1])) if len(every) else np.empty(0, bool)
+                keys = every[new]
                 del every
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.cumsum(new, dtype=np.int32)
+                del order, new
                 if len(keys) + 1 != len(found[0]):
                     raise RuntimeError("the documents were read in another order the second time: write them before scoring")
-                results = finish(data, offsets, np.split(rank.astype(np.int32) + 1, cuts), found)
+                del keys
+                results = finish(data, offsets, np.split(rank, cuts), found)
+                del rank
                 rows_of = table.column("row").combine_chunks()
                 out = [rows_of.field(k) for k in range(len(fields))]
                 for a in range(0, table.num_rows, 10_000):
