@@ -1,15 +1,19 @@
 """Quality classifier: perplexity under a model of trusted text.
 
-A modified Kneser-Ney model is trained on texts labelled as good (a bounded
-sample of ``TRUSTED_SAMPLE`` labelled ids, chosen by a hash).  Each document gets
-its perplexity; short texts are drawn towards their language's level by
-``PRIOR_TOKENS`` imaginary tokens, because a few words say little.  A document is
-rejected if that lies above its language's threshold: the ``QUANTILE`` of the
-trusted texts of the language, plus ``MARGIN`` times its distance from their median.
+A modified Kneser-Ney model of characters (``ngram``) is trained on texts labelled
+as good: a bounded sample of ``TRUSTED_SAMPLE`` labelled ids, chosen by a hash, of
+which one in ``CALIBRATION`` is kept out of the training to set the thresholds.
+A document's ``score`` is its perplexity after ``PRIOR_TOKENS`` further characters
+at its language's median loss, because a few words say little.  A document is
+rejected if its score is above its language's threshold: the ``QUANTILE`` of the
+scores of the language's texts that were kept out, times ``SLACK``.
 
 Null and empty texts are kept with perplexity 1: there is nothing to reject.
-A language without ``MIN_TRUSTED`` trusted texts uses the threshold of all.
-Without any trusted text nothing is rejected.  Repeated rows get equal results.
+A language (null is one) without ``MIN_TRUSTED`` such texts uses the threshold of
+all.  Without any nothing is rejected.  Repeated rows get equal results, an empty
+table gives an empty one, and a long text is a block of its own.  Columns of
+``keep`` that clash with those made here come under their names with ``kept_``
+before them.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from gridmill.llm import ngram
 from gridmill.llm.shared import saved
 
 TRUSTED_SAMPLE = 20_000
+CALIBRATION = 4
 PRIOR_TOKENS = 200
 QUANTILE = 0.99
-MARGIN = 4.0
+SLACK = 1.15
 MIN_TRUSTED = 20
-#: Languages beyond the most frequent ones of the trusted sample share its overall threshold.
-MAX_LANGUAGES = 1000
+MADE = ("n_tokens", "perplexity", "score", "threshold", "kept")
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -35,61 +39,51 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame, n: int = TRUSTED_SAMPLE) -> DataFrame:
-    """At most ``n`` ids of documents labelled good and not toxic, by a hash of the id."""
-    return good_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").distinct()
+    """At most ``n`` ids of documents labelled good and not toxic, by a hash of the id; ``held`` for those that set the thresholds."""
+    some = good_ids(labels).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    return some.select("doc_id", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(CALIBRATION)) == 0).alias("held"))
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, n: int = TRUSTED_SAMPLE) -> DataFrame:
-    """The documents of the trusted sample; its ids are few by construction and are broadcast."""
-    return docs.join(F.broadcast(saved(trusted_ids(labels, n))), "doc_id", "left_semi")
+def _mean_loss() -> Column:
+    return F.col("loss") / F.greatest(F.col("n_tokens"), F.lit(1))
 
 
-def _mean_loss() -> Column:
-    return F.col("loss_0") / F.greatest(F.col("n_tokens"), F.lit(1))
+def _score(middle: Column) -> Column:
+    """Mean loss after adding PRIOR_TOKENS tokens of the middle loss."""
+    return (F.col("loss") + F.lit(PRIOR_TOKENS) * middle) / (F.col("n_tokens") + F.lit(PRIOR_TOKENS))
 
 
-def thresholds(scored: DataFrame) -> dict[str | None, tuple[float, float]]:
-    """language -> (median, threshold) of the mean loss of trusted texts; key None: of all of them.
+def thresholds(scored: DataFrame) -> DataFrame:
+    """(lang, mid, most): the median and the highest mean loss of each language with enough trusted texts, and of all as (null, true).
 
     The trusted sample is bounded, so its quantiles are exact and do not depend on the order of rows.
     """
-    loss = _mean_loss()
-    stats = [F.percentile(loss, F.lit(0.5)).alias("mid"), F.count(F.lit(1)).alias("n")]
-    usable = scored.filter(F.col("n_tokens") > 0)
-    mids = {r["lang"]: r["mid"] for r in usable.groupBy("lang").agg(*stats).filter(F.col("n") >= MIN_TRUSTED).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect() if r["lang"] is not None}
-    whole = usable.agg(*stats).first()
-    if not whole["n"]:
-        return {}
-    usable = usable.withColumn("value", shrunk(mids, whole["mid"])).withColumn("mid", middle(mids, whole["mid"]))
-    top = F.percentile("value", F.lit(QUANTILE)).alias("top")
-    tops = {r["lang"]: r["top"] for r in usable.filter(F.col("lang").isin(list(mids))).groupBy("lang").agg(top).collect()} if mids else {}
-    bar = lambda mid, high: (mid, high + MARGIN * (high - mid))
-    return {None: bar(whole["mid"], usable.agg(top).first()["top"])} | {k: bar(v, tops[k]) for k, v in mids.items()}
-
-
-def middle(mids: dict[str, float], other: float) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in mids.items() for x in kv])[F.col("lang")], F.lit(other)) if mids else F.lit(other)
-
-
-def shrunk(mids: dict[str, float], other: float) -> Column:
-    """Mean loss after adding PRIOR_TOKENS tokens of the language's middle loss."""
-    return (F.col("loss_0") + F.lit(PRIOR_TOKENS) * middle(mids, other)) / (F.col("n_tokens") + F.lit(PRIOR_TOKENS))
+    usable = saved(scored.filter(F.col("n_tokens") > 0).select("lang", "n_tokens", "loss"))
+    each = F.array(F.struct(F.col("lang").alias("lang"), F.lit(False).alias("whole")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("whole")))
+    dealt = usable.withColumn("g", F.explode(each)).select("g.*", "n_tokens", "loss")
+    mids = dealt.groupBy("lang", "whole").agg(F.percentile(_mean_loss(), F.lit(0.5)).alias("mid"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= MIN_TRUSTED) | F.col("whole"))
+    on = [F.col("a.lang").eqNullSafe(F.col("b.lang")), F.col("a.whole") == F.col("b.whole")]
+    both = dealt.alias("a").join(mids.alias("b"), on).select("a.lang", "a.whole", "mid", _score(F.col("mid")).alias("value"))
+    tops = both.groupBy("lang", "whole", "mid").agg(F.percentile("value", F.lit(QUANTILE)).alias("top"))
+    return tops.select("lang", "whole", "mid", (F.col("top") + F.log(F.lit(SLACK))).alias("most"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
-    """(doc_id, *keep, n_tokens, perplexity, threshold, kept) of every row of ``docs`` (columns doc_id, lang, text)."""
-    good = trusted_texts(docs, labels)
-    table = ngram.model(ngram.count(good, text_col))
-    bars = thresholds(saved(ngram.losses(good, [table], text_col=text_col, keep=("lang",))))
-    extra = tuple(k for k in keep if k not in ("doc_id", "lang", text_col))
-    docs = docs.withColumn("_text", F.col(text_col)) if text_col in keep else docs
-    scored = ngram.losses(docs, [table], text_col=text_col, keep=("lang", *extra, *(["_text"] if text_col in keep else [])))
-    perplexity = F.exp(_mean_loss())
-    if not bars:
-        limit, value = F.lit(float("inf")), F.lit(0.0)
-    else:
-        mids, tops = {k: v[0] for k, v in bars.items() if k is not None}, {k: v[1] for k, v in bars.items() if k is not None}
-        limit, value = middle(tops, bars[None][1]), shrunk(mids, bars[None][0])
-    kept = (F.col("n_tokens") == 0) | (value <= limit)
-    columns = ["doc_id", *(F.col("_text").alias(text_col) if k == text_col else F.col(k) for k in keep if k != "doc_id")]
-    return scored.select(*columns, "n_tokens", perplexity.alias("perplexity"), F.exp(limit).alias("threshold"), kept.alias("kept"))
+    """(doc_id, *keep, n_tokens, perplexity, score, threshold, kept) of every row of ``docs`` (columns doc_id, lang, text)."""
+    # Ids of the sample are few by construction and are broadcast.
+    trusted = docs.select("doc_id", F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(saved(trusted_ids(labels))), "doc_id")
+    trusted = saved(trusted)
+    model = ngram.model(ngram.count(trusted.filter("not held")))
+    # Languages of a bounded sample are bounded too; (null, true) is there if any text is.
+    bars = F.broadcast(saved(thresholds(ngram.losses(trusted.filter("held"), model, keep=("lang",)))))
+    narrow = docs.select("doc_id", F.col(text_col).alias("_text"), F.struct(F.col("lang").cast("string").alias("lang"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep) if k != text_col]).alias("_row"))
+    scored = ngram.losses(narrow, model, text_col="_text", keep=("_row", *["_text"] * (text_col in keep)))
+    own, every = bars.filter("not whole"), bars.filter("whole")
+    scored = scored.join(own.select(F.col("lang").alias("_lang"), F.col("mid").alias("_mid"), F.col("most").alias("_most")), F.col("_row.lang").eqNullSafe(F.col("_lang")), "left")
+    scored = scored.join(every.select(F.col("mid").alias("_mid_all"), F.col("most").alias("_most_all")), F.lit(True), "left")
+    middle, most = F.coalesce("_mid", "_mid_all", F.lit(0.0)), F.coalesce("_most", "_most_all", F.lit(float("inf")))
+    value = F.when(F.col("n_tokens") > 0, _score(middle)).otherwise(0.0)
+    names = [f"kept_{k}" if k in MADE else k for k in keep]
+    columns = [F.col("_text" if k == text_col else f"_row.k{i}").alias(n) for i, (k, n) in enumerate(zip(keep, names, strict=True)) if k != "doc_id"]
+    kept = (F.col("n_tokens") == 0) | (value <= most)
+    return scored.select("doc_id", *columns, "n_tokens", F.exp(_mean_loss()).alias("perplexity"), F.exp(value).alias("score"), F.exp(most).alias("threshold"), kept.alias("kept"))

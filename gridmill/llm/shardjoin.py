@@ -35,7 +35,8 @@ KEY_BITS = 56
 MOST_PARTITIONS = 20_000
 ANSWER, TEXTS = 0, 1
 
-Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[int]]]
+#: From a block's bytes and offsets: keys, where their parts end, and what ``finish`` needs besides.
+Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[int], object]]
 
 
 def stable(docs: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches, unit):
             data, offsets = utf8_buffers(table.column(1))
-            every, ends = keys_of(data, offsets)
+            every, ends, _ = keys_of(data, offsets)
             name = block_name(table) if named else None
             keys, times = np.unique(every, return_counts=True)
             keys, times = np.concatenate((np.zeros(1, np.uint64), keys)), np.concatenate((np.array(ends[:1] or [len(every)]), times))
@@ -152,15 +153,17 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]
         yield held
 
 
-def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]], list[np.ndarray]], kinds: list[str], names: list[str],
+def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[object, list[np.ndarray], list[np.ndarray]], list[np.ndarray]], kinds: list[str], names: list[str],
          shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(*keep, doc_id, *names) of every row: ``finish`` gets a block's bytes, offsets, the parts of ``keys_of`` as ranks of keys (key 0 is the first), and the answers by rank.
+    """(*keep, doc_id, *names) of every row: ``finish`` gets what ``keys_of`` hands on, its parts as ranks of keys (key 0 is the first), and the answers by rank.
 
     ``answers`` has (shard, block, values...): one array of ``kinds`` (numpy types, None for ``narrowed`` whole numbers) each, in the order of the block's keys.
     """
-    fields = [f.name for f in docs.select(F.col(id_col).alias("doc_id"), *keep).schema.fields]
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("doc_id"), *[F.col(f"`{k}`") for k in keep]).alias("row"))
-    row_type = docs.schema["row"].dataType
+    # The text itself travels once, whether it is kept or not.
+    rest = [k for k in keep if k != text_col]
+    fields = ["doc_id", *rest, *([text_col] if text_col in keep else [])]
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("doc_id"), *[F.col(f"`{k}`") for k in rest]).alias("row"))
+    kept_types = [(f.name, f.dataType.simpleString()) for f in docs.schema["row"].dataType.fields] + [(text_col, "string")] * (text_col in keep)
     values, unit = [f"v{i}" for i in range(len(kinds))], UNIT
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[n
                     continue
                 table = pa.ipc.open_stream(r["texts"]).read_all()
                 data, offsets = utf8_buffers(table.column(1))
-                every, cuts = keys_of(data, offsets)
+                every, cuts, state = keys_of(data, offsets)
                 order = np.argsort(every)
                 every = every[order]
                 new = np.concatenate(([True], every[1:] != every[:-1])) if len(every) else np.empty(0, bool)
@@ -195,15 +198,15 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[n
                 if len(keys) + 1 != len(found[0]):
                     raise RuntimeError("the documents were read in another order the second time: write them before scoring")
                 del keys
-                results = finish(data, offsets, np.split(rank, cuts), found)
-                del rank
+                results = finish(state, np.split(rank, cuts), found)
+                del rank, state
                 rows_of = table.column("row").combine_chunks()
-                out = [rows_of.field(k) for k in range(len(fields))]
+                out = [rows_of.field(k) for k in range(1 + len(rest))] + [table.column("text").combine_chunks()] * (len(fields) - 1 - len(rest))
                 for a in range(0, table.num_rows, 10_000):
                     yield pa.RecordBatch.from_arrays([*(c[a : a + 10_000] for c in out), *(pa.array(x[a : a + 10_000]) for x in results)], names=[*fields, *names])
 
     sent = docs.mapInArrow(send, "kind int, shard int, block binary, texts binary, " + ", ".join(f"{v} binary" for v in values))
     both = sent.unionByName(answers.select(F.lit(ANSWER).alias("kind"), "shard", "block", F.lit(None).cast("binary").alias("texts"), *values))
     dealt = both.repartition(partitions(shards), "block").sortWithinPartitions("block", "kind", "shard")
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in row_type.fields] + [f"{n} {'long' if n.startswith('n_') else 'double'}" for n in names])
+    types = ", ".join([f"`{k}` {t}" for k, t in kept_types] + [f"{n} {'long' if n.startswith('n_') else 'double'}" for n in names])
     return dealt.mapInArrow(score, types)

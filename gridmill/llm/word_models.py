@@ -81,17 +81,16 @@ def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, np.concatenate(([_BOUND], token[:-1])) if len(token) else token, token
 
 
-def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Keys of all tokens, then those of all pairs; and where the first part ends."""
-    _, context, token = events(data, offsets)
-    return shardjoin.as_keys(np.concatenate((mix64(token), mix64(mix64(context) * _PAIR + token)))), [len(token)]
+def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int], tuple[np.ndarray, int]]:
+    """Keys of all tokens, then those of all pairs; where the first part ends; rows of tokens and their number."""
+    row, context, token = events(data, offsets)
+    return shardjoin.as_keys(np.concatenate((mix64(token), mix64(mix64(context) * _PAIR + token)))), [len(token)], (row, len(offsets) - 1)
 
 
-def _losses(data: np.ndarray, offsets: np.ndarray, ranks: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
+def _losses(state: tuple[np.ndarray, int], ranks: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
     """n_tokens and mean losses under the target and the background of each row."""
-    row, context, _ = events(data, offsets)
+    row, n_rows = state
     token, pair = ranks
-    n_rows = len(offsets) - 1
     size = np.bincount(row, minlength=n_rows)
     out = [np.maximum(size - 1, 0).astype(np.int64)]
     # A context is the token before it, and the bound, which is some text's end, before a first one.

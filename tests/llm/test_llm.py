@@ -359,19 +359,20 @@ def test_near_duplicates_query(spark):
 
 
 def plain_kneser_ney(texts):
-    """Log-probabilities of all 64**2 contexts' next class, straight from the definition, for the classes that occur."""
+    """Probabilities of characters after others, straight from the definition."""
+    pad = chr(ngram.PAD)
     grams = Counter()
     for t in texts:
-        c = [54] * 3 + [int(ngram._CLASS[b]) for b in t.encode()]
+        c = pad * 3 + t
         for i in range(3, len(c)):
-            grams[tuple(c[i - 3 : i + 1])] += 1
+            grams[c[i - 3 : i + 1]] += 1
     levels = [grams]
     for _ in range(3):
         levels.append(Counter(g[1:] for g in levels[-1]))
 
     def probability(gram):
         level = levels[4 - len(gram)]
-        lower = probability(gram[1:]) if len(gram) > 1 else 1 / 64
+        lower = probability(gram[1:]) if len(gram) > 1 else 1 / (1 + len(level))
         n = [sum(v == k for v in level.values()) for k in (1, 2, 3, 4)]
         if all(n):
             y = n[0] / (n[0] + 2 * n[1])
@@ -382,37 +383,75 @@ def plain_kneser_ney(texts):
         total = sum(follow)
         if not total:
             return lower
-        cut = sum(d[min(v, 3) - 1] for v in follow)
         v = level.get(gram, 0)
-        return max(v - d[min(v, 3) - 1], 0) / total + cut / total * lower if v else cut / total * lower
+        return (v - d[min(v, 3) - 1] if v else 0) / total + sum(d[min(x, 3) - 1] for x in follow) / total * lower
 
     return probability
 
 
-def test_kneser_ney_is_a_model(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a bird in the hand\nis worth two", "Über allen Gipfeln ist Ruh"]
-    table = ngram.model(ngram.count(spark.createDataFrame([(t,) for t in texts], "text string")))
-    total = np.exp(table.reshape(-1, 64).astype(float) / ngram.SCALE).sum(axis=1)
-    assert abs(total - 1).max() < 0.01
-    plain = plain_kneser_ney(texts)
-    code = lambda g: sum(int(ngram._CLASS[b]) << (6 * (3 - i)) for i, b in enumerate(g))
-    for g in (b"the ", b"he c", b"zzzz", b"at o", b"xthe", b"QQth"):
-        assert abs(table[code(g)] / ngram.SCALE - np.log(plain(tuple(int(ngram._CLASS[b]) for b in g)))) < 0.002
-    sums = ngram.losses(spark.createDataFrame([(1, texts[0]), (2, None), (3, "")], "doc_id long, text string"), [table]).toPandas().set_index("doc_id")
-    c = [54] * 3 + [int(ngram._CLASS[b]) for b in texts[0].encode()]
-    assert abs(sums.loc[1, "loss_0"] + sum(np.log(plain(tuple(c[i - 3 : i + 1]))) for i in range(3, len(c)))) < 0.05
-    assert sums.loc[2, "loss_0"] == sums.loc[3, "loss_0"] == 0
+def plain_losses(texts, trusted):
+    p, pad = plain_kneser_ney(trusted), chr(ngram.PAD)
+    return [-sum(np.log(p((pad * 3 + t)[i : i + 4])) for i in range(len(t))) for t in texts]
+
+
+@pytest.mark.parametrize("unit", [1 << 20, 30])
+def test_kneser_ney_is_a_model(spark, monkeypatch, unit):
+    monkeypatch.setattr(shardjoin, "UNIT", unit)
+    trusted = ["the cat sat on the mat", "the dog sat on the log", "a bird in the hand\nis worth two", "Über allen Gipfeln ist Ruh", "мама мыла раму", "日本語の本"]
+    p = plain_kneser_ney(trusted)
+    every = sorted({c for t in trusted for c in t})
+    for context in ("the", "at ", "qqq", "日本語"):
+        assert abs(sum(p(context + c) for c in every) + p(context + "𝄞") - 1) < 1e-9
+    texts = [trusted[0], "", "the bird ist мыла раму 😀", "日本の語", "zzz", "a", trusted[0], None]
+    model = ngram.model(ngram.count(spark.createDataFrame([(t,) for t in trusted], "text string")))
+    got = ngram.losses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).toPandas().sort_values("doc_id")
+    assert got["n_tokens"].tolist() == [len(t or "") for t in texts]
+    assert abs(got["loss"].to_numpy() - plain_losses([t or "" for t in texts], trusted)).max() < 1e-4
+    empty = ngram.model(ngram.count(spark.createDataFrame([], "text string")))
+    assert ngram.losses(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), empty).first()["loss"] == 0
 
 
 def test_classifier(spark, odd_docs, labels):
     folder = "/root/testdata/sf0.01"
     got = QUERIES["op7_quality_classifier"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
-    assert (got["kept"] == (got["quality"] == 1)).mean() > 0.97
-    assert got[(got["quality"] == 1)]["kept"].mean() > 0.99
+    assert got[(got["quality"] == 1) & (got["toxic"] == 0)]["kept"].mean() > 0.99
+    assert got[got["quality"] == 0]["kept"].mean() < 0.2
+    assert (got["kept"] == ((got["n_tokens"] == 0) | (got["score"] <= got["threshold"] * (1 + 1e-12)))).all()
     odd = quality_kneser_ney.classify(odd_docs, labels, keep=("text", "node")).toPandas()
     assert len(odd) == 10 and odd[odd["doc_id"].isin([1, 2])]["kept"].all()
     assert quality_kneser_ney.classify(odd_docs, labels.limit(0)).toPandas()["kept"].all()
     assert quality_kneser_ney.classify(odd_docs.limit(0), labels).count() == 0
+    clash = odd_docs.select("doc_id", "text", "lang", *[F.lit(i).alias(k) for i, k in enumerate(quality_kneser_ney.MADE)], F.lit("x").alias("_text"))
+    clashing = quality_kneser_ney.classify(clash, labels, keep=(*quality_kneser_ney.MADE, "_text", "lang")).toPandas()
+    assert (clashing["kept_perplexity"] == 1).all() and (clashing["_text"] == "x").all() and len(clashing) == 10
+
+
+def test_classifier_verdict(spark):
+    """Scores, thresholds and verdicts against a plain version over the whole way."""
+    rng = random.Random(2)
+    words = ["ba", "na", "la", "tor", "mi", "ken"]
+    text = lambda: " ".join("".join(rng.choices(words, k=2)) for _ in range(rng.randint(1, 30)))
+    rows = [(i, text(), rng.choice(["a", "b", None])) for i in range(240)] + [(300 + i, "".join(rng.choices("xyzwqkab", k=20 * i)), "a") for i in range(1, 6)] + [(400, None, "a"), (401, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"]: r["held"] for r in quality_kneser_ney.trusted_ids(labels).collect()}
+    loss = dict(zip([r[0] for r in rows], plain_losses([r[1] or "" for r in rows], [r[1] for r in rows if held.get(r[0]) is False]), strict=True))
+    prior = quality_kneser_ney.PRIOR_TOKENS
+    bars = {}
+    for lang in ("a", "b", None, "all"):
+        some = [(loss[i], len(t)) for i, t, g in rows if held.get(i) and lang in (g, "all")]
+        if len(some) >= quality_kneser_ney.MIN_TRUSTED or lang == "all":
+            mid = np.median([x / n for x, n in some])
+            bars[lang] = mid, np.quantile([(x + prior * mid) / (n + prior) for x, n in some], quality_kneser_ney.QUANTILE) + np.log(quality_kneser_ney.SLACK)
+    got = {r["doc_id"]: r for r in quality_kneser_ney.classify(docs, labels, keep=("lang",)).collect()}
+    assert len(got) == len(rows)
+    for i, t, g in rows:
+        mid, most = bars.get(g, bars["all"])
+        n = len(t or "")
+        value = (loss[i] + prior * mid) / (n + prior) if n else 0
+        assert abs(np.log(got[i]["score"]) - value) < 1e-4 and abs(np.log(got[i]["threshold"]) - most) < 1e-4
+        assert got[i]["kept"] == (not n or value <= most)
+    assert not got[305]["kept"]
 
 
 def test_scoring(spark, odd_docs, docs, labels):
