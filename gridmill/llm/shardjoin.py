@@ -116,9 +116,9 @@ def block_name(table: pa.Table) -> bytes:
     return digest.digest()
 
 
-def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, block, keys, counts): the distinct keys of each block by shard and how often each occurs; block is null unless ``named``."""
-    unit = UNIT
+def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
+    """(shard, block, keys, counts): the distinct keys of each block by shard and how often each occurs; block is null unless ``named``.  Blocks hold the ``parts``-th part of a unit."""
+    unit = UNIT // parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches, unit):
@@ -154,7 +154,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]
 
 
 def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[object, list[np.ndarray], list[np.ndarray]], list[np.ndarray]], kinds: list[str], names: list[str],
-         shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+         shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
     """(*keep, doc_id, *names) of every row: ``finish`` gets what ``keys_of`` hands on, its parts as ranks of keys (key 0 is the first), and the answers by rank.
 
     ``answers`` has (shard, block, values...): one array of ``kinds`` (numpy types, None for ``narrowed`` whole numbers) each, in the order of the block's keys.
@@ -164,7 +164,7 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[o
     fields = ["doc_id", *rest, *([text_col] if text_col in keep else [])]
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("doc_id"), *[F.col(f"`{k}`") for k in rest]).alias("row"))
     kept_types = [(f.name, f.dataType.simpleString()) for f in docs.schema["row"].dataType.fields] + [(text_col, "string")] * (text_col in keep)
-    values, unit = [f"v{i}" for i in range(len(kinds))], UNIT
+    values, unit = [f"v{i}" for i in range(len(kinds))], UNIT // parts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches, unit):
