@@ -1,16 +1,23 @@
 """Lexical retrieval packing: fixed windows of related documents.
 
-The corpus is dealt into shards where it lies: each task reads its part in blocks
-of at most ``BLOCK_TOKENS`` tokens (or one document) and builds a BM25 inverted
-index over the block's token ids.  A window starts with a seed document; the
-index returns unused neighbours, best first, and they fill the window greedily.
-The document at the window's end is cut there, and its rest seeds the next
-window, so windows have no padding.  A block's last tokens, fewer than a window,
-are dealt into sequences whose lengths are powers of two.
-
-No row moves between tasks, so hot keys and groups of copies do not matter, and
-memory is bounded by a block.  Null text counts as empty: its only token is the
-end token.  Repeated rows are packed as often as they occur.
+1. Every text is tokenized once; the ids go to the shared folder.
+2. Document frequencies, lengths and their number are added up over all documents:
+   a table of at most the tokenizer's vocabulary, which every task gets.
+3. Documents are dealt into shards by what they say: the sort key is four minimum
+   hashes of their terms, weighted by BM25, so documents that share telling terms lie
+   side by side wherever they came from, and copies next to one another.  The order is
+   cut into ranges; ties are split by row, so no group of copies is one task's.
+4. A task cuts its range into shards of at most ``BLOCK_TOKENS`` tokens (or one
+   document) and builds each shard's inverted index with the corpus-wide weights.  A
+   window starts with a seed document; the index returns unused neighbours, best
+   first, and they fill the window greedily.  The document at the window's end is cut
+   there, and its rest seeds the next window, so windows have no padding.  A shard's
+   last tokens, fewer than a window, are dealt into sequences of powers of two.
+
+Neighbours come from the seed's shard, not from all of them: README gives their share
+of the true nearest documents.  Null text counts as empty: its only token is the end
+token.  Repeated rows are packed as often as they occur, a long text is packed whole
+over many windows, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -27,17 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.piececache import HashedCache, PieceCache
-from gridmill.llm.textbytes import blocks, word_hashes
+from gridmill.llm.piececache import SlicedCache, PieceCache
+from gridmill.llm.shared import saved
+from gridmill.llm.textbytes import blocks, mix64, word_hashes
 
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 3_000_000
-BLOCK_DOCS = 6000
-#: A seed asks for its most telling terms.
-QUERY_TERMS = 16
+MOST_PARTITIONS = 20_000
+#: A seed's query is its most telling terms.
+QUERY_TERMS = 24
+#: Neighbours are ranked so many at a time.
+RANKED = 256
+HASHES = 4
 K1, B = 1.2, 0.75
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
@@ -106,7 +118,7 @@ class Tokens:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        self.latin, self.other = HashedCache(self._segment_latin, CACHE_WORDS), PieceCache(self._segment, CACHE_WORDS)
+        self.latin, self.other = SlicedCache(self._segment_latin, CACHE_WORDS), PieceCache(self._segment, CACHE_WORDS)
 
     def _segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._end_to_end([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
@@ -147,34 +159,58 @@ class Tokens:
         return out
 
 
-_tokens: dict[str, Tokens] = {}
+def tokens(path: str) -> Tokens:
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokens(path)
 
-def tokens(path: str) -> Tokens:
-    """One instance a worker process, so that words stay known from task to task."""
-    if path not in _tokens:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+@dataclass
+class Corpus:
+    """What all documents tell about terms: number of documents, their mean length, and the weight of each term."""
+
+    docs: int
+    mean: float
+    idf: np.ndarray
+
+    @staticmethod
+    def of(df: np.ndarray, docs: int, total: int) -> Corpus:
+        return Corpus(docs, total / max(1, docs), np.log1p((docs - df + 0.5) / (df + 0.5)))
+
+    def terms(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, BM25 weight) of each distinct term of each document, in that order."""
+        size = np.array([len(d) for d in docs], np.int64)
+        flat = np.concatenate(docs).astype(np.int64) if len(docs) else np.empty(0, np.int64)
+        keys = np.sort(np.repeat(np.arange(len(docs)), size) * len(self.idf) + flat)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        count = np.diff(np.concatenate((first, [len(keys)])))
+        doc, term = keys[first] // len(self.idf), keys[first] % len(self.idf)
+        return doc, term, self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / max(1.0, self.mean)))
+
+    def signatures(self, docs: list[np.ndarray]) -> np.ndarray:
+        """One sort key a document: HASHES terms of 16 bits, each the least of its terms' exponential times at the rate of their weights."""
+        doc, term, weight = self.terms(docs)
+        out = np.zeros(len(docs), np.uint64)
+        if not len(doc):
+            return out.view(np.int64)
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        for k in range(HASHES):
+            bits = mix64(np.arange(len(self.idf), dtype=np.uint64) * np.uint64(HASHES) + np.uint64(k + 1))
+            time = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)[term] / np.maximum(weight, 1e-9)
+            least = np.flatnonzero(time == np.repeat(np.minimum.reduceat(time, starts), np.diff(np.append(starts, len(doc)))))
+            at = least[np.flatnonzero(np.diff(doc[least], prepend=-1))]
+            out[doc[at]] |= (mix64(term[at].astype(np.uint64)) >> np.uint64(48)) << np.uint64(16 * (HASHES - 1 - k))
+        return out.view(np.int64)
 
 
 class Index:
-    """BM25 inverted index of a block: postings sorted by term."""
+    """BM25 inverted index of a shard: postings sorted by term."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus) -> None:
         n = len(docs)
-        size = np.array([len(d) for d in docs])
-        flat = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
-        width = int(flat.max()) + 1 if len(flat) else 1
-        keys = np.sort(np.repeat(np.arange(n), size) * width + flat)
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-        count = np.diff(np.concatenate((first, [len(keys)])))
-        doc, term = keys[first] // width, keys[first] % width
-        df = np.bincount(term, minlength=width)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / max(1.0, size.mean() if n else 1.0)))
+        doc, term, weight = corpus.terms(docs)
+        df = np.bincount(term, minlength=len(corpus.idf))
         # By document: the terms that a query would use.  By term: the postings.
         self.doc_ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
         self.doc_terms, self.doc_weights = term, np.where(df[term] > 1, weight, -1.0)
@@ -183,29 +219,35 @@ class Index:
         self.ends = np.concatenate(([0], np.cumsum(df)))
         self.n = n
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with ``seed``, best first (ties: the first in the block)."""
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with ``seed``, best first (ties: the first in the shard)."""
         a, b = self.doc_ends[seed], self.doc_ends[seed + 1]
         weights = self.doc_weights[a:b]
-        pick = np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
+        pick = np.argsort(-weights, kind="stable")[:QUERY_TERMS]
         spans = [slice(self.ends[t], self.ends[t + 1]) for t, w in zip(self.doc_terms[a:b][pick], weights[pick], strict=True) if w > 0]
         if not spans:
-            return np.empty(0, np.int64)
+            return
         scores = np.bincount(np.concatenate([self.docs[s] for s in spans]), weights=np.concatenate([self.weights[s] for s in spans]), minlength=self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
-
-
-def order(docs: list[np.ndarray], sizes: np.ndarray) -> list[int]:
-    """The documents of a block as they follow one another; ``sizes`` with the end token."""
-    index, used = Index(docs), np.zeros(len(docs), bool)
+        value = scores[found]
+        if len(found) > RANKED:
+            best = value >= np.partition(value, len(value) - RANKED)[len(value) - RANKED]
+            first = found[best]
+            yield from first[np.argsort(-value[best], kind="stable")].tolist()
+            found, value = found[~best], value[~best]
+        yield from found[np.argsort(-value, kind="stable")].tolist()
+
+
+def order(docs: list[np.ndarray], sizes: np.ndarray, corpus: Corpus) -> tuple[list[int], int]:
+    """The documents of a shard as they follow one another, and how many of them the index put there; ``sizes`` with the end token."""
+    index, used = Index(docs, corpus), np.zeros(len(docs), bool)
     out: list[int] = []
-    filled = ahead = 0
+    filled = ahead = retrieved = 0
     while len(out) < len(docs):
         while used[ahead]:
             ahead += 1
-        # The document that reaches into this window is its seed, else the next in the block.
+        # The document that reaches into this window is its seed, else the next in the shard.
         if filled % WINDOW == 0:
             out.append(ahead)
             used[ahead] = True
@@ -213,9 +255,10 @@ def order(docs: list[np.ndarray], sizes: np.ndarray) -> list[int]:
         end = -(-filled // WINDOW) * WINDOW
         if filled == end:
             continue
-        for d in index.neighbours(out[-1], used).tolist():
+        for d in index.neighbours(out[-1], used):
             out.append(d)
             used[d] = True
+            retrieved += 1
             filled += int(sizes[d])
             if filled >= end:
                 break
@@ -226,7 +269,7 @@ def order(docs: list[np.ndarray], sizes: np.ndarray) -> list[int]:
                 out.append(ahead)
                 used[ahead] = True
                 filled += int(sizes[ahead])
-    return out
+    return out, retrieved
 
 
 def sequence_ends(total: int) -> np.ndarray:
@@ -240,14 +283,14 @@ def sequence_ends(total: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def pack(ids: list[int | None], docs: list[np.ndarray], first_sequence: int) -> tuple[list[list], int]:
-    """(columns of SCHEMA, number of sequences) of one block."""
+def pack(ids: list[int | None], docs: list[np.ndarray], first_sequence: int, corpus: Corpus) -> tuple[list[list], int]:
+    """(columns of SCHEMA, number of sequences) of one shard."""
     whole = [np.concatenate((d, [END_ID])).astype("<u4") for d in docs]
     sizes = np.array([len(w) for w in whole], np.int64)
     cols: list[list] = [[] for _ in range(7)]
     ends = sequence_ends(int(sizes.sum()))
     at = k = 0
-    for d in order(docs, sizes):
+    for d in order(docs, sizes, corpus)[0]:
         start, n = 0, int(sizes[d])
         while start < n:
             begin = int(ends[k - 1]) if k else 0
@@ -260,13 +303,76 @@ def pack(ids: list[int | None], docs: list[np.ndarray], first_sequence: int) ->
     return cols, len(ends)
 
 
+def id_type(vocabulary: int) -> str:
+    """Ids are stored in two bytes where the vocabulary allows it."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _ids_of(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
+def coded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): the token ids of whole texts as bytes of ``id_type``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokens(tokenizer_path)
+        kind = id_type(coder.tokenizer.get_vocab_size())
+        for batch in batches:
+            for a, b in blocks(batch.column(1), 2 << 20):
+                part = batch.slice(a, b - a)
+                found = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+
+
+def corpus_of(rows: DataFrame, vocabulary: int) -> tuple[Corpus, int]:
+    """The corpus-wide figures of (ids) rows, and the number of tokens with the end tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(vocabulary + 2, np.int64)
+        for batch in batches:
+            for x in _ids_of(batch.column(0), id_type(vocabulary)):
+                df[np.unique(x)] += 1
+                df[vocabulary:] += (1, len(x))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
+
+    found = rows.select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(vocabulary + 2, np.int64)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    n, total = int(df[vocabulary]), int(df[vocabulary + 1])
+    return Corpus.of(df[:vocabulary], n, total), total + n
+
+
+def sharded(rows: DataFrame, corpus: Corpus, total: int) -> DataFrame:
+    """(doc_id, ids), dealt by range of their signatures and sorted."""
+    shared, kind = rows.sparkSession.sparkContext.broadcast(corpus), id_type(len(corpus.idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                docs = _ids_of(part.column(1), kind)
+                same = np.array([zlib.crc32(d) for d in docs], np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.signatures(docs)), pa.array(same)], names=["doc_id", "ids", "sig", "same"])
+
+    routed = rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, sig long, same long").withColumn("at", F.monotonically_increasing_id())
+    n = max(1, min(MOST_PARTITIONS, -(-total // BLOCK_TOKENS)))
+    return routed.repartitionByRange(n, "sig", "same", "at").sortWithinPartitions("sig", "same", "at").select("doc_id", "ids")
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents; sequence ids are unique over all tasks."""
+    rows = saved(coded(docs, tokenizer_path, id_col, text_col))
+    corpus, total = corpus_of(rows, tokens(tokenizer_path).tokenizer.get_vocab_size())
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+    most, kind = BLOCK_TOKENS, id_type(len(corpus.idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        coder = tokens(tokenizer_path)
         ids: list[int | None] = []
         block: list[np.ndarray] = []
         held = 0
@@ -274,20 +380,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal ids, block, held, sequence
             if block:
-                cols, n = pack(ids, block, sequence)
+                cols, n = pack(ids, block, sequence, shared.value)
                 sequence += n
                 ids, block, held = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_ARROW)
 
         for batch in batches:
-            for a, b in blocks(batch.column(1), 2 << 20):
-                part = batch.slice(a, b - a)
-                for doc_id, found in zip(part.column(0).to_pylist(), coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    if block and (held + len(found) > BLOCK_TOKENS or len(block) >= BLOCK_DOCS):
-                        yield from flush()
-                    ids.append(doc_id)
-                    block.append(found)
-                    held += len(found) + 1
+            for doc_id, found in zip(batch.column(0).to_pylist(), _ids_of(batch.column(1), kind), strict=True):
+                if block and held + len(found) > most:
+                    yield from flush()
+                ids.append(doc_id)
+                block.append(found)
+                held += len(found) + 1
         yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return sharded(rows, corpus, total).mapInArrow(run, SCHEMA)

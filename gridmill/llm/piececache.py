@@ -61,25 +61,40 @@ class PieceCache:
         return self.store.gather(np.array(numbers, np.int64), np.fromiter(map(len, cut), np.int64, len(cut)))
 
 
-class HashedCache:
-    """Parts as slices of bytes, known by 64-bit hashes, so that only distinct parts of a block become Python objects."""
+class SlicedCache:
+    """Parts as slices of bytes; hashes group equal slices of a block, so that only distinct ones become Python objects.
+
+    A group whose slices are not the same bytes throughout is taken apart, so hashes never decide.
+    """
 
     def __init__(self, segment: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
         self.segment, self.most = segment, most
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.store = PieceStore()
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
             self.known, self.store = {}, PieceStore()
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        numbers = list(map(self.known.get, keys))
-        new = [i for i, k in enumerate(numbers) if k is None]
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        odd = unlike(data, starts, ends, first[inverse])
+        raw = data.tobytes()
+        parts = [raw[a:b] for a, b in zip(starts[first].tolist() + starts[odd].tolist(), ends[first].tolist() + ends[odd].tolist(), strict=True)]
+        inverse[odd] = len(first) + np.arange(len(odd))
+        new = [p for p in dict.fromkeys(parts) if p not in self.known]
         if new:
-            raw = data.tobytes()
-            at = first[new]
-            self.store.add(*self.segment([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-            for i in new:
-                numbers[i] = self.known[keys[i]] = len(self.known)
-        return self.store.gather(np.array(numbers, np.int64)[inverse], per_text)
+            self.store.add(*self.segment(new))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return self.store.gather(np.array([self.known[p] for p in parts], np.int64)[inverse], per_text)
+
+
+def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The slices whose bytes are not those of the slices numbered ``model``."""
+    size = ends - starts
+    same = size == size[model]
+    at = np.flatnonzero(same & (model != np.arange(len(model))))
+    n = size[at]
+    row = np.repeat(np.arange(len(at)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    differs = data[starts[at][row] + place] != data[starts[model[at]][row] + place]
+    same[at[row[differs]]] = False
+    return np.flatnonzero(~same)

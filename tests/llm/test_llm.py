@@ -177,6 +177,27 @@ def test_packing(spark, docs, odd_docs):
     assert packing.pack_documents(odd_docs.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("most", [300, 5000])
+def test_packing_shards(spark, monkeypatch, docs, most):
+    """Many small shards, also of many tiny documents."""
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", most)
+    some = docs.filter("n_chars < 4000").limit(60).unionByName(spark.range(500).selectExpr("id + 100000 doc_id", "'ab' text", "'en' lang", "'s' source", "2L n_chars")).select("doc_id", "text")
+    check_pieces(packing.pack_documents(some, tokenizer_path("word_bpe_49k.json")).toPandas(), [(r["doc_id"], r["text"]) for r in some.collect()])
+
+
+def test_tokens_do_not_rest_on_hashes(monkeypatch):
+    """Slices that hash alike are told apart by their bytes; and the structured words that once collided."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    coder = packing.tokens(tokenizer_path("word_bpe_49k.json"))
+    want = lambda t: coder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert [x.tolist() for x in coder.encode([a, b])] == [want(a), want(b)]
+    monkeypatch.setattr(packing, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    texts = ["one two three", "two six ten elf", "a bb ccc dddd", a, b, "one two three"]
+    assert [x.tolist() for x in packing.tokens(tokenizer_path("word_bpe_49k.json")).encode(texts)] == [want(t) for t in texts]
+
+
 def test_tokens_of_all_latin_characters():
     coder = packing.tokens(tokenizer_path("word_bpe_49k.json"))
     random.seed(3)
@@ -186,10 +207,66 @@ def test_tokens_of_all_latin_characters():
         assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def corpus_figures(docs, vocabulary):
+    df = np.zeros(vocabulary, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return packing.Corpus.of(df, len(docs), sum(map(len, docs)))
+
+
+def test_packing_order_against_plain_greedy():
+    """Seeds, retrieved neighbours and windows of one shard, straight from the description."""
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.5, rng.integers(1, 900)) % 300 for _ in range(120)]
+    sizes = np.array([len(d) + 1 for d in docs])
+    corpus = corpus_figures(docs, 300)
+    mean = np.mean([len(d) for d in docs])
+
+    def weight(t, d):
+        tf = (docs[d] == t).sum()
+        return corpus.idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean)) if tf else 0.0
+
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    left, out, filled = list(range(120)), [], 0
+    while left:
+        if filled % packing.WINDOW == 0:
+            out.append(left.pop(0))
+            filled += sizes[out[-1]]
+        end = -(-filled // packing.WINDOW) * packing.WINDOW
+        seed = out[-1]
+        terms = sorted((t for t in set(docs[seed].tolist()) if df[t] > 1), key=lambda t: -weight(t, seed))[: packing.QUERY_TERMS]
+        scores = {d: sum(weight(t, d) for t in terms) for d in left}
+        near = sorted((d for d in left if scores[d] > 0), key=lambda d: (-round(scores[d], 9), d))
+        while filled < end and left:
+            d = near.pop(0) if near else None
+            alone = d is None
+            d = left[0] if alone else d
+            left.remove(d)
+            out.append(d)
+            filled += sizes[d]
+            if alone:
+                break
+    got, retrieved = packing.order(docs, sizes, corpus)
+    assert got == out and retrieved > 60
+
+
+def test_packing_brings_copies_together(spark):
+    """Copies far apart in the scan are neighbours in the sequences."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
+    text = lambda: " ".join(rng.choices(words, k=250))
+    texts = [text() for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), tokenizer_path("word_bpe_49k.json")).toPandas()
+    ranked = got[got["start"] == 0].sort_values(["sequence_id", "offset"])["doc_id"].tolist()
+    place = {d: i for i, d in enumerate(ranked)}
+    assert np.median([abs(place[i] - place[i + 60]) for i in range(60)]) <= 2
+
+
 def test_index_ranks_as_bm25():
     rng = np.random.default_rng(1)
     docs = [rng.zipf(1.6, rng.integers(5, 60)) % 50 for _ in range(40)]
-    index, n, mean = packing.Index(docs), 40, np.mean([len(d) for d in docs])
+    index, n, mean = packing.Index(docs, corpus_figures(docs, 50)), 40, np.mean([len(d) for d in docs])
     for seed in range(0, 40, 7):
         used = np.zeros(40, bool)
         used[seed] = True
@@ -201,7 +278,7 @@ def test_index_ranks_as_bm25():
 
         terms = sorted((t for t in set(docs[seed].tolist()) if df[t] > 1), key=lambda t: -weight(t, seed))[: packing.QUERY_TERMS]
         scores = {d: sum(weight(t, d) for t in terms) for d in range(40) if d != seed}
-        got = index.neighbours(seed, used).tolist()
+        got = list(index.neighbours(seed, used))
         assert {d for d in scores if scores[d] > 0} == set(got)
         assert all(scores[a] >= scores[b] - 1e-9 for a, b in itertools.pairwise(got))
 
