@@ -49,7 +49,7 @@ QUERY_TERMS = 24
 RANKED = 256
 HASHES = 4
 K1, B = 1.2, 0.75
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
@@ -125,8 +125,11 @@ class Tokens:
 
     def _segment_latin(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # A part's UTF-8 bytes, each written as its sign, are what the byte-level model takes.
-        signs = [p.decode("latin-1").encode().decode("latin-1").translate(_SIGNS) for p in parts]
-        return self._end_to_end([[t.id for t in self.model.tokenize(s)] for s in signs])
+        tokenize = self.model.tokenize
+        texts = [p.decode("latin-1") for p in parts]
+        # Printable ASCII is written as itself.
+        signs = [s if s.isascii() and s.isprintable() else s.encode().decode("latin-1").translate(_SIGNS) for s in texts]
+        return self._end_to_end([[t.id for t in tokenize(s)] for s in signs])
 
     @staticmethod
     def _end_to_end(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +169,18 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
+def distinct_terms(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of each distinct term of each document, in that order."""
+    kind = np.uint32 if len(docs) * vocabulary < 1 << 32 else np.int64
+    size = np.array([len(d) for d in docs], np.int64)
+    keys = np.repeat((np.arange(len(docs)) * vocabulary).astype(kind), size)
+    keys += np.concatenate(docs) if len(docs) else 0
+    keys.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    doc, term = np.divmod(keys[first], kind(vocabulary))
+    return doc.astype(np.int64), term.astype(np.int64), np.diff(np.concatenate((first, [len(keys)])))
+
+
 @dataclass
 class Corpus:
     """What all documents tell about terms: number of documents, their mean length, and the weight of each term."""
@@ -181,11 +196,7 @@ class Corpus:
     def terms(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, BM25 weight) of each distinct term of each document, in that order."""
         size = np.array([len(d) for d in docs], np.int64)
-        flat = np.concatenate(docs).astype(np.int64) if len(docs) else np.empty(0, np.int64)
-        keys = np.sort(np.repeat(np.arange(len(docs)), size) * len(self.idf) + flat)
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-        count = np.diff(np.concatenate((first, [len(keys)])))
-        doc, term = keys[first] // len(self.idf), keys[first] % len(self.idf)
+        doc, term, count = distinct_terms(docs, len(self.idf))
         return doc, term, self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / max(1.0, self.mean)))
 
     def signatures(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -333,9 +344,10 @@ def corpus_of(rows: DataFrame, vocabulary: int) -> tuple[Corpus, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(vocabulary + 2, np.int64)
         for batch in batches:
-            for x in _ids_of(batch.column(0), id_type(vocabulary)):
-                df[np.unique(x)] += 1
-                df[vocabulary:] += (1, len(x))
+            for a in range(0, batch.num_rows, 1000):
+                docs = _ids_of(batch.column(0).slice(a, 1000), id_type(vocabulary))
+                df[:vocabulary] += np.bincount(distinct_terms(docs, vocabulary)[1], minlength=vocabulary)
+                df[vocabulary:] += (len(docs), sum(map(len, docs)))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
 

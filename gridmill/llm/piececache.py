@@ -11,6 +11,8 @@ from itertools import chain
 
 import numpy as np
 
+from gridmill.llm.textbytes import unlike
+
 
 class PieceStore:
     """Ids of numbered parts, end to end, in arrays that grow by doubling."""
@@ -85,16 +87,3 @@ class SlicedCache:
             self.store.add(*self.segment(new))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         return self.store.gather(np.array([self.known[p] for p in parts], np.int64)[inverse], per_text)
-
-
-def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """The slices whose bytes are not those of the slices numbered ``model``."""
-    size = ends - starts
-    same = size == size[model]
-    at = np.flatnonzero(same & (model != np.arange(len(model))))
-    n = size[at]
-    row = np.repeat(np.arange(len(at)), n)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    differs = data[starts[at][row] + place] != data[starts[model[at]][row] + place]
-    same[at[row[differs]]] = False
-    return np.flatnonzero(~same)

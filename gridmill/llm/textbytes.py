@@ -30,11 +30,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random 64-bit number for each byte value at each of the first places of a word.
-_PLACES = 64
-_PLACE_CODE = mix64(mix64(np.arange(1, _PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + np.arange(256, dtype=np.uint64)).ravel()
 _BASE = 0x5851F42D4C957F2D
-_HASH_BYTES = 1 << 20
+#: The first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Slices of more bytes are taken one by one.
+_LONG = 512
 
 
 def as_single(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -87,30 +87,53 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, rows
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place, the eight bytes from there on as one number; zeros follow the last."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _eight(view: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of each slice, as far as it has them."""
+    return view[starts + 8 * k] & _FIRST[np.clip(size - 8 * k, 0, 8)]
+
+
+def _salt(k: np.ndarray | int) -> np.ndarray:
+    return mix64(np.atleast_1d(np.asarray(k, np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice that depends on its bytes alone: the sum of a random number for each byte at its place.
+    """A 64-bit hash of each slice that depends on its bytes alone: sums of its scrambled eights, each scrambled by its place.
 
-    Tabulation of (place, byte) has no words of a form that collide, as sums of powers modulo 2**64 have.
+    There is no form of words that collide, as there is for sums of powers modulo 2**64.
     """
-    out = np.empty(len(starts), np.uint64)
-    size = ends - starts
-    before = np.concatenate(([0], np.cumsum(size)))
-    at = 0
-    while at < len(starts):
-        # A bounded number of bytes at a time (or one slice).
-        end = max(at + 1, int(np.searchsorted(before, before[at] + _HASH_BYTES, side="right")) - 1)
-        n = size[at:end]
-        place = np.arange(before[end] - before[at]) - np.repeat(before[at:end] - before[at], n)
-        byte = data[np.repeat(starts[at:end], n) + place]
-        if len(n) and int(n.max()) <= _PLACES:
-            code = _PLACE_CODE[(place << 8) | byte]
-        else:
-            code = mix64(mix64((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + byte)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)))
-        cut = before[at : end + 1] - before[at]
-        out[at:end] = mix64(sums[cut[1:]] - sums[cut[:-1]] + n.astype(np.uint64))
-        at = end
-    return out
+    view, size = eights(data), ends - starts
+    out = mix64(_eight(view, starts, size, 0))
+    rest, k = np.flatnonzero((size > 8) & (size <= _LONG)), 1
+    while len(rest):
+        out[rest] += mix64(_eight(view, starts[rest], size[rest], k) ^ _salt(k))
+        k += 1
+        rest = rest[size[rest] > 8 * k]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        for at in range(8, int(size[i]), 1 << 20):
+            places = np.arange(at, min(int(size[i]), at + (1 << 20)), 8)
+            part = view[starts[i] + places] & _FIRST[np.minimum(size[i] - places, 8)]
+            out[i] += mix64(part ^ _salt(places // 8)).sum(dtype=np.uint64)
+    return mix64(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The slices whose bytes are not those of the slices numbered ``model``."""
+    view, size = eights(data), ends - starts
+    same = (size == size[model]) & (_eight(view, starts, size, 0) == _eight(view, starts, size, 0)[model])
+    rest, k = np.flatnonzero(same & (size > 8) & (size <= _LONG) & (model != np.arange(len(model)))), 1
+    while len(rest):
+        same[rest] = _eight(view, starts[rest], size[rest], k) == _eight(view, starts[model[rest]], size[rest], k)
+        k += 1
+        rest = rest[same[rest] & (size[rest] > 8 * k)]
+    for i in np.flatnonzero(same & (size > _LONG) & (model != np.arange(len(model)))).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[model[i]] : ends[model[i]]])
+    return np.flatnonzero(~same)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
