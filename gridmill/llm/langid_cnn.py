@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm.textbytes import blocks, utf8_buffers
+from gridmill.llm.workers import tidy
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -191,7 +192,7 @@ def identify(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col:
                 lang, score = predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def language_of(docs: DataFrame) -> DataFrame:

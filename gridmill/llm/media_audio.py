@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.workers import tidy
+
 UNIT = 192
 RATE_IN = 16_000
 UP, DOWN = 3, 8
@@ -161,7 +163,7 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = batch.slice(a, 500)
                 yield pa.RecordBatch.from_pylist([describe(*x) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], schema=_ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def tensor_array(flat: pa.ListArray) -> pa.FixedShapeTensorArray:

@@ -34,6 +34,7 @@ from gridmill.llm import bagminhash
 from gridmill.llm.shared import release, saved
 from gridmill.llm.textbytes import bags, blocks, mix64, shingles, utf8_buffers
 from gridmill.operators.components import stars
+from gridmill.llm.workers import tidy
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -81,7 +82,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, signed: bool) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hi, mask=none), pa.array(lo, mask=none), pa.array(size), column, part.column(2)], names=["doc_id", "hi", "lo", "size", last, "text_key"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return narrow.mapInArrow(run, f"doc_id long, hi long, lo long, size long, {last} {'binary' if signed else 'string'}, text_key long")
+    return narrow.mapInArrow(tidy(run), f"doc_id long, hi long, lo long, size long, {last} {'binary' if signed else 'string'}, text_key long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -98,7 +99,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     of = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
     both = pairs.select("x", "y").join(of("x"), "x").join(of("y"), "y").select("x", "y", "text_x", "text_y")
-    return both.mapInArrow(run, "x long, y long, ok boolean")
+    return both.mapInArrow(tidy(run), "x long, y long, ok boolean")
 
 
 def _links_in_group(cols: dict[str, np.ndarray], texts: pa.Array, similarity: float) -> list[tuple[int, int]]:
@@ -174,7 +175,7 @@ def _links(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
                 if links := _links_in_group(cols, part["text"].combine_chunks(), similarity):
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *names, "sig", "text").mapInArrow(run, "x long, y long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *names, "sig", "text").mapInArrow(tidy(run), "x long, y long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.piececache import SlicedCache, PieceCache
 from gridmill.llm.shared import saved
 from gridmill.llm.textbytes import blocks, mix64, word_hashes
+from gridmill.llm.workers import tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -174,7 +175,7 @@ def distinct_terms(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray,
     kind = np.uint32 if len(docs) * vocabulary < 1 << 32 else np.int64
     size = np.array([len(d) for d in docs], np.int64)
     keys = np.repeat((np.arange(len(docs)) * vocabulary).astype(kind), size)
-    keys += np.concatenate(docs) if len(docs) else 0
+    np.add(keys, np.concatenate(docs) if len(docs) else 0, out=keys, casting="unsafe")
     keys.sort()
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
     doc, term = np.divmod(keys[first], kind(vocabulary))
@@ -335,7 +336,7 @@ def coded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
                 found = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def corpus_of(rows: DataFrame, vocabulary: int) -> tuple[Corpus, int]:
@@ -351,7 +352,7 @@ def corpus_of(rows: DataFrame, vocabulary: int) -> tuple[Corpus, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
 
-    found = rows.select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("ids").mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(vocabulary + 2, np.int64)
     df[found["term"].to_numpy()] = found["n"].to_numpy()
     n, total = int(df[vocabulary]), int(df[vocabulary + 1])
@@ -370,7 +371,7 @@ def sharded(rows: DataFrame, corpus: Corpus, total: int) -> DataFrame:
                 same = np.array([zlib.crc32(d) for d in docs], np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.signatures(docs)), pa.array(same)], names=["doc_id", "ids", "sig", "same"])
 
-    routed = rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, sig long, same long").withColumn("at", F.monotonically_increasing_id())
+    routed = rows.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, sig long, same long").withColumn("at", F.monotonically_increasing_id())
     n = max(1, min(MOST_PARTITIONS, -(-total // BLOCK_TOKENS)))
     return routed.repartitionByRange(n, "sig", "same", "at").sortWithinPartitions("sig", "same", "at").select("doc_id", "ids")
 
@@ -406,4 +407,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 held += len(found) + 1
         yield from flush()
 
-    return sharded(rows, corpus, total).mapInArrow(run, SCHEMA)
+    return sharded(rows, corpus, total).mapInArrow(tidy(run), SCHEMA)

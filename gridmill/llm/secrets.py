@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.workers import tidy
+
 #: The base patterns and the least length of what counts (group 2 of the first, all of the others).
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -233,7 +235,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     col.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t.type) for c, t in zip(cols, list(arrow)[1:], strict=True))], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -252,4 +254,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 columns[k] = pa.array([len(n) if n is not o and n != o else was for n, o, was in zip(new, old, columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(tidy(run), kind)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.shared import saved
 from gridmill.llm.textbytes import utf8_buffers
+from gridmill.llm.workers import tidy
 
 #: Bytes of text a block, and on average a shard.
 UNIT = 8 << 20
@@ -136,7 +137,7 @@ def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "keys", "counts"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "shard int, block binary, keys binary, counts binary")
+    return narrow.mapInArrow(tidy(run), "shard int, block binary, keys binary, counts binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
@@ -205,8 +206,8 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[o
                 for a in range(0, table.num_rows, 10_000):
                     yield pa.RecordBatch.from_arrays([*(c[a : a + 10_000] for c in out), *(pa.array(x[a : a + 10_000]) for x in results)], names=[*fields, *names])
 
-    sent = docs.mapInArrow(send, "kind int, shard int, block binary, texts binary, " + ", ".join(f"{v} binary" for v in values))
+    sent = docs.mapInArrow(tidy(send), "kind int, shard int, block binary, texts binary, " + ", ".join(f"{v} binary" for v in values))
     both = sent.unionByName(answers.select(F.lit(ANSWER).alias("kind"), "shard", "block", F.lit(None).cast("binary").alias("texts"), *values))
     dealt = both.repartition(partitions(shards), "block").sortWithinPartitions("block", "kind", "shard")
     types = ", ".join([f"`{k}` {t}" for k, t in kept_types] + [f"{n} {'long' if n.startswith('n_') else 'double'}" for n in names])
-    return dealt.mapInArrow(score, types)
+    return dealt.mapInArrow(tidy(score), types)

@@ -118,7 +118,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         for at in range(8, int(size[i]), 1 << 20):
             places = np.arange(at, min(int(size[i]), at + (1 << 20)), 8)
             part = view[starts[i] + places] & _FIRST[np.minimum(size[i] - places, 8)]
-            out[i] += mix64(part ^ _salt(places // 8)).sum(dtype=np.uint64)
+            out[i : i + 1] += mix64(part ^ _salt(places // 8)).sum(dtype=np.uint64)
     return mix64(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

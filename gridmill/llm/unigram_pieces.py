@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.piececache import PieceCache
 from gridmill.llm.textbytes import blocks
+from gridmill.llm.workers import tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -318,7 +319,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean")
+    return narrow.mapInArrow(tidy(run), "doc_id long, ids array<int>, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -331,4 +332,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = [None if x is None else shared.value.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=arrow)
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, text string")

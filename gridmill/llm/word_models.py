@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm import shardjoin
 from gridmill.llm.textbytes import SPACE_BYTES, mix64, word_hashes
+from gridmill.llm.workers import tidy
 
 MU, KAPPA = 20.0, 1000.0
 _SPACE, _WORD, _SIGN = range(3)
@@ -129,5 +130,5 @@ def losses(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFr
                         [pa.array([r["shard"]], pa.int32()), pa.array([seen], pa.binary()), *(pa.array([shardjoin.narrowed(c[at])], pa.binary()) for c in counts)], names=["shard", "block", "v0", "v1"]
                     )
 
-    answers = dealt.mapInArrow(answer, "shard int, block binary, v0 binary, v1 binary")
+    answers = dealt.mapInArrow(tidy(answer), "shard int, block binary, v0 binary, v1 binary")
     return shardjoin.meet(docs, answers, keys_of, _losses, [None, None], ["n_tokens", "target_loss", "background_loss"], shards, text_col=text_col)
