@@ -50,7 +50,7 @@ QUERY_TERMS = 24
 RANKED = 256
 HASHES = 4
 K1, B = 1.2, 0.75
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
@@ -119,7 +119,7 @@ class Tokens:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        self.latin, self.other = SlicedCache(self._segment_latin, CACHE_WORDS), PieceCache(self._segment, CACHE_WORDS)
+        self.latin, self.other = SlicedCache(self._segment_latin, CACHE_WORDS), PieceCache(self._segment, CACHE_WORDS // 8)
 
     def _segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._end_to_end([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
@@ -163,11 +163,18 @@ class Tokens:
         return out
 
 
+_kept: dict[str, Tokens] = {}
+
+
 def tokens(path: str) -> Tokens:
+    """One instance a worker, whose bounded memory of parts serves task after task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokens(path)
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = Tokens(path)
+    return _kept[path]
 
 
 def distinct_terms(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

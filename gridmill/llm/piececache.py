@@ -11,7 +11,7 @@ from itertools import chain
 
 import numpy as np
 
-from gridmill.llm.textbytes import unlike
+from gridmill.llm.textbytes import differ
 
 
 class PieceStore:
@@ -64,26 +64,56 @@ class PieceCache:
 
 
 class SlicedCache:
-    """Parts as slices of bytes; hashes group equal slices of a block, so that only distinct ones become Python objects.
+    """Parts as slices of bytes, all in arrays, so that only new parts become Python objects.
 
-    A group whose slices are not the same bytes throughout is taken apart, so hashes never decide.
+    Parts are found by their hashes and compared by their bytes: a part that hashes like
+    another one is segmented each time, and hashes never decide.
     """
 
     def __init__(self, segment: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
         self.segment, self.most = segment, most
-        self.known: dict[bytes, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.raw, self.used = np.empty(1 << 16, np.uint8), 0
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self.store = PieceStore()
 
+    def _add(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new parts."""
+        parts = [data[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        first = self.store.n
+        self.store.add(*self.segment(parts))
+        joined = np.frombuffer(b"".join(parts), np.uint8)
+        while self.used + len(joined) > len(self.raw):
+            self.raw = np.concatenate((self.raw, np.empty(len(self.raw), np.uint8)))
+        self.raw[self.used : self.used + len(joined)] = joined
+        self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.used += len(joined)
+        return first + np.arange(len(parts))
+
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > self.most:
-            self.known, self.store = {}, PieceStore()
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        odd = unlike(data, starts, ends, first[inverse])
+        if self.store.n > self.most:
+            self.clear()
+        size = ends - starts
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == distinct[known]
+        numbers = np.zeros(len(distinct), np.int64)
+        numbers[known] = self.numbers[at[known]]
         raw = data.tobytes()
-        parts = [raw[a:b] for a, b in zip(starts[first].tolist() + starts[odd].tolist(), ends[first].tolist() + ends[odd].tolist(), strict=True)]
-        inverse[odd] = len(first) + np.arange(len(odd))
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        if new:
-            self.store.add(*self.segment(new))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        return self.store.gather(np.array([self.known[p] for p in parts], np.int64)[inverse], per_text)
+        new = first[~known]
+        if len(new):
+            numbers[~known] = self._add(raw, starts[new], size[new])
+            self.numbers = np.insert(self.numbers, at[~known], numbers[~known])
+            self.hashes = np.insert(self.hashes, at[~known], distinct[~known])
+        of = numbers[inverse]
+        odd = size != self.sizes[of]
+        alike = np.flatnonzero(~odd)
+        odd[alike] = differ(data, starts[alike], self.raw[: self.used], self.starts[of[alike]], size[alike])
+        if odd.any():
+            of[odd] = self._add(raw, starts[odd], size[odd])
+        return self.store.gather(of, per_text)

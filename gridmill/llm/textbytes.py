@@ -122,18 +122,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """The slices whose bytes are not those of the slices numbered ``model``."""
-    view, size = eights(data), ends - starts
-    same = (size == size[model]) & (_eight(view, starts, size, 0) == _eight(view, starts, size, 0)[model])
-    rest, k = np.flatnonzero(same & (size > 8) & (size <= _LONG) & (model != np.arange(len(model)))), 1
+def differ(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the slices of ``a`` and ``b``, of ``size`` bytes each, have other bytes."""
+    if not len(size):
+        return np.empty(0, bool)
+    left, right = eights(a), eights(b)
+    out = _eight(left, a_starts, size, 0) != _eight(right, b_starts, size, 0)
+    rest, k = np.flatnonzero(~out & (size > 8) & (size <= _LONG)), 1
     while len(rest):
-        same[rest] = _eight(view, starts[rest], size[rest], k) == _eight(view, starts[model[rest]], size[rest], k)
+        out[rest] = _eight(left, a_starts[rest], size[rest], k) != _eight(right, b_starts[rest], size[rest], k)
         k += 1
-        rest = rest[same[rest] & (size[rest] > 8 * k)]
-    for i in np.flatnonzero(same & (size > _LONG) & (model != np.arange(len(model)))).tolist():
-        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[model[i]] : ends[model[i]]])
-    return np.flatnonzero(~same)
+        rest = rest[~out[rest] & (size[rest] > 8 * k)]
+    for i in np.flatnonzero(~out & (size > _LONG)).tolist():
+        n = int(size[i])
+        out[i] = not np.array_equal(a[a_starts[i] : a_starts[i] + n], b[b_starts[i] : b_starts[i] + n])
+    return out
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
