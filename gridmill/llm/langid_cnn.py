@@ -5,21 +5,24 @@ bytes).  Bytes are embedded, filters of several widths slide over a window, each
 filter keeps its maximum, and a softmax turns the pooled maxima into language
 probabilities.  A text's probabilities are the mean over its windows, weighted by
 their bytes, so all of the text counts.  Training is plain numpy with Adam on a
-bounded sample of labelled texts (``SAMPLE_PER_LANGUAGE`` texts a language,
-chosen by a hash of the id).
-
-Null text, and text without a letter, is ``und`` with score 0.  Without any
-labelled text every document is ``und``.  The prediction uses the text alone.
+bounded sample of labelled texts: about ``SAMPLE_PER_LANGUAGE`` texts a language,
+chosen by a hash of the id, and ``WINDOWS_PER_TEXT`` windows of each, spread evenly
+over the whole text.  More than ``MAX_LANGUAGES`` labels raise an error.
+
+Null text, and text without a letter (Unicode category L), is ``und`` with score 0.
+Without any labelled text every document is ``und``.  The prediction uses the text
+alone, so repeated rows get equal results; a long text is read in blocks of windows,
+and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +34,11 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 SAMPLE_PER_LANGUAGE = 600
-#: Characters of a sampled text that training looks at (prediction reads all).
-SAMPLE_CHARS = 3000
-MAX_LANGUAGES = 400
+#: Windows of a sampled text that training looks at, from all over the text (prediction reads all).
+WINDOWS_PER_TEXT = 24
+MAX_LANGUAGES = 1000
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -81,15 +84,29 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, row, size
 
 
+def windows_of(texts: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(n x WINDOW bytes, row): windows of the texts, at most ``most`` of each at even steps; ends of a few bytes are left out."""
+    data, offsets = utf8_buffers(pa.array(texts, pa.large_string()))
+    windows, row, size = cut(data, offsets)
+    good = size >= WINDOW // 8
+    if most:
+        n = np.bincount(row, minlength=len(texts))
+        place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        # Of n windows the ones at which the even steps of length n / most begin.
+        good &= (n[row] <= most) | ((place + 1) * most // n[row] > place * most // n[row])
+    return windows[good], row[good]
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteCNN:
-    """A model of the labels that occur; classes weigh the same whatever their sizes."""
-    langs = sorted(set(labels))
+    """A model of the labels of texts; classes weigh the same whatever their sizes."""
+    windows, row = windows_of(texts, WINDOWS_PER_TEXT)
+    return train_windows(windows, [labels[i] for i in row], sorted(set(labels)), epochs, batch, rate, seed)
+
+
+def train_windows(windows: np.ndarray, labels: list[str], langs: list[str], epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteCNN:
+    """A model of labelled windows."""
     rng = np.random.default_rng(seed)
-    data, offsets = utf8_buffers(pa.array([t[:SAMPLE_CHARS] for t in texts], pa.large_string()))
-    windows, row, size = cut(data, offsets)
-    full = size >= WINDOW // 8
-    windows, row = windows[full], row[full]
-    y = np.searchsorted(langs, labels)[row] if len(row) else np.empty(0, int)
+    y = np.searchsorted(langs, labels) if len(windows) else np.empty(0, int)
     # The windows of a class, dealt evenly: a bounded number a class and epoch.
     per_class = [np.flatnonzero(y == c) for c in range(len(langs))]
     each = int(min(2500, max((len(p) for p in per_class), default=0)))
@@ -144,21 +161,42 @@ def _gradients(p: dict[str, np.ndarray], windows: np.ndarray, y: np.ndarray) ->
     return grads
 
 
-def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About ``per_language`` (text, lang) pairs a language, at most twice that, by a hash of the id.
+def sample_limit(count: int, per_language: int) -> int:
+    """A hash of 62 bits below this takes about 1.2 * ``per_language`` of ``count`` rows, whatever the count."""
+    return min(1 << 62, max(1, (6 * per_language << 62) // (5 * count)))
 
-    Counts come first, so that each language's share of the hash range is known
-    and the filter runs where the rows are; nothing is sorted or shuffled by language.
+
+def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[np.ndarray, list[str], list[str]]:
+    """(windows, their labels, all labels) of about ``per_language`` texts a language, at most twice that on average, by a hash of the id.
+
+    Counts come first, so that each language's share of the hash range is known and
+    the filter runs where the rows are; texts are cut there too, so the driver gets
+    at most WINDOWS_PER_TEXT windows of a text.
     """
     usable = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.2 * per_language / r["count"]) * 1_000_000))])
-    rank = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000))
-    rows = usable.filter(rank < share[F.col("lang")]).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", rank.alias("rank"), "doc_id")
-    rows = rows.orderBy("rank", "doc_id").limit(2 * per_language * len(counts)).collect()
-    return [(r["text"], r["lang"]) for r in rows]
+        return np.zeros((0, WINDOW), np.uint8), [], []
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels: raise MAX_LANGUAGES")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], sample_limit(r["count"], per_language))])
+    rank = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("doc_id")), 2)
+    most = WINDOWS_PER_TEXT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in blocks(batch.column(0), 4 << 20):
+                part = batch.slice(a, b - a)
+                windows, row = windows_of(part.column(0).to_pylist(), most)
+                texts = [windows[row == i].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), part.column(1), part.column(2), part.column(3)], names=["windows", "lang", "rank", "doc_id"])
+
+    chosen = usable.select("text", "lang", rank.alias("rank"), "doc_id").filter(F.col("rank") < share[F.col("lang")])
+    doc_type = chosen.schema["doc_id"].dataType.simpleString()
+    # Rows of one id and language share a rank; a bound on what the driver gets holds for them too.
+    rows = chosen.mapInArrow(tidy(run), f"windows binary, lang string, rank long, doc_id {doc_type}").orderBy("rank", "doc_id", "windows").limit(2 * per_language * len(counts)).collect()
+    raw = np.frombuffer(b"".join(r["windows"] for r in rows), np.uint8).reshape(-1, WINDOW)
+    return raw, [r["lang"] for r in rows for _ in range(len(r["windows"]) // WINDOW)], sorted(r["lang"] for r in counts)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -197,6 +235,4 @@ def identify(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col:
 
 def language_of(docs: DataFrame) -> DataFrame:
     """Train on the documents that are not held out and predict all: doc_id, held_out, lang_pred, score."""
-    sample = labelled_sample(docs, ~held_out())
-    model = train([t for t, _ in sample], [c for _, c in sample])
-    return identify(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs, train_windows(*labelled_sample(docs, ~held_out()))).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")

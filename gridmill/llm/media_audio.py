@@ -4,12 +4,15 @@ A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the
 unsigned 8-bit samples of a mono WAV stream.  The stream is written, read back,
 resampled by a rational polyphase filter, cut into overlapping frames, turned
 into log-mel bands, and segmented by energy with hysteresis.  Per row there is a
-tensor of fixed shape (``SPANS`` x ``MELS``: mean bands over equal time spans)
-and the list of active segments with their times.
+tensor of fixed shape (``SPANS`` x ``MELS``: mean bands over equal time spans), the
+spans' edges and the list of active segments with their times.  Features are stored
+as blocks of Arrow's stream format, in which tensors and spans are fixed-shape tensor
+columns (``stored_features``, ``read_block``).
 
 Null text counts as empty (192 spaces); equal texts give equal rows; row order
 and extra columns do not matter; an empty table gives an empty one.  Frames are
-computed in blocks, so memory is a small multiple of one text.
+computed in blocks, so memory is a small multiple of one text.  The last frame is
+padded with silence, so every sample is in a frame.
 """
 
 from __future__ import annotations
@@ -37,10 +40,16 @@ FRAME, HOP, MELS, SPANS = 256, 128, 16, 8
 TAPS = 16
 BLOCK_FRAMES = 2048
 
-SCHEMA = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, n_frames long, log_mel array<float>, span_ms array<float>, segment_ms array<struct<start:float,end:float>>"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [SPANS, MELS], dim_names=["span", "mel"])
+EDGES = pa.fixed_shape_tensor(pa.float32(), [SPANS + 1], dim_names=["edge"])
+_COUNTS = ("doc_id", "n_bytes", "payload_bytes")
+#: The columns of a stored block.
+STORED = pa.schema(
+    [(k, pa.int64()) for k in _COUNTS]
+    + [("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64())]
+    + [("log_mel", TENSOR), ("span_ms", EDGES), ("segment_ms", pa.list_(pa.struct([("start", pa.float32()), ("end", pa.float32())])))]
 )
+BLOCK_ROWS = 500
 
 
 def padded(raw: bytes) -> bytes:
@@ -96,9 +105,9 @@ def _mel() -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x MELS log bands, frame energies in dB); a short signal is padded to one frame."""
-    if len(y) < FRAME:
-        y = np.concatenate((y, np.zeros(FRAME - len(y), np.float32)))
+    """(frames x MELS log bands, frame energies in dB); the signal is padded to whole frames."""
+    n = 1 + max(0, -(-(len(y) - FRAME) // HOP))
+    y = np.concatenate((y, np.zeros((n - 1) * HOP + FRAME - len(y), np.float32)))
     window, bank = _mel()
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     bands, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
@@ -147,30 +156,58 @@ def describe(doc_id: int | None, text: str | None) -> dict:
     }
 
 
-_ARROW = pa.schema(
-    [(k, pa.int64()) for k in ("doc_id", "n_bytes", "payload_bytes")]
-    + [("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64())]
-    + [("log_mel", pa.list_(pa.float32())), ("span_ms", pa.list_(pa.float32())), ("segment_ms", pa.list_(pa.struct([("start", pa.float32()), ("end", pa.float32())])))]
-)
+def block_of(rows: list[dict]) -> bytes:
+    """Rows of ``describe`` as one Arrow stream with fixed-shape tensor columns."""
+    columns = []
+    for f in STORED:
+        if isinstance(f.type, pa.FixedShapeTensorType):
+            values = pa.array(np.concatenate([np.asarray(r[f.name], np.float32) for r in rows]) if rows else np.empty(0, np.float32))
+            columns.append(pa.ExtensionArray.from_storage(f.type, pa.FixedSizeListArray.from_arrays(values, int(np.prod(f.type.shape)))))
+        else:
+            columns.append(pa.array([r[f.name] for r in rows], f.type))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STORED) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=STORED))
+    return sink.getvalue().to_pybytes()
 
 
-def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs`` with the columns of ``SCHEMA``; no shuffle."""
+def read_block(block: bytes) -> pa.Table:
+    """A stored block; ``log_mel`` and ``span_ms`` are fixed-shape tensor columns."""
+    return pa.ipc.open_stream(block).read_all()
+
+
+def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(n_rows, block): the features of all rows in blocks of at most BLOCK_ROWS rows; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_pylist([describe(*x) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], schema=_ARROW)
+            for a in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(a, BLOCK_ROWS)
+                rows = [describe(*x) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([block_of(rows)], pa.binary())], names=["n_rows", "block"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "n_rows long, block binary")
 
 
-def tensor_array(flat: pa.ListArray) -> pa.FixedShapeTensorArray:
-    """The ``log_mel`` column as an Arrow tensor array of shape SPANS x MELS."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [SPANS, MELS], dim_names=["span", "mel"])
-    values = pa.FixedSizeListArray.from_arrays(flat.flatten(), SPANS * MELS)
-    return pa.ExtensionArray.from_storage(kind, values)
+def digest(stored: DataFrame) -> DataFrame:
+    """A row for each row of the stored blocks, with tensor, spans and segments condensed to one string."""
+    names = [*_COUNTS, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(1):
+                table = read_block(block.as_py())
+                mel, edges = (table.column(k).combine_chunks() for k in ("log_mel", "span_ms"))
+                # Thousandths of the natural logarithm.
+                mel = np.round(mel.to_numpy_ndarray().reshape(table.num_rows, -1) * 1000).astype("<i4")
+                edges = np.round(edges.to_numpy_ndarray().reshape(table.num_rows, -1)).astype("<i4")
+                found = []
+                for i, (n, active) in enumerate(zip(table.column("n_frames").to_pylist(), table.column("segment_ms").to_pylist(), strict=True)):
+                    times = ",".join(f"{s['start']:.0f}-{s['end']:.0f}" for s in active)
+                    found.append(f"frames={n};mel={hashlib.md5(mel[i].tobytes()).hexdigest()};spans={edges[i][-1]};segments={len(active)}:{hashlib.md5(times.encode()).hexdigest()}")
+                yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in names), pa.array(found, pa.string())], names=[*names, "feature"])
+
+    return stored.select("n_rows", "block").mapInArrow(tidy(run), ", ".join(f"{k} {'string' if 'sha256' in k else 'long'}" for k in names) + ", feature string")
 
 
 def stored_wav(text: str | None) -> bytes:
@@ -182,11 +219,3 @@ def decode_wav(stored: bytes) -> bytes:
     """The samples of a stored form, by the RIFF header alone (an independent reader for checks)."""
     at = stored.index(b"data") + 4
     return stored[at + 4 : at + 4 + struct.unpack("<I", stored[at : at + 4])[0]]
-
-
-def digest(rows: DataFrame) -> DataFrame:
-    """``audio_features`` with the tensor and the segments condensed to one string."""
-    mel = F.concat_ws(",", F.transform("log_mel", lambda x: F.round(x * 10).cast("int").cast("string")))
-    seg = F.concat_ws(",", F.transform("segment_ms", lambda s: F.concat_ws("-", F.round(s["start"]).cast("int").cast("string"), F.round(s["end"]).cast("int").cast("string"))))
-    text = F.concat(F.lit("frames="), F.col("n_frames").cast("string"), F.lit(";mel="), F.md5(mel), F.lit(";segments="), F.size("segment_ms").cast("string"), F.lit(":"), F.md5(seg))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", text.alias("feature"))

@@ -6,8 +6,8 @@ into quantile sketches: histograms with 32 linear steps in each power of two
 (relative error 1/32), counted per language and source.  Such sketches merge by
 adding counts, so partial aggregation does all the work before the shuffle and a
 hot source costs no more than any other.  A rate may lie above the third
-quartile by a multiple of the quartile range plus a floor; groups with few
-documents use the merged sketch of their language.
+quartile by a multiple of the quartile range plus a floor, and never above a
+ceiling; groups with few documents use the merged sketch of their language.
 
 Null text has no words and fails the base rules.  Null languages and sources are
 groups of their own.  Repeated rows count as often as they occur.  An empty table
@@ -27,8 +27,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: rate -> (multiple of the quartile range, floor); a rate above q75 + multiple * (q75 - q25) + floor is rejected.
-RATES = {"symbol_rate": (4, 60), "dup_line_rate": (4, 400), "repeat_rate": (4, 350), "length_rate": (4, 150)}
+#: rate -> (multiple of the quartile range, floor, ceiling); a rate above the lesser of q75 + multiple * (q75 - q25) + floor and ceiling
+#: is rejected.  The ceilings lie below what a rate can reach, so that no rule is ever off, however noisy its group.
+RATES = {"symbol_rate": (4, 60, 800), "dup_line_rate": (4, 400, 800), "repeat_rate": (4, 350, 450), "length_rate": (4, 150, 2000)}
 MIN_GROUP = 50
 #: Threshold tables of at most this many rows are broadcast.
 BROADCAST_ROWS = 50_000
@@ -134,9 +135,8 @@ def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
     bins = bins.withColumn("h", running)
     quantile = lambda q: value_of(F.element_at(F.filter("h", lambda x: F.lit(100) * x["cum"] >= F.lit(q) * F.col("total")), 1)["bin"])
     bins = bins.withColumn("q25", quantile(25)).withColumn("q75", quantile(75))
-    multiple = F.element_at(F.create_map(*[F.lit(x) for k, (m, _) in RATES.items() for x in (k, m)]), F.col("rate"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for k, (_, f) in RATES.items() for x in (k, f)]), F.col("rate"))
-    return bins.select(*by, "rate", "total", (F.col("q75") + multiple * (F.col("q75") - F.col("q25")) + floor).alias("most"))
+    multiple, floor, ceiling = (F.element_at(F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[i])]), F.col("rate")) for i in range(3))
+    return bins.select(*by, "rate", "total", F.least(F.col("q75") + multiple * (F.col("q75") - F.col("q25")) + floor, ceiling.cast("long")).alias("most"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:

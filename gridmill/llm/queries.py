@@ -52,7 +52,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_audio.digest(media_audio.audio_features(_documents(spark, sf_dir)))
+    return media_audio.digest(media_audio.stored_features(_documents(spark, sf_dir)))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-_RATES = ", ".join(f"('{k}', {m}, {f})" for k, (m, f) in quality_rules.RATES.items())
+_RATES = ", ".join(f"('{k}', {m}, {f}, {c})" for k, (m, f, c) in quality_rules.RATES.items())
 _OP3 = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT k, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT k, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d)),
@@ -95,7 +95,7 @@ h AS (SELECT 1 AS own, lang, source, rate, bin, n FROM s UNION ALL SELECT 0, lan
 cum AS (SELECT *, sum(n) OVER (PARTITION BY own, lang, source, rate ORDER BY bin) AS c, sum(n) OVER (PARTITION BY own, lang, source, rate) AS total FROM h),
 q AS (SELECT own, lang, source, rate, max(total) AS total, min(bin) FILTER (100 * c >= 25 * total) AS b25, min(bin) FILTER (100 * c >= 75 * total) AS b75 FROM cum GROUP BY ALL),
 v AS (SELECT own, lang, source, rate, total, CASE WHEN b25 < 64 THEN b25 ELSE (b25 - (b25 - 32) // 64 * 64) << ((b25 - 32) // 64) END AS q25, CASE WHEN b75 < 64 THEN b75 ELSE (b75 - (b75 - 32) // 64 * 64) << ((b75 - 32) // 64) END AS q75 FROM q),
-f AS (SELECT v.*, q75 + multiple * (q75 - q25) + floor AS most FROM v JOIN (VALUES {_RATES}) AS x(rate, multiple, floor) USING (rate)),
+f AS (SELECT v.*, least(q75 + multiple * (q75 - q25) + floor, ceiling) AS most FROM v JOIN (VALUES {_RATES}) AS x(rate, multiple, floor, ceiling) USING (rate)),
 g AS (SELECT a.lang, a.source, a.rate, CASE WHEN a.total >= {quality_rules.MIN_GROUP} THEN a.most ELSE z.most END AS most FROM f a JOIN f z ON a.own = 1 AND z.own = 0 AND a.lang IS NOT DISTINCT FROM z.lang AND a.rate = z.rate),
 bad AS (SELECT DISTINCT m.k FROM m JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source AND m.rate = g.rate AND m.v > g.most)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.k IS NULL AS kept FROM b LEFT JOIN bad ON b.k = bad.k

@@ -76,6 +76,36 @@ def test_language_gradients():
         assert abs((up - down) / (2 * h) - grads[k][at]) < 0.05 * max(0.02, abs(grads[k][at]))
 
 
+def test_language_forward_pass():
+    """The network's probabilities by plain loops."""
+    rng = np.random.default_rng(1)
+    shape = lambda *s: rng.normal(0, 0.5, s)
+    size = langid_cnn.EMBED
+    model = langid_cnn.ByteCNN(["a", "b", "c"], shape(256, size), [shape(w * size, langid_cnn.FILTERS) for w in langid_cnn.WIDTHS], [shape(langid_cnn.FILTERS) for _ in langid_cnn.WIDTHS],
+                               shape(len(langid_cnn.WIDTHS) * langid_cnn.FILTERS, 3), shape(3))
+    x = rng.integers(0, 256, (2, 30), dtype=np.uint8)
+    for window, got in zip(x, model.probabilities(x), strict=True):
+        pooled = []
+        for w, f, b in zip(langid_cnn.WIDTHS, model.filters, model.bias, strict=True):
+            for j in range(langid_cnn.FILTERS):
+                acts = [sum(model.embed[window[i + k]][e] * f[k * size + e, j] for k in range(w) for e in range(size)) for i in range(len(window) - w + 1)]
+                pooled.append(max(0.0, max(acts) + b[j]))
+        z = np.exp([sum(p * model.out[i, c] for i, p in enumerate(pooled)) + model.out_bias[c] for c in range(3)])
+        assert abs(z / z.sum() - got).max() < 1e-4
+
+
+def test_language_sampling(spark):
+    limit = langid_cnn.sample_limit
+    assert limit(10**10, 600) / 2**62 == pytest.approx(720 / 10**10) and limit(100, 600) == 1 << 62 and limit(10**30, 600) > 0
+    text = "".join(chr(97 + i // langid_cnn.WINDOW % 26) for i in range(langid_cnn.WINDOW * 100))
+    windows, row = langid_cnn.windows_of([text, "ab", "x" * 500], 24)
+    assert np.bincount(row, minlength=3).tolist() == [24, 0, 3] and len({bytes(w[:1]) for w in windows[:24]}) > 15
+    odd = spark.createDataFrame([(1, "½ ² 12 ٣"), (2, "ñ"), (3, "語")], "doc_id long, text string")
+    train = langid_cnn.train(["some words of english"] * 3 + ["ein paar deutsche wörter"] * 3, ["en"] * 3 + ["de"] * 3, epochs=1)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid_cnn.identify(odd, train).collect()}
+    assert got[1] == "und" and got[2] in ("en", "de") and got[3] in ("en", "de")
+
+
 def test_language_accuracy(spark):
     got = QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").toPandas()
     held = got[got["held_out"] & got["lang"].notna()]
@@ -545,8 +575,8 @@ def test_scoring(spark, odd_docs, docs, labels):
 
 
 def test_audio_round_trip(spark, odd_docs):
-    got = media_audio.digest(media_audio.audio_features(odd_docs)).toPandas()
-    assert len(got) == 10
+    got = media_audio.digest(media_audio.stored_features(odd_docs)).toPandas()
+    assert len(got) == 10 and media_audio.digest(media_audio.stored_features(odd_docs.limit(0))).count() == 0
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
     for r in got.itertuples():
         raw = (texts[None if r.doc_id != r.doc_id else int(r.doc_id)] or "").encode()
@@ -555,8 +585,49 @@ def test_audio_round_trip(spark, odd_docs):
         stored = media_audio.stored_wav(raw.decode())
         assert media_audio.decode_wav(stored) == payload and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert got[got["doc_id"] == 5]["feature"].nunique() == 1
-    flat = media_audio.audio_features(odd_docs.limit(3)).select("log_mel").toArrow().column("log_mel").combine_chunks()
-    assert media_audio.tensor_array(flat).to_numpy_ndarray().shape == (3, media_audio.SPANS, media_audio.MELS)
+    blocks = [media_audio.read_block(r["block"]) for r in media_audio.stored_features(odd_docs).collect()]
+    assert sum(b.num_rows for b in blocks) == 10
+    for b in blocks:
+        mel = b.column("log_mel").combine_chunks()
+        assert mel.type == media_audio.TENSOR and b.column("span_ms").type == media_audio.EDGES
+        assert mel.to_numpy_ndarray().shape == (b.num_rows, media_audio.SPANS, media_audio.MELS)
+
+
+def test_audio_reads_the_tail():
+    rng = random.Random(1)
+    body = "".join(rng.choices("abcdefgh ,.", k=5376))
+    every = {media_audio.features(media_audio.padded((body[:-k] + "z" * k).encode()))[1].tobytes() for k in (0, 3, 50, 100, 150, 200, 250)}
+    assert len(every) == 7
+
+
+def test_audio_bands_from_the_definition():
+    """Resampling, frames, bands and their means by plain sums."""
+    rng = np.random.default_rng(2)
+    payload = bytes(rng.integers(0, 256, 192 * 7, dtype=np.uint8))
+    x = [(b - 128) / 128 for b in payload]
+    n = media_audio.UP * media_audio.TAPS
+    h = [np.sinc((i - (n - 1) / 2) / max(media_audio.UP, media_audio.DOWN)) * np.blackman(n)[i] for i in range(n)]
+    h = [v * media_audio.UP / sum(h) for v in h]
+    y = []
+    for m in range(-(-len(x) * media_audio.UP // media_audio.DOWN)):  # zeros between samples, the filter, every DOWN-th
+        at = m * media_audio.DOWN
+        y.append(sum(h[at - j * media_audio.UP] * x[j] for j in range(max(0, -(-(at - n + 1) // media_audio.UP)), min(len(x) - 1, at // media_audio.UP) + 1)))
+    assert abs(media_audio.resample(np.array(x, np.float32)) - y).max() < 1e-4
+    frames = 1 + max(0, -(-(len(y) - media_audio.FRAME) // media_audio.HOP))
+    y += [0.0] * ((frames - 1) * media_audio.HOP + media_audio.FRAME - len(y))
+    _, bank = media_audio._mel()
+    rows = []
+    for f in range(frames):
+        part = np.array(y[f * media_audio.HOP :][: media_audio.FRAME]) * np.hanning(media_audio.FRAME)
+        k = np.arange(media_audio.FRAME // 2 + 1)[:, None]
+        power = abs((part * np.exp(-2j * np.pi * k * np.arange(media_audio.FRAME) / media_audio.FRAME)).sum(axis=1)) ** 2
+        rows.append(np.log(power @ bank + 1e-6))
+    count, tensor, edges, _ = media_audio.features(payload)
+    assert count == frames and len(edges) == media_audio.SPANS + 1
+    for s in range(media_audio.SPANS):
+        a, b = s * frames // media_audio.SPANS, (s + 1) * frames // media_audio.SPANS
+        a, b = (a, b) if b > a else (min(a, frames - 1), min(a, frames - 1) + 1)
+        assert abs(tensor[s] - np.mean(rows[a:b], axis=0)).max() < 1e-3
 
 
 def test_audio_signal():
