@@ -4,16 +4,21 @@ The base patterns (kinds ``assign``, ``access``, ``hex``) are matched leftmost a
 without overlap over the whole text; matches that are too short are dropped
 after matching.  The lexer then reads source and configuration syntax as
 name-literal pairs (``name = "x"``, ``name: x``, ``"name" => 'x'``, ``NAME := x``,
-``a["name"] = "x"``, ``name: type = "x"``, joined, escaped and many-line literals), follows names that were assigned a literal earlier in the same text, and scores
-each literal by how sensitive the name it ends up under is and by how random the
-literal looks.  Literals that reach the threshold are spans of kind ``lexed``.
+``a["name"] = "x"``, ``name: type = "x"``, ``name = f("x")``, joined, escaped and
+many-line literals), follows names that stand for a literal assigned anywhere in the
+text, and gives names that say nothing (``value``, ``default`` ...) the name of the
+section, key or object around them.  It scores each literal by how sensitive the name
+it ends up under is and by how random the literal looks.  Literals that reach the
+threshold are spans of kind ``lexed``.
 
 Null text counts as empty and gives no spans; rows are independent, so repeated
-rows give repeated results and an empty table gives an empty one.
+rows give repeated results and an empty table gives an empty one.  Long texts are read
+whole; names and literals may be of any length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -34,7 +39,7 @@ KINDS = ("assign", "access", "hex", "lexed")
 
 _KEYWORD = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
 _PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=quote)\x20*(?P<op>:=|=>|=(?!=)|:(?![:/]))\x20*"""
+    r"""(?P<quote>["']|(?<![A-Za-z0-9_.\-]))(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=quote)\x20*(?P<op>:=|=>|=(?!=)|:(?![:/]))\x20*"""
     r"""(?:"(?P<dq>[^"\n]*)"|'(?P<sq>[^'\n]*)'|(?P<bare>[^\s"',;)}\]]+))"""
 )
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
@@ -44,12 +49,16 @@ SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3,
 SENSITIVE_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("client", "secret")}
 PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your[_-]|xxxx|\*\*\*|<[^>]*>|\$\{|\bnone\b|\bnull\b|\btrue\b|\bfalse\b")
 THRESHOLD = 4.0
+#: Names that take the name around them, and calls whose argument names a value instead of being it.
+GENERIC = frozenset("value val default data content text literal string raw plain plaintext".split())
+LOOKUPS = frozenset("get getenv env environ input getpass prompt read load open require include fetch lookup find query header param format join replace".split())
 _STEM = re.compile(r"(?ai:pass|pwd|secret|token|key|cred|auth|pin)")
 _TOKEN = re.compile(
     r"""(?:\b[rRbBuUfF]{1,2})?(?:(?P<q>\"{3}|'{3})(?P<long>(?:[^\\]|\\.)*?)(?P=q)|"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`)"""
     r"""|(?P<name>[A-Za-z_$][A-Za-z0-9_]*(?:[.\-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<op>:=|=>|[=!<>]=|\.\.|[^\s])|(?P<nl>\n)""",
     re.S,
 )
+_LINE = re.compile(r"""(?m)^(?P<indent>[ \t]*+)(?:\[(?P<section>[^\]\n]+)\][ \t]*$|(?P<parent>[A-Za-z_][\w.\-]*+)[ \t]*:[ \t]*$|(?=\S))""")
 #: Words of messages and labels, which are no passphrases.
 _PROSE = re.compile(r"(?i)\b(?:enter|your|please|password|passwd|token|secret|invalid|required|must|cannot)\b|[.!?:]\s*\Z")
 _STRINGS = ("long", "dq", "sq", "bq")
@@ -117,19 +126,26 @@ class _Tokens:
                 break
         return i + 1
 
-    def value(self, i: int) -> tuple[str, tuple[int, int]] | None:
-        """The literal at ``i``: strings side by side or joined by an operator, or a name that stands for one."""
+    def value(self, i: int) -> tuple[str, str, tuple[int, int]] | None:
+        """("literal", text, span) at ``i``: strings side by side or joined by an operator; or ("name", name, span) that may stand for one."""
         open_ = 0
         while True:
             k = self.skip_lines(i) if open_ else i
-            if self.at(k)[1] == "(" and self.at(k)[0] == "op":
+            word = self.at(k)[1]
+            if word == "(" and self.at(k)[0] == "op":
                 open_, i = open_ + 1, k + 1
                 continue
             i = k
+            if self.at(k)[0] == "name" and self.at(k + 1)[:2] == ("op", "("):
+                parts = {p.lower() for p in _PARTS.findall(word)}
+                if parts & LOOKUPS:
+                    return None
+                open_, i = open_ + 1, k + 2
+                continue
             break
-        kind, word, _ = self.at(i)
+        kind, word, span = self.at(i)
         if kind == "name":
-            return self.constants.get(word)
+            return "name", word, span
         if kind not in _STRINGS:
             return None
         value, (start, end), i = word, self.at(i)[2], i + 1
@@ -139,12 +155,22 @@ class _Tokens:
             if joined:
                 k = self.skip_lines(k + 1)
             if self.at(k)[0] not in _STRINGS or not (joined or open_ or k == i):
-                return value, (start, end)
+                return "literal", value, (start, end)
             value, end, i = value + self.at(k)[1], self.at(k)[2][1], k + 1
 
     def secrets(self) -> set[tuple[int, int]]:
         found: set[tuple[int, int]] = set()
-        for i, (kind, _, _) in enumerate(self.tokens):
+        refers: list[tuple[str, int, str]] = []  # (name, weight, the name it stands for)
+        around: list[str] = []  # names of the objects that are open
+        for i, (kind, word, _) in enumerate(self.tokens):
+            if kind == "op":
+                if word == "{":
+                    before = self.at(i - 1) if i else ("end", "", (0, 0))
+                    named = before[0] == "op" and before[1] in (":", "=", "=>", ":=") and i >= 2 and self.at(i - 2)[0] in ("name", *_STRINGS)
+                    around.append(self.at(i - 2)[1] if named else "")
+                elif word == "}" and around:
+                    around.pop()
+                continue
             if kind != "name" and kind not in _STRINGS:
                 continue
             names, k = self.target(i)
@@ -152,10 +178,26 @@ class _Tokens:
             literal = self.value(k) if k >= 0 else None
             if literal is None:
                 continue
-            self.constants[names[0] if len(names) == 1 else f"{names[0]}[{names[-1]}]"] = literal
-            weight, score = max(map(name_weight, names)), literal_score(literal[0])
+            key = names[0] if len(names) == 1 else f"{names[0]}[{names[-1]}]"
+            weight = max(name_weight(n) or (name_weight(around[-1]) if around and n.lower() in GENERIC else 0) for n in names)
+            if literal[0] == "name":
+                refers.append((key, weight, literal[1]))
+                continue
+            self.constants[key] = literal[1:]
+            score = literal_score(literal[1])
             if weight and score > 0 and weight + score >= THRESHOLD:
-                found.add(literal[1])
+                found.add(literal[2])
+        # Names stand for literals, or for names that do, wherever those are assigned.
+        stands = {name: other for name, _, other in refers if name != other}
+        for _, weight, other in refers:
+            seen: set[str] = set()
+            while other not in self.constants and other in stands and other not in seen:
+                seen.add(other)
+                other = stands[other]
+            if weight and other in self.constants:
+                value, span = self.constants[other]
+                if (score := literal_score(value)) > 0 and weight + score >= THRESHOLD:
+                    found.add(span)
         return found
 
 
@@ -166,21 +208,47 @@ def lexed(text: str) -> list[tuple[int, int]]:
     return sorted({*quoted, *bare})
 
 
+def _surroundings(text: str) -> list[tuple[int, str]]:
+    """(place, name) of what names without a meaning take: the section in brackets, or the key with nothing beside it that the lines below are indented under."""
+    out: list[tuple[int, str]] = [(0, "")]
+    section, stack = "", []
+    for m in _LINE.finditer(text):
+        if m["section"]:
+            section, stack = m["section"], []
+        else:
+            depth = len(m["indent"])
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            if m["parent"]:
+                stack.append((depth, m["parent"]))
+                continue
+        name = stack[-1][1] if stack else section
+        if name != out[-1][1]:
+            out.append((m.start(), name))
+    return out
+
+
 def _configured(text: str) -> list[tuple[int, int]]:
     constants: dict[str, tuple[int, int]] = {}
     found: set[tuple[int, int]] = set()
+    around = _surroundings(text) if _STEM.search(text) else [(0, "")]
+    places = [a for a, _ in around]
     for m in _PAIR.finditer(text):
         group = m.lastgroup
         value, span = m[group], m.span(group)
+        given = True
         if group == "bare":
             value = value.rstrip(".")
             span = (span[0], span[0] + len(value))
+            given = "(" not in value and not (_IDENTIFIER.match(value) and not any(c.isdigit() for c in value))
             if value in constants:  # a name that stands for an earlier literal
-                span = constants[value]
+                span, given = constants[value], True
                 value = text[slice(*span)]
         constants[m["name"]] = span
         weight = name_weight(m["name"])
-        if weight and weight + literal_score(value) >= THRESHOLD and literal_score(value) > 0 and not (group == "bare" and _IDENTIFIER.match(value) and not any(c.isdigit() for c in value)):
+        if not weight and m["name"].lower() in GENERIC:
+            weight = name_weight(around[bisect.bisect_right(places, m.start()) - 1][1])
+        if weight and weight + literal_score(value) >= THRESHOLD and literal_score(value) > 0 and given:
             found.add(span)
     return sorted(found)
 
@@ -221,7 +289,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and ``found``, an array of (kind, start, end) in code points, and ``base_sha256``."""
+    """Per row: doc_id, the numbers of base spans by kind, ``base_sha256`` of them, and ``spans``, all of them as kind:start:end in code points."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     arrow = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in ("n_assign", "n_access", "n_hex")), ("base_sha256", pa.string()), ("spans", pa.string())])
 

@@ -813,12 +813,15 @@ def test_secret_lexer_forms():
         (f'password\t=\t"{key}"', key), (f'client_secret:\t"{key}"', key), (f'secret = """{key}\nab+{key}"""', f"{key}\nab+{key}"), (f'pwd = "{key}\\"{key}"', f'{key}\\"{key}'),
         (f'token = "{key}" + "Qw8"', f'{key}" + "Qw8'), (f'token = ("{key}"\n    "Qw8")', f'{key}"\n    "Qw8'), ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
         (f'char token[] = "{key}";', key), (f'x = "{key}"\nconfig["secret"] = x', key),
+        (f'secret_{"n" * 200} = "{key}"', key), ('a = "qwZertYuiOpAsdfGh"; client_secret = a', "qwZertYuiOpAsdfGh"), (f'client_secret = K\nother = 1\nK = "{key}"', key), (f'pwd = A\nA = B\nB = "{key}"', key),
+        (f'auth = str("{key}")', key), (f'pwd = Secret(bytes("{key}", "utf8"))', key), (f"[credentials]\nvalue = {key}", key), (f"client_secret:\n  kind: text\n  value: {key}", key),
+        (f'{{"client_secret": {{"kind": 1, "value": "{key}"}}}}', key), (f'# pwd = "{key}"', key),
     ):
         text = f"import os\n{code}\nprint(1)\n"
         a = text.index(literal)
         assert any(s <= a and a + len(literal) <= e for _, s, e in secrets.scan(text)[1]), code
         assert literal not in secrets.redact(text) and "Qw8" not in secrets.redact(text)
-    for code in ('password_label = "Please enter your password"', 'tokens["count"] = "12"', 'title: str = "Xk29fQz7LmP0vRt4"'):
+    for code in ('password_label = "Please enter your password"', 'auth = os.environ.get("AUTH_NAME_42")', f"[colours]\nvalue = {key}", f"client_secret:\n  kind: text\nvalue: {key}", 'pwd = a\na = pwd', 'tokens["count"] = "12"', 'title: str = "Xk29fQz7LmP0vRt4"'):
         assert not secrets.scan(code)[1], code
 
 
