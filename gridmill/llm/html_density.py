@@ -9,7 +9,9 @@ cannot be article text (menus, forms, scripts, adverts, comments ...) are cut
 before counting.
 
 Null and empty pages have no text.  Rows are independent: repeated rows give
-repeated results, and an empty table an empty one.
+repeated results, and an empty table an empty one.  A long page is parsed whole, in
+time linear in its length; elements nested beyond ``MAX_DEPTH`` are read as part of
+the element around them, but what is to be cut is cut there too.
 """
 
 from __future__ import annotations
@@ -58,6 +60,7 @@ _TOKEN = re.compile(
     re.S,
 )
 #: Elements nested deeper than this are not opened (as in browsers); their text counts for the element around them.
+#: Those that are cut are opened to twice the depth, where all around them is cut.
 MAX_DEPTH = 400
 _BROKEN = re.compile(r"<[!/?a-zA-Z]")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?<=\s)(hidden)(?=[\s/]|$)""")
@@ -111,7 +114,7 @@ class Page:
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = close.end() if close else end
-            elif name not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH:
+            elif name not in VOID and not attrs.endswith("/") and (len(stack) < MAX_DEPTH or (self.cut[node] and len(stack) < 2 * MAX_DEPTH)):
                 stack.append(node)
 
     def _text(self, node: int, text: str) -> None:

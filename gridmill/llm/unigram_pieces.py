@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
 The vocabulary (pieces, log scores, kinds) is read from a SentencePiece model
-file.  A text is marked (spaces become U+2581, one more is put in front), and cut
+file.  A file of merges has ranks in place of log scores; there the piece of rank r
+gets the probability that Zipf's law gives it, 1 / (r + ZIPF) over their sum (nothing
+is trained).  User-defined pieces win over others, as in SentencePiece.  A text is marked (spaces become U+2581, one more is put in front), and cut
 where no piece can reach across: before each run of markers, and around line ends
 if no piece holds one.  The parts are few compared with the text, so each distinct
 part of a batch is segmented once, all of them together: the trie is walked for
 all parts in step, and the best score of each prefix is kept (Viterbi).  A
 character that no piece covers is written as its bytes' pieces, or as the
-unknown piece where the vocabulary lacks them.
+unknown piece where the vocabulary lacks them.  Parts of more than ``LONG_PART`` bytes
+are segmented one by one in time linear in their length.
 
-Null text counts as empty and has no pieces.  Decoding inverts encoding except
+Null text counts as empty and has no pieces.  Repeated rows get equal results, an empty
+table gives an empty one, and clashing extra columns do not matter.  Decoding inverts encoding except
 that U+2581 itself becomes a space, as the marker always does.  Rows are
 independent; memory is bounded by one block of texts plus ``CACHE`` parts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -38,6 +43,9 @@ UNKNOWN_PENALTY = 10.0
 #: Distinct parts remembered between batches; the memory is emptied when full.
 CACHE = 800_000
 BATCH_PARTS = 20_000
+LONG_PART = 512
+ZIPF = 100
+_MERGES = 2  # fixed value: the trainer's model type of files of merges
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -68,6 +76,17 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def by_rank(scores: list[float], kinds: list[int]) -> list[float]:
+    """Log-probabilities of pieces by their ranks: the higher the score, the lower the rank."""
+    normal = [i for i, k in enumerate(kinds) if k == NORMAL]
+    order = sorted(normal, key=lambda i: (-scores[i], i))
+    total = sum(1 / (r + ZIPF) for r in range(len(order)))
+    out = list(scores)
+    for r, i in enumerate(order):
+        out[i] = -math.log((r + ZIPF) * total)
+    return out
+
+
 @dataclass
 class Vocabulary:
     pieces: list[str]
@@ -84,15 +103,19 @@ class Vocabulary:
 
     @staticmethod
     def parse(data: bytes) -> Vocabulary:
-        pieces, scores, kinds, prefix = [], [], [], True
+        pieces, scores, kinds, prefix, merges = [], [], [], True, False
         for number, value in _fields(data):
             if number == 1:
                 entry = {1: b"", 2: struct.pack("<f", 0.0), 3: NORMAL} | dict(_fields(value))
                 pieces.append(entry[1].decode())
                 scores.append(struct.unpack("<f", entry[2])[0])
                 kinds.append(entry[3])
+            elif number == 2:
+                merges = dict(_fields(value)).get(3) == _MERGES
             elif number == 3:
                 prefix = bool(dict(_fields(value)).get(3, 1))
+        if merges:
+            scores = by_rank(scores, kinds)
         return Vocabulary.of(pieces, scores, kinds, prefix)
 
     @staticmethod
@@ -165,6 +188,11 @@ class Codec:
         self.vocabulary = v = vocabulary
         usable = [(p.encode(), i) for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k in (NORMAL, USER) and p]
         self.trie = DoubleArray.build(usable)
+        top = float(v.scores[v.kinds == NORMAL].max(initial=-math.inf))
+        self.scores = v.scores.copy()
+        if math.isfinite(top):
+            for i in np.flatnonzero(v.kinds == USER):
+                self.scores[i] = len(v.pieces[i].encode()) * top - 0.1
         self.lowest = float(v.scores[v.kinds == NORMAL].min(initial=0.0)) - UNKNOWN_PENALTY
         names = [p for p, k in zip(v.pieces, v.kinds, strict=True) if k in (NORMAL, USER)]
         crossing = any(MARK in p.lstrip(MARK) for p in names)
@@ -182,16 +210,19 @@ class Codec:
         raw = [p.encode("utf-8", "replace") for p in parts]
         order = np.array(sorted(range(len(raw)), key=lambda i: len(raw[i])), np.int64)
         found, sizes = [], np.zeros(len(raw), np.int64)
-        a = 0
-        while a < len(order):
+        a, most = 0, int(np.searchsorted([len(raw[i]) for i in order], LONG_PART, side="right"))
+        while a < most:
             # Parts of like length share a table; a table has a bounded number of cells.
             least = len(raw[order[a]])
             b = a + 1
-            while b < len(order) and b - a < BATCH_PARTS and len(raw[order[b]]) <= least + 4 and (b - a) * len(raw[order[b]]) < 400_000:
+            while b < most and b - a < BATCH_PARTS and len(raw[order[b]]) <= least + 4 and (b - a) * len(raw[order[b]]) < 400_000:
                 b += 1
             ids, sizes[order[a:b]] = self._viterbi([raw[i] for i in order[a:b]])
             found.append(ids)
             a = b
+        for i in order[most:]:
+            found.append(np.array(self._long(raw[i]), np.int32))
+            sizes[i] = len(found[-1])
         if not found:
             return np.empty(0, np.int32), sizes
         # From the order of lengths back to the order of the parts.
@@ -201,7 +232,7 @@ class Codec:
         return np.concatenate(found)[np.repeat(start - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
     def _viterbi(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        t, v = self.trie, self.vocabulary
+        t = self.trie
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         n, width = len(raw), int(size.max())
         text = np.zeros((n, width + t.longest + 1), np.uint8)
@@ -228,7 +259,7 @@ class Codec:
                 ids = t.value[state]
                 ends = ids >= 0
                 single[live[ends & (char[live] == k + 1)]] = True
-                r, score = rows[live[ends]], here[live[ends]] + v.scores[ids[ends]]
+                r, score = rows[live[ends]], here[live[ends]] + self.scores[ids[ends]]
                 better = score > best[r, s + k + 1]
                 r = r[better]
                 best[r, s + k + 1], came[r, s + k + 1], piece[r, s + k + 1] = score[better], s, ids[ends][better]
@@ -256,6 +287,55 @@ class Codec:
             ids[i, width - len(line) :] = line
         return ids[ids >= 0], (ids >= 0).sum(axis=1)
 
+    def _matches(self, data: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of the pieces that start in data[a:b], by start and length."""
+        t = self.trie
+        live, state = np.arange(a, b), np.zeros(b - a, np.int64)
+        found = []
+        for k in range(t.longest):
+            inside = live + k < len(data)
+            live, state = live[inside], state[inside]
+            at = t.base[state] + data[live + k].astype(np.int64)
+            at[at >= len(t.check)] = 0
+            good = (t.check[at] == state) & (t.base[state] > 0)
+            live, state = live[good], at[good]
+            if not len(live):
+                break
+            ends = t.value[state] >= 0
+            found.append((live[ends], np.full(int(ends.sum()), k + 1), t.value[state[ends]]))
+        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((length, start))
+        return start[order], length[order], piece[order]
+
+    def _long(self, raw: bytes) -> list[int]:
+        """One part's pieces, place by place."""
+        data, n = np.frombuffer(raw, np.uint8), len(raw)
+        best, came, piece = [-math.inf] * (n + 1), np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+        best[0] = 0.0
+        char = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).tolist()
+        for a in range(0, n, 1 << 16):
+            b = min(n, a + (1 << 16))
+            start, length, ids = self._matches(data, a, b)
+            cut = np.searchsorted(start, np.arange(a, b + 1)).tolist()
+            lengths, numbers, scores = length.tolist(), ids.tolist(), self.scores[ids].tolist()
+            for s in range(a, b):
+                here = best[s]
+                if here == -math.inf:
+                    continue
+                single = False
+                for i in range(cut[s - a], cut[s - a + 1]):
+                    e = s + lengths[i]
+                    single |= lengths[i] == char[s]
+                    if here + scores[i] > best[e]:
+                        best[e] = here + scores[i]
+                        came[e], piece[e] = s, numbers[i]
+                if not single:
+                    e = min(s + char[s], n)
+                    if here + self.lowest > best[e]:
+                        best[e] = here + self.lowest
+                        came[e], piece[e] = s, -1
+        return self._spelled(raw, came, piece)
+
     def _spelled(self, raw: bytes, came: np.ndarray, piece: np.ndarray) -> list[int]:
         """One part's pieces where some characters have none: their bytes' pieces, or the unknown piece."""
         out: list[int] = []

@@ -669,6 +669,34 @@ def test_pieces():
         assert abs(score + unknown * codec.lowest - plain_viterbi(vocabulary, codec.lowest, marked)) < 1e-6
 
 
+def test_pieces_of_long_parts():
+    """Long parts as short ones are segmented, and in reasonable time."""
+    import time
+
+    codec = unigram_pieces.Codec(unigram_pieces.Vocabulary.read(tokenizer_path("piece_bpe_32k.model")))
+    rng = random.Random(8)
+    for letters in ("abcdefgh", "xy", "日本語é\x01b", "ab▁"):
+        raw = "".join(rng.choices(letters, k=400)).encode()
+        ids, sizes = codec._viterbi([raw])
+        assert codec._long(raw) == ids.tolist() and len(ids) == sizes[0]
+    began = time.time()
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=200_000))
+    assert codec.decode(codec.encode(text)) == text and time.time() - began < 10
+
+
+def test_pieces_scores():
+    """Ranks become log-probabilities, and user-defined pieces win."""
+    scores = unigram_pieces.by_rank([0.0, -1.0, -5.0, -3.0], [unigram_pieces.UNKNOWN, unigram_pieces.NORMAL, unigram_pieces.NORMAL, unigram_pieces.NORMAL])
+    assert abs(sum(np.exp(scores[1:])) - 1) < 1e-12 and scores[1] > scores[3] > scores[2]
+    pieces = ["<unk>", "▁", "a", "b", "c", "▁abc", "bc"]
+    kinds = [unigram_pieces.UNKNOWN] + [unigram_pieces.NORMAL] * 5 + [unigram_pieces.USER]
+    codec = unigram_pieces.Codec(unigram_pieces.Vocabulary.of(pieces, [0.0, -2.0, -2.0, -2.0, -2.0, -1.0, 0.0], kinds))
+    assert [pieces[i] for i in codec.encode("abcbc")] == ["▁abc", "bc"] or [pieces[i] for i in codec.encode("abcbc")] == ["▁", "a", "bc", "bc"]
+    whole = unigram_pieces.Codec(unigram_pieces.Vocabulary.read(tokenizer_path("piece_bpe_32k.model")))
+    names = whole.vocabulary.pieces
+    assert [names[i] for i in whole.encode("the countries")] == ["▁the", "▁countries"]
+
+
 def test_pieces_small_vocabulary():
     kinds = [unigram_pieces.UNKNOWN] + [unigram_pieces.NORMAL] * 5
     codec = unigram_pieces.Codec(unigram_pieces.Vocabulary.of(["<unk>", "▁", "a", "ab", "b", "▁ab"], [0, -2.0, -1.0, -1.5, -1.0, -3.0], kinds))
@@ -795,6 +823,15 @@ def test_scoring_sees_letters_of_all_scripts_and_word_order(spark):
         assert got[-2] > most or letters[0] == "日"  # characters are the tokens there
 
 
+def test_page_deep_nesting():
+    """Furniture is cut and text is kept however deep they stand."""
+    story = "A sentence of the article that goes on for a while, with words in it. " * 6
+    for depth in (10, 395, 500, 3000):
+        page = "<html><body>" + "<div>" * depth + f"<nav><ul><li><span>menu leaks</span></li></ul></nav><p>{story}</p><aside><p>side leaks</p></aside>" + "</div>" * depth + "</body></html>"
+        text = html_density.main_text(page)
+        assert "leaks" not in text and story.strip() in text
+
+
 def test_page_unlabelled_furniture():
     body = "Some sentences that make up the article, one after the other, at a good length. " * 4
     story = f"<p>{body}</p><p>{body}</p><p>{body}</p>"
