@@ -267,16 +267,16 @@ def rounding_family(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", scalar.round_to_base(x, 5).cast("long").alias("nearest"), scalar.round_up_to_base(x, 5).cast("long").alias("up"), scalar.round_down_to_base(x, 5).cast("long").alias("down"), scalar.round_significant(x, 1).alias("one_digit"))
 
 
-@query("SELECT \"row\", col, coalesce(n.v, value) AS value FROM rp LEFT JOIN (SELECT \"row\", col, max_by(v, pos) AS v FROM (SELECT event_id AS pos, event_id % 7 AS \"row\", event_id % 50 AS col, value AS v FROM events WHERE event_id < 500) GROUP BY 1, 2) n USING (\"row\", col)")
+@query("SELECT \"row\", col, coalesce(n.v, value) AS value FROM rp LEFT JOIN (SELECT \"row\", col, max_by(v, pos) AS v FROM (SELECT event_id AS pos, event_id % 7 AS \"row\", event_id % 50 AS col, value AS v FROM events) GROUP BY 1, 2) n USING (\"row\", col)")
 def apply_change_list(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "events").filter("event_id < 500")
+    e = _t(spark, sf, "events")
     changes = e.select(F.col("event_id").alias("pos"), (F.col("event_id") % 7).alias("row"), (F.col("event_id") % 50).alias("col"), "value")
     return algebra.apply_changes(part_grid(spark, sf).drop("size"), changes)
 
 
-@query("SELECT \"row\", col, round(value + 5 * coalesce(n, 0), 2) AS value FROM rp LEFT JOIN (SELECT event_id % 7 AS \"row\", event_id % 50 AS col, count(*) AS n FROM events WHERE event_id < 500 GROUP BY 1, 2) USING (\"row\", col)")
+@query("SELECT \"row\", col, round(value + 5 * coalesce(n, 0), 2) AS value FROM rp LEFT JOIN (SELECT event_id % 7 AS \"row\", event_id % 50 AS col, count(*) AS n FROM events GROUP BY 1, 2) USING (\"row\", col)")
 def add_at_change_list(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "events").filter("event_id < 500")
+    e = _t(spark, sf, "events")
     return _rounded(algebra.add_at(part_grid(spark, sf).drop("size"), e.select((F.col("event_id") % 7).alias("row"), (F.col("event_id") % 50).alias("col")), 5.0), 2, "value")
 
 

@@ -33,53 +33,70 @@ def stride_sample(spark: SparkSession, sf: str) -> DataFrame:
     return src.stride(orders_grid(spark, sf), 3).select("row", "col", "value")
 
 
-@query("SELECT coalesce(a.\"row\", b.\"row\") AS \"row\", coalesce(a.col, b.col) AS col, coalesce(b.value, a.value) AS value FROM rp a FULL JOIN (SELECT \"row\", col + 25 AS col, value FROM re WHERE \"row\" < 20 AND col < 40) b ON a.\"row\" = b.\"row\" AND a.col = b.col")
+# Rows of the whole table: frames follow from how many there are.
+_ROWS_P = '(SELECT max("row") + 1 FROM rp)'
+_ROWS_E = '(SELECT max("row") + 1 FROM re)'
+_SHIFT = f"(SELECT na, nb, least(na, nb) AS low, greatest(na, nb) AS high FROM (SELECT {_ROWS_P} AS na, {_ROWS_E} AS nb))"
+
+
+def _n_rows(cells: DataFrame) -> int:
+    return cells.agg(F.max("row").alias("m")).first()["m"] + 1
+
+
+def _part_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, grid.Frame, grid.Frame]:
+    """The parts' grid, its frame of unit cells, and the frame of cells twice as large over the same rows."""
+    p = part_grid(spark, sf)
+    n = _n_rows(p)
+    return p, grid.Frame(0, n, 1, 1, n, 50), grid.Frame(0, n, 2, 2, -(-n // 2), 25)
+
+
+@query("SELECT coalesce(a.\"row\", b.\"row\") AS \"row\", coalesce(a.col, b.col) AS col, coalesce(b.value, a.value) AS value FROM rp a FULL JOIN (SELECT \"row\", col + 25 AS col, value FROM re) b ON a.\"row\" = b.\"row\" AND a.col = b.col")
 def mosaic(spark: SparkSession, sf: str) -> DataFrame:
-    e = events_grid(spark, sf).filter("row < 20 AND col < 40").withColumn("col", F.col("col") + 25)
-    return src.mosaic([part_grid(spark, sf), e])
+    return src.mosaic([part_grid(spark, sf), events_grid(spark, sf).withColumn("col", F.col("col") + 25)])
 
 
-@query("SELECT r AS \"row\", c AS col, coalesce(value, -1) AS value FROM range(44) a(r), range(56) b(c) LEFT JOIN (SELECT \"row\" + 2 AS pr, col + 3 AS pc, value FROM rp WHERE \"row\" < 40) ON r = pr AND c = pc")
+@query(f"SELECT r AS \"row\", c AS col, coalesce(value, -1) AS value FROM (SELECT unnest(range({_ROWS_P} + 4)) AS r), range(56) b(c) LEFT JOIN (SELECT \"row\" + 2 AS pr, col + 3 AS pc, value FROM rp) ON r = pr AND c = pc")
 def pad_fill(spark: SparkSession, sf: str) -> DataFrame:
-    f = grid.Frame(0.0, 40.0, 1.0, 1.0, 40, 50)
-    out, _ = grid.pad(spark, part_grid(spark, sf).filter("row < 40"), f, 2, 2, 3, 3, -1.0)
+    p, f, _ = _part_frame(spark, sf)
+    out, _ = grid.pad(spark, p, f, 2, 2, 3, 3, -1.0)
     return out
 
 
-@query("SELECT r AS \"row\", c AS col, value FROM range(20) a(r), range(25) b(c) JOIN rp ON \"row\" = r * 2 + 1 AND col = c * 2 + 1")
+@query("SELECT (\"row\" - 1) // 2 AS \"row\", (col - 1) // 2 AS col, value FROM rp WHERE \"row\" % 2 = 1 AND col % 2 = 1")
 def resample_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.resample(spark, part_grid(spark, sf).filter("row < 40"), grid.Frame(0, 40, 1, 1, 40, 50), grid.Frame(0, 40, 2, 2, 20, 25)).select("row", "col", "value")
+    return grid.resample(spark, *_part_frame(spark, sf)).select("row", "col", "value")
 
 
-@query("SELECT \"row\" // 2 AS \"row\", col // 2 AS col, round(avg(value), 6) AS value FROM rp WHERE \"row\" < 40 GROUP BY 1, 2")
+@query("SELECT \"row\" // 2 AS \"row\", col // 2 AS col, round(avg(value), 6) AS value FROM rp GROUP BY 1, 2")
 def resample_average(spark: SparkSession, sf: str) -> DataFrame:
-    out = grid.resample(spark, part_grid(spark, sf).filter("row < 40"), grid.Frame(0, 40, 1, 1, 40, 50), grid.Frame(0, 40, 2, 2, 20, 25), "average")
-    return _rounded(out, 6, "value")
+    return _rounded(grid.resample(spark, *_part_frame(spark, sf), "average"), 6, "value")
 
 
-@query("SELECT r AS \"row\", c AS col, round(avg(value), 6) AS value FROM range(20) a(r), range(25) b(c) JOIN rp ON \"row\" BETWEEN r * 2 AND r * 2 + 1 AND col BETWEEN c * 2 AND c * 2 + 1 GROUP BY 1, 2")
+@query("SELECT \"row\" // 2 AS \"row\", col // 2 AS col, round(avg(value), 6) AS value FROM rp GROUP BY 1, 2")
 def resample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    out = grid.resample(spark, part_grid(spark, sf).filter("row < 40"), grid.Frame(0, 40, 1, 1, 40, 50), grid.Frame(0, 40, 2, 2, 20, 25), "bilinear")
-    return _rounded(out, 6, "value")
+    return _rounded(grid.resample(spark, *_part_frame(spark, sf), "bilinear"), 6, "value")
 
 
-@query("SELECT round(sum(value), 2) AS total FROM rp WHERE \"row\" < 40")
+@query("SELECT round(sum(value), 2) AS total FROM rp")
 def resample_keeping_sum(spark: SparkSession, sf: str) -> DataFrame:
-    out = grid.resample_keeping_sum(spark, part_grid(spark, sf).filter("row < 40"), grid.Frame(0, 40, 1, 1, 40, 50), grid.Frame(0, 40, 2, 2, 20, 25))
-    return out.agg(F.round(F.sum("value"), 2).alias("total"))
+    return grid.resample_keeping_sum(spark, *_part_frame(spark, sf)).agg(F.round(F.sum("value"), 2).alias("total"))
+
+
+def _two_frames(spark: SparkSession, sf: str) -> list[tuple[DataFrame, grid.Frame]]:
+    a, b = part_grid(spark, sf), events_grid(spark, sf)
+    na, nb = _n_rows(a), _n_rows(b)
+    return [(a, grid.Frame(0, na, 1, 1, na, 50)), (b, grid.Frame(10, nb, 1, 1, nb, 100))]
 
 
-@query("SELECT r AS \"row\", c AS col, a.value AS v0, b.value AS v1 FROM range(20) x(r), range(30) y(c) JOIN rp a ON a.\"row\" = r AND a.col = c + 10 JOIN re b ON b.\"row\" = r + 10 AND b.col = c")
+@query(f"SELECT a.\"row\" - na + low AS \"row\", a.col - 10 AS col, a.value AS v0, b.value AS v1 FROM rp a, {_SHIFT}, re b WHERE b.\"row\" - nb = a.\"row\" - na AND b.col = a.col - 10")
 def align_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = part_grid(spark, sf).filter("row < 20 AND col < 40"), events_grid(spark, sf).filter("row < 30 AND col < 60")
-    out, _ = grid.aligned_stack(spark, [(a, grid.Frame(0, 20, 1, 1, 20, 40)), (b, grid.Frame(10, 30, 1, 1, 30, 60))], 1.0)
+    out, _ = grid.aligned_stack(spark, _two_frames(spark, sf), 1.0)
     return out.select("row", "col", "v0", "v1")
 
 
-@query("SELECT r AS \"row\", c AS col, a.value AS v0, b.value AS v1 FROM range(30) x(r), range(70) y(c) LEFT JOIN (SELECT * FROM rp WHERE \"row\" < 20 AND col < 40) a ON a.\"row\" = r - 10 AND a.col = c LEFT JOIN (SELECT * FROM re WHERE \"row\" < 30 AND col < 60) b ON b.\"row\" = r AND b.col = c - 10 WHERE a.value IS NOT NULL OR b.value IS NOT NULL")
+@query(f"SELECT coalesce(a.r, b.r) AS \"row\", coalesce(a.c, b.c) AS col, a.value AS v0, b.value AS v1 FROM (SELECT \"row\" - na + high AS r, col AS c, value FROM rp, {_SHIFT}) a FULL JOIN (SELECT \"row\" - nb + high AS r, col + 10 AS c, value FROM re, {_SHIFT}) b ON a.r = b.r AND a.c = b.c")
 def align_union(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = part_grid(spark, sf).filter("row < 20 AND col < 40"), events_grid(spark, sf).filter("row < 30 AND col < 60")
-    out, _ = grid.aligned_stack(spark, [(a, grid.Frame(0, 20, 1, 1, 20, 40)), (b, grid.Frame(10, 30, 1, 1, 30, 60))], 1.0, "union")
+    out, _ = grid.aligned_stack(spark, _two_frames(spark, sf), 1.0, "union")
     return out.select("row", "col", "v0", "v1")
 
 
@@ -147,10 +164,10 @@ def neighbourhood_of_place(spark: SparkSession, sf: str) -> DataFrame:
     return focal.around(part_grid(spark, sf).drop("size"), 1, 1, 2, -1.0)
 
 
-@query("SELECT a.\"row\", a.col, round(sqrt(min((a.\"row\" - b.\"row\") ** 2 + (a.col - b.col) ** 2)), 6) AS distance FROM rp a, (SELECT * FROM rp WHERE size = 7) b WHERE a.\"row\" < 40 AND b.\"row\" < 40 GROUP BY 1, 2")
+@query("SELECT a.\"row\", a.col, round(sqrt(min((a.\"row\" - b.\"row\") ** 2 + (a.col - b.col) ** 2)), 6) AS distance FROM rp a, (SELECT * FROM rp WHERE size = 7) b GROUP BY 1, 2")
 def distance_transform(spark: SparkSession, sf: str) -> DataFrame:
-    p = part_grid(spark, sf).filter("row < 40").withColumn("value", (F.col("size") == 7).cast("int"))
-    return _rounded(focal.distance_transform(p, 40, 50), 6, "distance")
+    p = part_grid(spark, sf)
+    return _rounded(focal.distance_transform(p.withColumn("value", (F.col("size") == 7).cast("int")), _n_rows(p), 50), 6, "distance")
 
 
 # --- tables --------------------------------------------------------------------------------------
@@ -313,10 +330,10 @@ def list_literals(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "nation").select("n_nationkey", parts[1].alias("second"), F.size(parts).cast("long").alias("n"))
 
 
-@query("SELECT r AS \"row\", c AS col, CAST((r + 1) * (c + 2) AS DOUBLE) AS value FROM range(3) a(r), range(4) b(c)")
+@query("SELECT n_nationkey, r AS \"row\", c AS col, CAST((r + 1) * (c + 2) + n_nationkey AS DOUBLE) AS value FROM nation, range(3) a(r), range(4) b(c)")
 def parse_2d_text(spark: SparkSession, sf: str) -> DataFrame:
-    lines = "\n".join(",".join(str((r + 1) * (c + 2)) for c in range(4)) for r in range(3))
-    return src.parse_2d_text(spark.createDataFrame([(lines,)], "text string"))
+    line = lambda r: F.concat_ws(",", *[(F.lit((r + 1) * (c + 2)) + F.col("n_nationkey")).cast("string") for c in range(4)])
+    return src.parse_2d_text(_t(spark, sf, "nation").select("n_nationkey", F.concat_ws("\n", *[line(r) for r in range(3)]).alias("text")))
 
 
 # --- regression ----------------------------------------------------------------------------------
@@ -341,31 +358,37 @@ def ols_multiple(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- vectors -------------------------------------------------------------------------------------
 
-_BOXES = [(i, f"POLYGON(({x} {y},{x} {y + h},{x + w} {y + h},{x + w} {y},{x} {y}))", float(10 * i)) for i, (x, y, w, h) in enumerate([(1, 1, 6, 5), (4, 3, 8, 6), (20, 10, 5, 5), (30, 2, 9, 3), (36, 1, 4, 12)], start=1)]
-_BOX_SQL = "(VALUES (1, 1, 1, 6, 5), (2, 4, 3, 8, 6), (3, 20, 10, 5, 5), (4, 30, 2, 9, 3), (5, 36, 1, 4, 12)) AS b(id, x, y, w, h)"
+# A box for each supplier, dealt over the grid of parts: 2 to 6 cells high, 3 to 9 wide.
+_BOX_SQL = "(SELECT s_suppkey AS id, s_suppkey * 7 % 41 AS x, s_suppkey * 13 % 2000 // 2 AS y, 3 + s_nationkey % 7 AS w, 2 + s_suppkey % 5 AS h FROM supplier)"
+_TOP = f"(SELECT {_ROWS_P} AS top)"
+
+
+def supplier_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    boxes = _t(spark, sf, "supplier").select(k.alias("id"), (k * 7 % 41).alias("x"), F.floor(k * 13 % 2000 / 2).cast("long").alias("y"), (F.col("s_nationkey").cast("long") % 7 + 3).alias("w"), (k % 5 + 2).alias("h"))
+    return boxes.select("id", grid.box_wkt(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("wkt"), (F.col("id") * 10.0).alias("v"))
 
 
-@query(f"SELECT \"row\", col, CAST(max(id) * 10 AS DOUBLE) AS value FROM (SELECT r AS \"row\", c AS col, id FROM range(20) a(r), range(50) d(c), {_BOX_SQL} WHERE c + 0.5 > x AND c + 0.5 < x + w AND 20 - r - 0.5 > y AND 20 - r - 0.5 < y + h) GROUP BY 1, 2")
+@query(f"SELECT top - 1 - (y + dy) AS \"row\", x + dx AS col, CAST(max(id) * 10 AS DOUBLE) AS value FROM {_BOX_SQL}, {_TOP}, range(9) a(dx), range(6) b(dy) WHERE dx < w AND dy < h AND y + dy < top AND x + dx < 50 GROUP BY 1, 2")
 def rasterize_last(spark: SparkSession, sf: str) -> DataFrame:
-    features = spark.createDataFrame(_BOXES, "id long, wkt string, v double")
-    return vector.rasterize(features, grid.Frame(0, 20, 1, 1, 20, 50), "v", "id")
+    return vector.rasterize(supplier_boxes(spark, sf), _part_frame(spark, sf)[1], "v", "id")
 
 
-@query(f"SELECT id, count(*) AS n, round(sum(value), 2) AS sums FROM {_BOX_SQL} JOIN rp ON col + 0.5 > x AND col + 0.5 < x + w AND 20 - \"row\" - 0.5 > y AND 20 - \"row\" - 0.5 < y + h WHERE \"row\" < 20 GROUP BY id".replace("SELECT id,", "SELECT CAST(id AS BIGINT) AS id,"))
+@query(f"SELECT id, count(*) AS n, round(sum(value), 2) AS sums FROM {_BOX_SQL}, {_TOP}, range(9) a(dx), range(6) b(dy), rp WHERE dx < w AND dy < h AND rp.\"row\" = top - 1 - (y + dy) AND rp.col = x + dx GROUP BY id")
 def zonal_by_polygon(spark: SparkSession, sf: str) -> DataFrame:
-    features = spark.createDataFrame(_BOXES, "id long, wkt string, v double")
-    inside = vector.covered(features, grid.Frame(0, 20, 1, 1, 20, 50)).select("id", "row", "col")
-    return inside.join(part_grid(spark, sf), ["row", "col"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("sums"))
+    p, frame, _ = _part_frame(spark, sf)
+    inside = vector.covered(supplier_boxes(spark, sf), frame).select("id", "row", "col")
+    return inside.join(p, ["row", "col"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("sums"))
 
 
-@query(f"SELECT CAST(p.id AS BIGINT) AS a, CAST(q.id AS BIGINT) AS b FROM {_BOX_SQL.replace('AS b(', 'AS p(')}, {_BOX_SQL.replace('AS b(', 'AS q(')} WHERE p.id < q.id AND p.x < q.x + q.w AND q.x < p.x + p.w AND p.y < q.y + q.h AND q.y < p.y + p.h")
+@query(f"SELECT p.id AS a, q.id AS b FROM {_BOX_SQL} p, {_BOX_SQL} q WHERE p.id < q.id AND p.x < q.x + q.w AND q.x < p.x + p.w AND p.y < q.y + q.h AND q.y < p.y + p.h")
 def overlapping_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return vector.touching_boxes(spark.createDataFrame(_BOXES, "id long, wkt string, v double"), "id", 10.0)
+    return vector.touching_boxes(supplier_boxes(spark, sf), "id", 10.0)
 
 
 @query()
 def disjoint_polygon_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return vector.disjoint_sets(spark.createDataFrame(_BOXES, "id long, wkt string, v double"), "id", 10.0)
+    return vector.disjoint_sets(supplier_boxes(spark, sf), "id", 10.0)
 
 
 @query()
@@ -400,9 +423,10 @@ def composite_ids(spark: SparkSession, sf: str) -> DataFrame:
     return pyramid.composite_ids(_t(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"]).select("p_partkey", F.col("pyramid_id").cast("long").alias("pyramid_id"))
 
 
-@query("SELECT a.r + 50 AS \"row\", b.c + 170 AS col, CASE WHEN size = 5 THEN 55 WHEN size BETWEEN 3 AND 60 THEN size END AS value FROM range(40) a(r), range(50) b(c) JOIN rp ON \"row\" = r AND col = c".replace("THEN 55", "THEN 55.0::DOUBLE").replace("THEN size END", "THEN CAST(size AS DOUBLE) END"))
+@query("SELECT \"row\" + 50 AS \"row\", col + 170 AS col, CASE WHEN size = 5 THEN 55.0::DOUBLE WHEN size BETWEEN 3 AND 60 THEN CAST(size AS DOUBLE) END AS value FROM (SELECT p_partkey % 40 AS \"row\", p_partkey // 40 % 50 AS col, min(p_size) AS size FROM part GROUP BY 1, 2)")
 def to_standard_frame(spark: SparkSession, sf: str) -> DataFrame:
-    cells = part_grid(spark, sf).filter("row < 40").select("row", "col", F.col("size").cast("double").alias("value"))
+    k = F.col("p_partkey")
+    cells = _t(spark, sf, "part").groupBy((k % 40).alias("row"), (F.floor(k / 40) % 50).cast("long").alias("col")).agg(F.min("p_size").cast("double").alias("value"))
     out, _ = pyramid.to_standard(spark, cells, grid.Frame(-10, 40, 1, 1, 40, 50), {5: 55.0}, 3, 60)
     return out.select("row", "col", "value")
 
