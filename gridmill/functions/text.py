@@ -74,6 +74,32 @@ def replace_many(s: Column, changes: Mapping[str, str]) -> Column:
     return s
 
 
+def replace_between(s: Column, left: str, right: str, new: str) -> Column:
+    """The shortest stretches between two marks replaced; the marks stay."""
+    return F.regexp_replace(s, F.lit(f"(?s)({re.escape(left)}).*?({re.escape(right)})"), F.lit("$1" + new.replace("\\", "\\\\").replace("$", "\\$") + "$2"))
+
+
+def safe_string(s: Column) -> Column:
+    """Letters, digits and single underscores, in lower case: fit for file and column names."""
+    return F.trim(F.regexp_replace(F.lower(s), F.lit(r"[^a-z0-9]+"), F.lit("_")), F.lit("_"))
+
+
+def path_to_url(p: Column) -> Column:
+    """A file path as a file URL: backslashes turned, special characters escaped."""
+    return F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(F.translate(p, "\\", "/")), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
+
+
+def url_to_path(u: Column) -> Column:
+    return F.url_decode(F.replace(F.regexp_replace(u, r"^file://", ""), F.lit("+"), F.lit("%2B")))
+
+
+def pretty_seconds(x: Column) -> Column:
+    """Hours, minutes and seconds as ``1h 02m 03s``."""
+    whole = F.floor(x).cast("long")
+    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    return F.concat(F.floor(whole / 3600).cast("string"), F.lit("h "), two(F.floor(whole / 60) % 60), F.lit("m "), two(whole % 60), F.lit("s"))
+
+
 def split_two(s: Column, delimiter: str) -> Column:
     """Both sides of the delimiter; without one the string twice."""
     parts = F.split(s, re.escape(delimiter))

@@ -1,19 +1,25 @@
 """Neighbourhood operators.
 
-A cell is sent to every place whose neighbourhood it is in (k x k copies of a
-kernel's cells), and copies are added up by place: one aggregation with partial
-sums, whatever the kernel.
+Convolutions and neighbourhood aggregates work on square tiles with a halo: one
+shuffle of little more than the grid, whatever the kernel's size, and numpy within a
+tile.  The 3 x 3 terrain measures send each cell to its nine places and add up.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells along a tile's side.
+TILE = 256
+
+
 def _offsets(kernel: Mapping[tuple[int, int], float]) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc"), F.lit(float(w)).alias("w")) for (r, c), w in sorted(kernel.items())])
 
@@ -32,19 +38,69 @@ def gaussian(size: int = 21, reach: float = 3.0) -> dict[tuple[int, int], float]
     return {(r - size // 2, c - size // 2): line[r] * line[c] / total for r in range(size) for c in range(size)}
 
 
+def _tiled(cells: DataFrame, radius: int, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(row, col, value): ``work`` done on square tiles with ``radius`` cells around them.
+
+    ``work`` gets the values (0 without data) and the places with data, both with the halo, and
+    returns the inner part, NaN for no data.  A cell goes to its tile and to those whose halo it is
+    in, so one shuffle moves little more than the grid, whatever the kernel.
+    """
+    tile = max(TILE, 2 * radius)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        r = frame["row"].to_numpy() - (key[0] * tile - radius)
+        c = frame["col"].to_numpy() - (key[1] * tile - radius)
+        value = frame["value"].to_numpy(dtype="float64", na_value=np.nan)
+        n = tile + 2 * radius
+        values, valid, here = np.zeros((n, n)), np.zeros((n, n), bool), np.zeros((n, n), bool)
+        data = ~np.isnan(value)
+        values[r[data], c[data]] = value[data]
+        valid[r[data], c[data]] = True
+        here[r, c] = True
+        inner = slice(radius, radius + tile)
+        out = work(values, valid)
+        rows, cols = np.nonzero(here[inner, inner])
+        found = pd.Series(out[rows, cols], dtype="object")
+        found[np.isnan(out[rows, cols])] = None
+        return pd.DataFrame({"row": rows + key[0] * tile, "col": cols + key[1] * tile, "value": found})
+
+    first = lambda c: F.floor((F.col(c) - radius) / tile)
+    last = lambda c: F.floor((F.col(c) + radius) / tile)
+    spread = cells.select("row", "col", F.col("value").cast("double").alias("value"))
+    spread = spread.withColumn("_tr", F.explode(F.sequence(first("row"), last("row")))).withColumn("_tc", F.explode(F.sequence(first("col"), last("col"))))
+    return spread.groupBy("_tr", "_tc").applyInPandas(run, "row long, col long, value double")
+
+
+def _rest_of(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """``cells`` with the values of ``found``; further columns are joined on."""
+    if sorted(cells.columns) == ["col", "row", "value"]:
+        return found.select(*cells.columns)
+    return cells.drop("value").join(found, ["row", "col"], "left").select(*cells.columns)
+
+
 def convolve(cells: DataFrame, kernel: Mapping[tuple[int, int], float], ignore_nodata: bool = False, mask_nodata: bool = False) -> DataFrame:
-    """Weighted sums around each cell of the grid.
+    """Weighted sums around each cell of the grid (one row a place).
 
     No data counts as 0; with ``ignore_nodata`` sums are divided by the kernel's weight
     over valid cells and multiplied by its total; with ``mask_nodata`` cells without data stay so.
     """
-    total = float(sum(kernel.values()))
-    spread = cells.filter("value is not null").select("row", "col", "value", F.explode(_offsets(kernel)).alias("k"))
-    moved = spread.select((F.col("row") - F.col("k.dr")).alias("row"), (F.col("col") - F.col("k.dc")).alias("col"), (F.col("value") * F.col("k.w")).alias("v"), F.col("k.w").alias("w"))
-    sums = moved.groupBy("row", "col").agg(F.sum("v").alias("_v"), F.sum("w").alias("_w"))
-    out = cells.join(sums, ["row", "col"], "left")
-    value = F.try_divide("_v", "_w") * total if ignore_nodata else F.coalesce("_v", F.lit(0.0))
-    return out.withColumn("value", F.when(F.col("value").isNotNull(), value) if mask_nodata else value).drop("_v", "_w")
+    weights = {(int(r), int(c)): float(w) for (r, c), w in kernel.items()}
+    total = float(sum(weights.values()))
+    radius = max((max(abs(r), abs(c)) for r, c in weights), default=0)
+
+    def work(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        n = values.shape[0] - 2 * radius
+        part = lambda x, r, c: x[radius + r : radius + r + n, radius + c : radius + c + n]
+        out, share = np.zeros((n, n)), np.zeros((n, n))
+        for (r, c), w in sorted(weights.items()):
+            out += w * part(values, r, c)
+            if ignore_nodata:
+                share += w * part(valid, r, c)
+        if ignore_nodata:
+            out = np.where(share != 0, out / np.where(share != 0, share, 1) * total, np.nan)
+        return np.where(part(valid, 0, 0), out, np.nan) if mask_nodata else out
+
+    return _rest_of(cells, _tiled(cells, radius, work))
 
 
 def neighbours(cells: DataFrame, radius: int = 1) -> DataFrame:
@@ -55,10 +111,28 @@ def neighbours(cells: DataFrame, radius: int = 1) -> DataFrame:
 
 
 def focal(cells: DataFrame, radius: int, how: str = "avg") -> DataFrame:
-    """An aggregate of the valid cells of each square neighbourhood."""
-    spread = cells.filter("value is not null").select("row", "col", "value", F.explode(_offsets(square(radius))).alias("k"))
-    moved = spread.select((F.col("row") - F.col("k.dr")).alias("row"), (F.col("col") - F.col("k.dc")).alias("col"), "value")
-    return cells.drop("value").join(moved.groupBy("row", "col").agg(getattr(F, how)("value").alias("value")), ["row", "col"], "left")
+    """An aggregate of the valid cells of each square neighbourhood; sums, means, counts and extremes by tiles, others by Spark's aggregates."""
+    if how not in ("sum", "avg", "count", "min", "max"):
+        spread = cells.filter("value is not null").select("row", "col", "value", F.explode(_offsets(square(radius))).alias("k"))
+        moved = spread.select((F.col("row") - F.col("k.dr")).alias("row"), (F.col("col") - F.col("k.dc")).alias("col"), "value")
+        return cells.drop("value").join(moved.groupBy("row", "col").agg(getattr(F, how)("value").alias("value")), ["row", "col"], "left")
+
+    def work(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        n = values.shape[0] - 2 * radius
+        start = {"min": np.inf, "max": -np.inf}.get(how, 0.0)
+        out, count = np.full((n, n), start), np.zeros((n, n), np.int64)
+        for r in range(2 * radius + 1):
+            for c in range(2 * radius + 1):
+                v, ok = values[r : r + n, c : c + n], valid[r : r + n, c : c + n]
+                count += ok
+                if how in ("min", "max"):
+                    out = (np.minimum if how == "min" else np.maximum)(out, np.where(ok, v, start))
+                else:
+                    out += v
+        out = count.astype(float) if how == "count" else out / np.maximum(count, 1) if how == "avg" else out
+        return np.where(count > 0, out, np.nan)
+
+    return _rest_of(cells, _tiled(cells, radius, work))
 
 
 def around(cells: DataFrame, row: int, col: int, radius: int, fill: float) -> DataFrame:
@@ -98,9 +172,6 @@ def terrain(cells: DataFrame, cell_size: float = 1.0, azimuth: float = 315.0, al
 
 def distance_transform(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     """Euclidean distance in cells to the nearest nonzero cell: by column first, then along rows (exact and separable)."""
-    import numpy as np
-    import pandas as pd
-
     def down(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row")
         at = frame["row"].to_numpy()

@@ -72,7 +72,7 @@ def best_matches(left: DataFrame, right: DataFrame, key: str, cutoff: float = 0.
     return scored.groupBy(key).agg(F.max_by(F.struct("match", "score"), F.struct("score", F.col("match"))).alias("b")).select(key, F.col("b.match").alias("match"), F.col("b.score").alias("score"))
 
 
-def _similar(left: DataFrame, right: DataFrame, key: str, cutoff: float, gram: int = 3) -> DataFrame:
+def _similar(left: DataFrame, right: DataFrame, key: str, cutoff: float, gram: int = 2) -> DataFrame:
     """(key, match, score) of all pairs of distinct keys that reach ``cutoff``.
 
     Only pairs that share a run of ``gram`` letters (or are equal) are compared, so no cross join is made.

@@ -12,7 +12,7 @@ INLINE = 500
 
 
 def reclassify(cells: DataFrame, rules: Mapping | DataFrame, unlisted: str = "keep", value: str = "value", out: str | None = None) -> DataFrame:
-    """``value`` by the rules (a dictionary, or rows src, dst).  Unlisted values: keep, zero, nodata, or raise."""
+    """``value`` by the rules (a dictionary, or rows src, dst; two targets for one source are an error).  Unlisted values: keep, zero, nodata, or raise."""
     if unlisted not in ("keep", "zero", "nodata", "raise"):
         raise ValueError(f"unlisted is {unlisted!r}")
     out = out or value
@@ -26,7 +26,10 @@ def reclassify(cells: DataFrame, rules: Mapping | DataFrame, unlisted: str = "ke
         hit = v.isin(list(rules)) if rules else F.lit(False)
         table = cells.withColumn("_new", new if new is not None else F.lit(None)).withColumn("_hit", F.coalesce(hit, F.lit(False)))
     else:
-        pairs = rules.select(F.col("src").alias("_src"), F.col("dst").alias("_new"), F.lit(True).alias("_is"))
+        # A source with two different targets would multiply cells.
+        once = rules.groupBy(F.col("src").alias("_src")).agg(F.min("dst").alias("_new"), F.max("dst").alias("_other"))
+        clash = F.raise_error(F.concat(F.lit("two targets for "), F.col("_src").cast("string"))).cast(dict(rules.dtypes)["dst"])
+        pairs = once.select("_src", F.when(F.col("_new").eqNullSafe(F.col("_other")), F.col("_new")).otherwise(clash).alias("_new"), F.lit(True).alias("_is"))
         table = cells.join(pairs, v == F.col("_src"), "left").withColumn("_hit", F.coalesce("_is", F.lit(False))).drop("_src", "_is")
     if unlisted == "raise":
         missing = table.filter(~F.col("_hit") & v.isNotNull()).select(value).distinct().take(5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +92,94 @@ def region_boxes(cells: DataFrame) -> DataFrame:
     return regions(cells).groupBy("region", "value").agg(F.count(F.lit(1)).alias("n_cells"), F.min("row").alias("min_row"), F.min("col").alias("min_col"), F.max("row").alias("max_row"), F.max("col").alias("max_col"))
 
 
+def outlines(cells: DataFrame, frame: Frame) -> DataFrame:
+    """(region, value, n_cells, wkt): the connected regions as polygons, outer ring first, holes after it.
+
+    Sides between two cells of a region cancel where the rows are; what is left, the region's border,
+    is chained to rings in one task a region.
+    """
+    named = saved(regions(cells))
+    r, c = F.col("row"), F.col("col")
+    corner = lambda y, x: F.struct(y.alias("r"), x.alias("c"))
+    # Clockwise around each cell.
+    sides = [(corner(r, c), corner(r, c + 1)), (corner(r, c + 1), corner(r + 1, c + 1)), (corner(r + 1, c + 1), corner(r + 1, c)), (corner(r + 1, c), corner(r, c))]
+    edges = named.select("region", "value", F.explode(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in sides])).alias("e"))
+    border = edges.groupBy("region", "value", F.least("e.a", "e.b").alias("p"), F.greatest("e.a", "e.b").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e")).filter("n = 1")
+    flat = border.select("region", "value", F.col("e.a.r").alias("ar"), F.col("e.a.c").alias("ac"), F.col("e.b.r").alias("br"), F.col("e.b.c").alias("bc"))
+
+    def chain(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for ar, ac, br, bc in part[["ar", "ac", "br", "bc"]].sort_values(["ar", "ac", "br", "bc"]).itertuples(index=False):
+            onward.setdefault((ar, ac), []).append((br, bc))
+        found: list[list[tuple[int, int]]] = []
+        for start in sorted(onward):
+            while onward[start]:
+                ring, here, way = [start], onward[start].pop(0), None
+                way = (here[0] - start[0], here[1] - start[1])
+                while here != start or (onward[here] and len(ring) == 1):
+                    ring.append(here)
+                    # Where two borders touch, the sharpest turn to the right stays with this one's cell.
+                    options = sorted(onward[here], key=lambda p, here=here, way=way: -((p[1] - here[1]) * -way[0] + (p[0] - here[0]) * way[1]))
+                    onward[here].remove(options[0])
+                    way = (options[0][0] - here[0], options[0][1] - here[1])
+                    here = options[0]
+                found.append(_corners([*ring, start]))
+        area = lambda ring: sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False)) / 2
+        found.sort(key=lambda ring: (area(ring) < 0, ring))
+        text = ",".join("(" + ",".join(f"{float(frame.ulx + x * frame.xres)!r} {float(frame.uly - y * frame.yres)!r}" for y, x in ring) + ")" for ring in found)
+        return pd.DataFrame({"region": [key[0]], "value": [float(key[1])], "wkt": [f"POLYGON({text})"]})
+
+    shapes = flat.withColumn("value", F.col("value").cast("double")).groupBy("region", "value").applyInPandas(chain, "region long, value double, wkt string")
+    sizes = named.groupBy("region").agg(F.count(F.lit(1)).alias("n_cells"))
+    return shapes.join(sizes, "region").select("region", "value", "n_cells", "wkt")
+
+
+def _corners(ring: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The closed ring without points on straight lines."""
+    inner = ring[:-1]
+    straight = lambda a, b, c: (b[0] - a[0]) * (c[1] - b[1]) == (b[1] - a[1]) * (c[0] - b[0])
+    kept = [p for i, p in enumerate(inner) if not straight(inner[i - 1], p, inner[(i + 1) % len(inner)])]
+    return [*kept, kept[0]]
+
+
+def simplify(wkt: Column, tolerance: float) -> Column:
+    """Polygons without the points that lie within ``tolerance`` of the lines between those kept (Douglas and Peucker)."""
+
+    def thin(points: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(points), bool)
+        far = int(np.hypot(*(points - points[0]).T).argmax())
+        keep[[0, far, -1]] = True
+        todo = [(0, far), (far, len(points) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            p, way = points[a + 1 : b], points[b] - points[a]
+            size = float(np.hypot(*way))
+            off = np.abs(way[0] * (p[:, 1] - points[a, 1]) - way[1] * (p[:, 0] - points[a, 0])) / size if size else np.hypot(*(p - points[a]).T)
+            k = int(off.argmax())
+            if off[k] > tolerance:
+                keep[a + 1 + k] = True
+                todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        return points[keep]
+
+    @F.pandas_udf("string")
+    def thinned(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+
+            def ring(m: re.Match) -> str:
+                points = np.array([[float(x) for x in p.split()[:2]] for p in m[1].split(",")])
+                return "(" + ",".join(f"{x!r} {y!r}" for x, y in thin(points).tolist()) + ")"
+
+            return re.sub(r"\(([^()]+)\)", ring, text)
+
+        return texts.map(one, na_action="ignore")
+
+    return thinned(wkt)
+
+
 def disjoint_sets(features: DataFrame, key: str, size: float, wkt: str = "wkt") -> DataFrame:
     """(key, set): features in sets without overlapping boxes; greedy by degree within connected groups, each group in one task."""
     pairs = saved(touching_boxes(features, key, size, wkt))

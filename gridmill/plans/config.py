@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from gridmill.functions.text import CLOSE, OPEN, split_outside_brackets
 
+MOST_ROWS = 10_000
 _LITERAL = re.compile(r"(int|float)\(\s*([-+0-9.eE]+)\s*\)\Z")
 
 
@@ -47,8 +48,10 @@ def orientation(df: DataFrame) -> str:
 
 
 def parameters(df: DataFrame, defaults: Mapping[str, object] | None = None) -> dict[str, object]:
-    """The first row, or all name-value pairs, of a small configuration table, on top of the defaults."""
-    rows = [r.asDict() for r in df.limit(10_000).collect()]
+    """The first row, or all name-value pairs, of a small configuration table, on top of the defaults; more than ``MOST_ROWS`` rows are an error."""
+    rows = [r.asDict() for r in df.limit(MOST_ROWS + 1).collect()]
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a configuration table has at most {MOST_ROWS} rows")
     if orientation(df) == "vertical":
         key = next(c for c in df.columns if c.lower() in ("key", "name", "attribute"))
         value = next(c for c in df.columns if c != key)

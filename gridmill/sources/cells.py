@@ -136,7 +136,11 @@ def select_dims(df: DataFrame, keep: Mapping[str, Sequence] | None = None, shift
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(path, band, row, col, value) of .npy files; 1-D arrays are one row, 3-D arrays have bands."""
+    return npy_cells(spark.read.format("binaryFile").load(path))
+
+
+def npy_cells(files: DataFrame) -> DataFrame:
+    """(path, band, row, col, value) of .npy files in rows (path, content); 1-D arrays are one row, 3-D arrays have bands."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -149,8 +153,7 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                         r, c = np.indices(part.shape)
                         yield pd.DataFrame({"path": name, "band": band, "row": r.ravel() + a, "col": c.ravel(), "value": part.ravel().astype("float64")})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(decode, "path string, band int, row long, col long, value double")
+    return files.select("path", "content").mapInPandas(decode, "path string, band int, row long, col long, value double")
 
 
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:

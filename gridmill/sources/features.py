@@ -15,7 +15,11 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of GeoJSON files: the columns of ``properties`` (a schema) and ``wkt`` of points, polygons and multipolygons."""
     geometry = "type string, coordinates string"
     schema = f"features array<struct<properties: struct<{_struct(properties)}>, geometry: struct<{_struct(geometry)}>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    return geometry_wkt(spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")))
+
+
+def geometry_wkt(rows: DataFrame) -> DataFrame:
+    """The properties of parsed features ``f`` and ``wkt``."""
     kind = F.col("f.geometry.type")
     # Coordinates arrive as JSON text; WKT has the same numbers with other punctuation.
     flat = F.regexp_replace(F.regexp_replace("f.geometry.coordinates", r"\s+", ""), r"\[(-?[\d.eE+-]+),(-?[\d.eE+-]+)(?:,[^\]]*)?\]", "$1 $2")

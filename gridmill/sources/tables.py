@@ -55,6 +55,23 @@ def from_maps(df: DataFrame, row_key: str = "row_key", cells: str = "cells") ->
     return df.select(row_key, F.explode(cells).alias("col_key", "value"))
 
 
+def beside(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """Tables of one key next to one another; columns of equal names take the table's number."""
+    named = [f.select(key, *[F.col(c).alias(c if all(c not in g.columns for g in frames if g is not f) else f"{c}_{i}") for c in f.columns if c != key]) for i, f in enumerate(frames)]
+    return reduce(lambda a, b: a.join(b, key, "full"), named)
+
+
+def flattened(df: DataFrame, column: str, sep: str = ".") -> DataFrame:
+    """``column``, a map of maps, as one map whose keys are both keys joined."""
+    inner = F.transform(F.map_entries(column), lambda e: F.transform(F.map_entries(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit(sep), x["key"]), x["value"])))
+    return df.withColumn(column, F.map_from_entries(F.flatten(inner)))
+
+
+def unique_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): the distinct keys of a vertical table, and how often each occurs."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def attribute_table(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """A dimension keyed by cell value: one row a distinct key."""
     return df.select(key, *columns).dropDuplicates([key])

@@ -193,3 +193,99 @@ def test_metadata(spark):
     assert metadata.frame_of(table, "b") == grid.Frame.world(900) and not metadata.agree(table, "xres") and metadata.agree(table, "crs", "dtype")
     assert metadata.common_box(table).first()["maxx"] == 180 and pyramid.is_standard(grid.Frame.world(300))
     assert pyramid.transform_box((0, 0, 2, 1), lambda x, y: (y, x)) == (0, 0, 1, 2) and pyramid.standard_box((-9.5, 0.2, 3, 4), 3600) == (-10, 0, 3, 4)
+
+
+def test_tiff_forms():
+    from gridmill.operators.grid import Frame
+    from gridmill.sources import tiff
+
+    rng = np.random.default_rng(1)
+    for kind in ("uint8", "int16", "float32", "float64"):
+        for shape in ((1, 5, 7), (3, 130, 20)):
+            values = (rng.random(shape) * 100).astype(kind)
+            for deflate in (True, False):
+                back = tiff.decode(tiff.encode(tiff.Raster(values, Frame(-10, 40, 0.5, 0.25, *shape[1:]), -1.0), deflate, 16))
+                assert (back.values == values).all() and back.values.dtype == kind and back.frame == Frame(-10, 40, 0.5, 0.25, *shape[1:]) and back.nodata == -1.0
+    # A big-endian file of one strip, written out by hand: 2 x 2 unsigned shorts.
+    import struct
+
+    fields = [(256, 3, 1, 2), (257, 3, 1, 2), (258, 3, 1, 16), (273, 4, 1, 8), (277, 3, 1, 1), (278, 3, 1, 2), (279, 4, 1, 8)]
+    ifd = struct.pack(">H", len(fields)) + b"".join(struct.pack(">HHI", t, k, n) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, n, v in fields) + b"\0" * 4
+    raster = tiff.decode(b"MM\0*" + struct.pack(">I", 16) + struct.pack(">4H", 1, 2, 3, 65535) + ifd)
+    assert raster.values.tolist() == [[[1, 2], [3, 65535]]] and raster.frame is None and raster.nodata is None
+    with pytest.raises(ValueError):
+        tiff.decode(b"nothing of the kind")
+
+
+def test_netcdf_records(spark):
+    """A file with two record variables, an attribute and a fill value, written out by hand."""
+    import struct
+
+    from gridmill.sources import netcdf
+
+    text = lambda s: struct.pack(">I", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    head = b"CDF\x01" + struct.pack(">I", 2) + struct.pack(">II", 10, 2) + text("time") + struct.pack(">I", 0) + text("x") + struct.pack(">I", 3) + struct.pack(">II", 0, 0)
+    head += struct.pack(">II", 11, 2)
+    fill = struct.pack(">II", 12, 1) + text("_FillValue") + struct.pack(">II", 4, 1) + struct.pack(">i", -9)
+    a = text("a") + struct.pack(">III", 2, 0, 1) + fill + struct.pack(">II", 4, 12)
+    b = text("b") + struct.pack(">II", 1, 0) + struct.pack(">II", 0, 0) + struct.pack(">II", 3, 4)
+    start = len(head) + len(a) + len(b) + 8
+    data = head + a + struct.pack(">I", start) + b + struct.pack(">I", start + 12)
+    data += struct.pack(">3i", 1, -9, 3) + struct.pack(">hh", 7, 0) + struct.pack(">3i", 4, 5, 6) + struct.pack(">hh", 8, 0)
+    found = netcdf.decode(data)
+    assert found["a"][0] == ["time", "x"] and found["a"][1].tolist() == [[1, -9, 3], [4, 5, 6]] and found["b"][1].tolist() == [7, 8]
+    files = spark.createDataFrame([("f", data)], "path string, content binary")
+    rows = {tuple(r["at"]): r["value"] for r in netcdf.values(files, "a").collect()}
+    assert rows[(0, 1)] is None and rows[(1, 2)] == 6 and len(rows) == 6
+    assert {r["variable"]: list(r["shape"]) for r in netcdf.listing(files).collect()} == {"a": [2, 3], "b": [2]}
+
+
+def test_outlines_have_holes(spark):
+    from gridmill.operators import grid, vector
+
+    ring = [(r, c, 1.0 if (r, c) != (1, 1) else 2.0) for r in range(3) for c in range(3)] + [(0, 4, 1.0), (1, 5, 1.0)]
+    cells = spark.createDataFrame(ring, "row long, col long, value double")
+    frame = grid.Frame(0, 3, 1, 1, 3, 6)
+    shapes = vector.outlines(cells, frame)
+    found = {r["wkt"]: r["n_cells"] for r in shapes.collect()}
+    assert found["POLYGON((0.0 3.0,3.0 3.0,3.0 0.0,0.0 0.0,0.0 3.0),(1.0 2.0,1.0 1.0,2.0 1.0,2.0 2.0,1.0 2.0))"] == 8 and len(found) == 4
+    back = {(r["row"], r["col"]): r["value"] for r in vector.covered(shapes, frame).collect()}
+    assert back == {(r, c): v for r, c, v in ring}
+    bent = spark.createDataFrame([("POLYGON((0 0,5 0.4,10 0,10 10,5 9.7,0 10,0 0))",)], "w string").select(vector.simplify(F.col("w"), 1.0).alias("w")).first()["w"]
+    assert bent == "POLYGON((0.0 0.0,10.0 0.0,10.0 10.0,0.0 10.0,0.0 0.0))"
+
+
+def test_rules_and_parameters_are_checked(spark):
+    from gridmill.operators import reclass
+    from gridmill.plans import config
+
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "row long, col long, value double")
+    twice = spark.createDataFrame([(1.0, 5.0), (1.0, 5.0), (2.0, 6.0)], "src double, dst double")
+    assert sorted(r["value"] for r in reclass.reclassify(cells, twice).collect()) == [5.0, 6.0]
+    with pytest.raises(Exception, match="two targets"):
+        reclass.reclassify(cells, twice.unionByName(spark.createDataFrame([(2.0, 7.0)], "src double, dst double"))).collect()
+    with pytest.raises(ValueError):
+        config.parameters(spark.range(config.MOST_ROWS + 1).selectExpr("cast(id as string) name", "'1' value"))
+
+
+def test_tiles_agree_with_plain_sums(spark, monkeypatch):
+    """Convolutions and aggregates over several tiles, with holes and missing cells."""
+    from gridmill.operators import focal
+
+    monkeypatch.setattr(focal, "TILE", 8)
+    rng = np.random.default_rng(3)
+    cells = {(r, c): (None if rng.random() < 0.2 else float(rng.integers(0, 50))) for r in range(21) for c in range(19) if rng.random() < 0.9}
+    df = spark.createDataFrame([(r, c, v, "x") for (r, c), v in cells.items()], "row long, col long, value double, note string")
+    kernel = {(r, c): float(1 + r * r + c) for r in range(-2, 3) for c in range(-3, 2)}
+    near = lambda r, c: [(w, cells[r + a, c + b]) for (a, b), w in kernel.items() if cells.get((r + a, c + b)) is not None]
+    got = {(x["row"], x["col"]): x["value"] for x in focal.convolve(df, kernel).collect()}
+    assert got.keys() == cells.keys() and all(abs(got[k] - sum(w * v for w, v in near(*k))) < 1e-9 for k in cells)
+    got = {(x["row"], x["col"]): x for x in focal.convolve(df, kernel, ignore_nodata=True, mask_nodata=True).collect()}
+    total = sum(kernel.values())
+    for k, v in cells.items():
+        share = sum(w for w, _ in near(*k))
+        assert got[k]["note"] == "x" and (got[k]["value"] is None if v is None or not share else abs(got[k]["value"] - sum(w * x for w, x in near(*k)) / share * total) < 1e-9)
+    around = lambda r, c: [cells[r + a, c + b] for a in range(-2, 3) for b in range(-2, 3) if cells.get((r + a, c + b)) is not None]
+    for how, plain in (("sum", sum), ("min", min), ("max", max), ("count", len), ("avg", lambda x: sum(x) / len(x))):
+        got = {(x["row"], x["col"]): x["value"] for x in focal.focal(df.drop("note"), 2, how).collect()}
+        assert all((got[k] is None) == (not around(*k)) and (got[k] is None or abs(got[k] - plain(around(*k))) < 1e-9) for k in cells)
