@@ -5,7 +5,8 @@
    sketch of one byte from each of ``REGISTERS`` registers.  Documents with equal
    bags are one node from here on, so exact copies cost nothing further.
 2. Nodes that share a band key form a bucket.  Each is compared with its bucket's
-   least node: links grow with the bucket, not with its square.
+   least node: links grow with the bucket, not with its square, and the least node's
+   text is salted.
 3. Nodes that are not yet connected but share a bucket are compared too, bucket by
    bucket: the sketches rule out most pairs, likelier ones come first, and pairs that
    links connect meanwhile are left out.  Large buckets are dealt out in pairs of
@@ -19,6 +20,9 @@ the sketches' bound (``SKETCH_LEAST``) with one below 1e-3 if nothing else conne
 Null and empty texts, and texts of white space, have no words: each such row is a
 class of its own.  Texts of fewer than five words are compared as one shingle.
 Repeated rows are in one class.  The class id is the least document id in it.
+An empty table gives an empty one.  Shingles are compared by 52 bits of their hashes:
+two different ones of two texts of n shingles count as shared with a chance below
+n**2 / 2**52.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 REGISTERS, BANDS, BAND_ROWS = 256, 24, 5
 SKETCH_LEAST = 0.72
+#: Pairs of one hub that are verified together.
+SALTED_PAIRS = 500
 #: Rows of a bucket that are compared with one another at a time.
 CHUNK = 1200
 _SIG_BYTES = BANDS * 8 + REGISTERS
@@ -98,7 +104,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok)], names=["x", "y", "ok"])
 
     of = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
-    both = pairs.select("x", "y").join(of("x"), "x").join(of("y"), "y").select("x", "y", "text_x", "text_y")
+    # A hub's text is copied once for each SALTED_PAIRS of its pairs, so that no task gets all pairs of a large group.
+    parts = F.ceil(F.count(F.lit(1)) / SALTED_PAIRS).cast("int").alias("parts")
+    sizes = saved(pairs.groupBy("y").agg(parts))
+    dealt = pairs.select("x", "y").join(sizes, "y").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
+    hubs = of("y").join(sizes, "y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = dealt.join(of("x"), "x").join(hubs, ["y", "salt"]).select("x", "y", "text_x", "text_y")
     return both.mapInArrow(tidy(run), "x long, y long, ok boolean")
 
 

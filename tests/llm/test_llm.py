@@ -740,6 +740,28 @@ def test_pipeline(spark, tmp_path):
     assert rows(corpus_pipeline.run(spark, FOLDER).select("doc_id", "doc_tokens").distinct().toPandas()) == rows(kept["packing"][["doc_id", "doc_tokens"]].drop_duplicates())
 
 
+def test_pipeline_on_odd_rows(spark, odd_docs, labels, tmp_path):
+    """All stages one after the other on odd rows, on null ids, and on an empty table."""
+    corpus = pytest.importorskip("corpus_pipeline")
+    folder = tmp_path / "sf"
+    labels.write.parquet(f"{folder}/labels.parquet")
+    text = lambda i: " ".join(f"w{(i * 7919 + k * 104729) % 5003}x" for k in range(90))
+    more = [(None, text(1), "en", "a", 500), (None, text(2), "en", "a", 500), (None, text(3), "en", "b", 500), (None, text(3), "en", "b", 500), (20, text(4), "en", "a", 500), (20, text(5), None, None, None)]
+    docs = odd_docs.select(*corpus.COLUMNS).unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus.STAGES:
+            out = stage(spark, rows, str(folder))
+            if name == "packing":
+                assert out.count() >= rows.count()
+                break
+            assert sorted(out.columns) == sorted(corpus.COLUMNS)
+            out.write.mode("overwrite").parquet(f"{folder}/{name}")
+            rows = spark.read.parquet(f"{folder}/{name}")
+    # Two rows of one text are one group; texts that share an id, or have none, all stay.
+    kept = corpus.drop_near_duplicates(spark, docs, str(folder)).toPandas()
+    assert len(kept[kept["doc_id"].isna()]) == 4 and len(kept[kept["doc_id"] == 20]) == 2
+
+
 def test_page_layouts():
     body = "Some sentences that make up the article, one after the other. " * 4
     pages = {
