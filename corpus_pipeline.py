@@ -9,6 +9,13 @@ one's docs.  The first four return the columns of documents:
 3. near-duplicates: one document of each class stays;
 4. secret scan: secrets are blanked out of the texts;
 5. packing: pieces of token sequences.
+
+Only the columns of documents are carried; further ones, whatever their names, are left
+behind at the first stage.  Nulls: a document without text is kept by the classifier and
+fails the rules' least number of words; rows without id, language or source are treated
+like others, and rows that share an id, or have none, are told apart by their texts.
+Repeated rows are one group of near-duplicates, of which one stays.  Long texts are read
+whole.  An empty table passes through all stages and gives no pieces.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path[:0] = [p for p in [str(Path(__file__).resolve().parent)] if p not in sys.path]
 
+from gridmill.checkpoints import remove  # noqa: E402
 from gridmill.deploy import ship  # noqa: E402
 from gridmill.llm import near_duplicates, packing, quality_kneser_ney, quality_rules, secrets  # noqa: E402
 from gridmill.llm.queries import tokenizer_path  # noqa: E402
@@ -67,11 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; stages in between are written to the shared checkpoint folder."""
+    """The last stage's rows; stages in between are written to the shared checkpoint folder, each until the next one is there."""
     ensure_checkpoint_dir(ship(spark))
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
