@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.piececache import SlicedCache, PieceCache
 from gridmill.llm.shared import saved
 from gridmill.llm.textbytes import blocks, mix64, word_hashes
-from gridmill.llm.workers import tidy
+from gridmill.llm.workers import FORGET, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -50,7 +50,7 @@ QUERY_TERMS = 24
 RANKED = 256
 HASHES = 4
 K1, B = 1.2, 0.75
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
@@ -167,13 +167,14 @@ _kept: dict[str, Tokens] = {}
 
 
 def tokens(path: str) -> Tokens:
-    """One instance a worker, whose bounded memory of parts serves task after task."""
+    """One instance a worker, whose bounded memory of parts serves task after task until the worker turns to other work."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _kept:
         _kept.clear()
         _kept[path] = Tokens(path)
+    FORGET["packing"] = _kept.clear
     return _kept[path]
 
 
@@ -343,7 +344,7 @@ def coded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
                 found = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, "packing"), "doc_id long, ids binary")
 
 
 def corpus_of(rows: DataFrame, vocabulary: int) -> tuple[Corpus, int]:

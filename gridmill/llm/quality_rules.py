@@ -153,13 +153,15 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     The thresholds are made first and written to the shared checkpoint folder, so
     their size is known before the join: small tables are broadcast, others joined
-    by a salted key.  The counts are written too, with the text if it is kept, so
-    that texts are counted once.
+    by a salted key.  Without the text the counts are written too and the texts
+    are read once; with it they are counted again rather than copied to disk.
     """
     # The row travels as one struct, so that no column of ``docs`` can clash with those made here.
     rest = [c for c in docs.columns if keep_text or c != text_col]
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    counted = saved(with_counts(inner))
+    counted = with_counts(inner)
+    if not keep_text:
+        counted = saved(counted)
     made = thresholds(sketches(counted)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     made = saved(made)
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
