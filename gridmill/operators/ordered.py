@@ -42,10 +42,13 @@ def _before(totals: DataFrame) -> DataFrame:
 def quantile(df: DataFrame, value: str, q: float, name: str = "quantile") -> DataFrame:
     """One row: the exact quantile, interpolated between neighbours, of the values that are there.
 
-    The two neighbours are found by their ranks, so no task holds all distinct values.
+    Equal values are counted first, so a very common one is a single row, and the two
+    neighbours are found by running sums of the counts: no task holds all distinct values.
     """
-    rows = ranked(df.select(F.col(value).cast("double").alias("v")).filter("v is not null"), F.asc("v"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
+    values = df.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    upto = running_sum(values, F.col("c"), F.asc("v"), name="upto")
+    size = upto.agg(F.sum("c").alias("n"))  # one row
     place = F.lit(q) * (F.col("n") - 1)
-    near = rows.crossJoin(F.broadcast(size)).filter((F.col("rank") == F.floor(place) + 1) | (F.col("rank") == F.ceil(place) + 1))
+    holds = lambda rank: (F.col("upto") - F.col("c") < rank) & (rank <= F.col("upto"))
+    near = upto.crossJoin(F.broadcast(size)).filter(holds(F.floor(place) + 1) | holds(F.ceil(place) + 1))
     return near.agg((F.min("v") + (F.max("v") - F.min("v")) * F.max(place - F.floor(place))).alias(name))

@@ -181,24 +181,27 @@ def simplify(wkt: Column, tolerance: float) -> Column:
 
 
 def disjoint_sets(features: DataFrame, key: str, size: float, wkt: str = "wkt") -> DataFrame:
-    """(key, set): features in sets without overlapping boxes; greedy by degree within connected groups, each group in one task."""
-    pairs = saved(touching_boxes(features, key, size, wkt))
-    roots = stars(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
-    group = pairs.join(roots.withColumnRenamed("x", "b").withColumnRenamed("y", "root"), "b")
-
-    def colour(frames: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(frames["a"], frames["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        got: dict[int, int] = {}
-        for k in sorted(near, key=lambda k: (-len(near[k]), k)):
-            taken = {got[o] for o in near[k] if o in got}
-            got[k] = next(i for i in range(len(taken) + 1) if i not in taken)
-        return pd.DataFrame({"key": list(got), "set": list(got.values())}).astype("int64")
-
-    coloured = group.groupBy("root").applyInPandas(colour, "key long, set long")
-    return features.select(F.col(key).alias("key")).join(coloured, "key", "left").withColumn("set", F.coalesce("set", F.lit(0)))
+    """(key, set): features in sets without overlapping boxes; greedy, those with the most neighbours (then the least key) first.
+
+    In a round each feature whose neighbours before it all have a set gets the least set
+    that none of them has, so the sets are those of one walk in that order, and no group
+    of overlapping features has to fit into a task.
+    """
+    pairs = touching_boxes(features, key, size, wkt)
+    near = saved(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    degree = saved(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    ranked = near.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
+    before = saved(ranked.filter((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("a")))).select("a", "b"))
+    done = saved(degree.join(before, "a", "left_anti").select("a", F.lit(0).alias("set")))
+    total, have = degree.count(), done.count()
+    while have < total:
+        seen = before.join(done, "a", "left_anti").join(done.withColumnsRenamed({"a": "b", "set": "other"}), "b", "left")
+        taken = seen.groupBy("a").agg(F.bool_and(F.col("other").isNotNull()).alias("ready"), F.collect_set("other").alias("others")).filter("ready")
+        least = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("others")), "others"))
+        done = saved(done.union(taken.select("a", least.alias("set"))))
+        have = done.count()
+    keyed = features.select(F.col(key).alias("key"))
+    return keyed.join(done.withColumnRenamed("a", "key"), "key", "left").select("key", F.coalesce("set", F.lit(0)).cast("long").alias("set"))
 
 
 def read_points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -71,9 +71,14 @@ def zonal_totals(zoned: DataFrame, threshold: float = 0.0, ignore: Sequence[floa
     return out.withColumn("hectare_mean", F.col("pixel_mean") / cell_hectares) if cell_hectares else out
 
 
-def zone_cells(zones: DataFrame) -> DataFrame:
-    """(zone, cells): the sorted places of each zone."""
-    return zones.filter(F.col("zone").isNotNull()).groupBy("zone").agg(F.sort_array(F.collect_list(F.struct("row", "col"))).alias("cells"))
+def zone_cells(zones: DataFrame, tile: int = 256) -> DataFrame:
+    """(zone, tile_row, tile_col, cells): the sorted places of each zone, a list for each tile of ``tile`` x ``tile`` cells that it touches.
+
+    A list has at most ``tile`` ** 2 places, however large the zone is.
+    """
+    places = zones.filter(F.col("zone").isNotNull())
+    by = [F.floor(F.col("row") / tile).alias("tile_row"), F.floor(F.col("col") / tile).alias("tile_col")]
+    return places.groupBy("zone", *by).agg(F.sort_array(F.collect_list(F.struct("row", "col"))).alias("cells"))
 
 
 def change_matrix(cells: DataFrame, classes: Sequence, before: str = "before", after: str = "after") -> DataFrame:

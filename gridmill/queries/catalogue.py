@@ -125,10 +125,11 @@ def zonal_with_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return named.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "right").groupBy("r_name").agg(F.coalesce(F.round(F.sum("sums"), 2), F.lit(0.0)).alias("sums"))
 
 
-@query("SELECT zone, count(*) AS n_cells, min(\"row\") AS first_row FROM (SELECT size AS zone, \"row\", col FROM rp) GROUP BY zone")
+@query("SELECT size AS zone, \"row\" // 16 AS tile_row, col // 16 AS tile_col, string_agg(\"row\" || ':' || col, ' ' ORDER BY \"row\", col) AS places FROM rp GROUP BY 1, 2, 3")
 def zone_cell_lists(spark: SparkSession, sf: str) -> DataFrame:
-    z = zonal.zone_cells(part_grid(spark, sf).select(F.col("size").alias("zone"), "row", "col"))
-    return z.select("zone", F.size("cells").cast("long").alias("n_cells"), F.get("cells", F.lit(0))["row"].alias("first_row"))
+    z = zonal.zone_cells(part_grid(spark, sf).select(F.col("size").alias("zone"), "row", "col"), 16)
+    place = lambda c: F.concat(c["row"].cast("string"), F.lit(":"), c["col"].cast("string"))
+    return z.select("zone", "tile_row", "tile_col", F.array_join(F.transform("cells", place), " ").alias("places"))
 
 
 @query("SELECT flag AS class, count(*) FILTER (status = 'O') AS \"to_O\", count(*) FILTER (status = 'F') AS \"to_F\" FROM (SELECT l_returnflag AS flag, l_linestatus AS status FROM lineitem) WHERE flag IN ('O', 'F', 'A', 'N', 'R') AND status IN ('O', 'F', 'A', 'N', 'R') GROUP BY flag")

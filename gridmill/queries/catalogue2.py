@@ -154,9 +154,10 @@ def convolve_ignoring_nodata(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(focal.convolve(p, focal.square(1, 1 / 9), ignore_nodata=True).filter("value is not null"), 6, "value")
 
 
-@query("SELECT a.\"row\", a.col, round(100 * sqrt((sum(b.value * (b.col - a.col) * CASE WHEN b.\"row\" = a.\"row\" THEN 2 ELSE 1 END) / 8) ** 2 + (sum(b.value * (b.\"row\" - a.\"row\") * CASE WHEN b.col = a.col THEN 2 ELSE 1 END) / 8) ** 2), 4) AS slope, round(sqrt(sum((b.value - a.value) ** 2)), 4) AS tri, round(any_value(a.value) - (sum(b.value) - any_value(a.value)) / 8, 4) AS tpi, round(max(b.value) - min(b.value), 4) AS roughness FROM rp a JOIN rp b ON b.\"row\" BETWEEN a.\"row\" - 1 AND a.\"row\" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.\"row\", a.col HAVING count(*) = 9")
+@query("SELECT a.\"row\", a.col, round(100 * sqrt((sum(b.value * (b.col - a.col) * CASE WHEN b.\"row\" = a.\"row\" THEN 2 ELSE 1 END) / 8) ** 2 + (sum(b.value * (b.\"row\" - a.\"row\") * CASE WHEN b.col = a.col THEN 2 ELSE 1 END) / 8) ** 2), 4) AS slope, round(sqrt(sum((b.value - a.value) ** 2)), 4) AS tri, round(any_value(a.value) - (sum(b.value) - any_value(a.value)) / 8, 4) + 0.0 AS tpi, round(max(b.value) - min(b.value), 4) AS roughness FROM rp a JOIN rp b ON b.\"row\" BETWEEN a.\"row\" - 1 AND a.\"row\" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.\"row\", a.col HAVING count(*) = 9")
 def terrain(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(focal.terrain(part_grid(spark, sf)), 4, "slope", "tri", "tpi", "roughness").select("row", "col", "slope", "tri", "tpi", "roughness")
+    out = _rounded(focal.terrain(part_grid(spark, sf)), 4, "slope", "tri", "tpi", "roughness")
+    return out.select("row", "col", "slope", "tri", (F.col("tpi") + 0.0).alias("tpi"), "roughness")  # no -0
 
 
 @query("SELECT r AS \"row\", c AS col, coalesce(value, -1) AS value FROM range(-1, 4) a(r), range(-1, 4) b(c) LEFT JOIN rp ON \"row\" = r AND col = c")
@@ -358,14 +359,14 @@ def ols_multiple(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- vectors -------------------------------------------------------------------------------------
 
-# A box for each supplier, dealt over the grid of parts: 2 to 6 cells high, 3 to 9 wide.
-_BOX_SQL = "(SELECT s_suppkey AS id, s_suppkey * 7 % 41 AS x, s_suppkey * 13 % 2000 // 2 AS y, 3 + s_nationkey % 7 AS w, 2 + s_suppkey % 5 AS h FROM supplier)"
+# A box for each supplier, dealt over the grid of parts: 2 to 6 cells high, 3 to 9 wide, each over several others at any size.
+_BOX_SQL = "(SELECT s_suppkey AS id, s_suppkey * 7 % 41 AS x, s_suppkey * 13 // 40 AS y, 3 + s_nationkey % 7 AS w, 2 + s_suppkey % 5 AS h FROM supplier)"
 _TOP = f"(SELECT {_ROWS_P} AS top)"
 
 
 def supplier_boxes(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
-    boxes = _t(spark, sf, "supplier").select(k.alias("id"), (k * 7 % 41).alias("x"), F.floor(k * 13 % 2000 / 2).cast("long").alias("y"), (F.col("s_nationkey").cast("long") % 7 + 3).alias("w"), (k % 5 + 2).alias("h"))
+    boxes = _t(spark, sf, "supplier").select(k.alias("id"), (k * 7 % 41).alias("x"), F.floor(k * 13 / 40).cast("long").alias("y"), (F.col("s_nationkey").cast("long") % 7 + 3).alias("w"), (k % 5 + 2).alias("h"))
     return boxes.select("id", grid.box_wkt(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("wkt"), (F.col("id") * 10.0).alias("v"))
 
 
@@ -391,7 +392,14 @@ def disjoint_polygon_sets(spark: SparkSession, sf: str) -> DataFrame:
     return vector.disjoint_sets(supplier_boxes(spark, sf), "id", 10.0)
 
 
-@query()
+_REACH = "SELECT id, id AS root FROM g UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id"
+_SIDES = "SELECT p.id AS a, q.id AS b FROM g p JOIN g q ON p.value = q.value AND ((p.\"row\" = q.\"row\" AND abs(p.col - q.col) = 1) OR (p.col = q.col AND abs(p.\"row\" - q.\"row\") = 1))"
+
+
+@query(
+    f"SELECT * FROM (WITH RECURSIVE g AS (SELECT \"row\", col, CAST(size > 25 AS INTEGER) AS value, \"row\" * 2147483648 + col AS id FROM rp), e AS ({_SIDES}), reach AS ({_REACH}), least AS (SELECT id, min(root) AS region FROM reach GROUP BY id) "
+    "SELECT region, value, count(*) AS n_cells, min(\"row\") AS min_row, min(col) AS min_col, max(\"row\") AS max_row, max(col) AS max_col FROM g JOIN least USING (id) GROUP BY region, value)"
+)
 def connected_regions(spark: SparkSession, sf: str) -> DataFrame:
     p = part_grid(spark, sf).select("row", "col", (F.col("size") > 25).cast("int").alias("value"))
     return vector.region_boxes(p)

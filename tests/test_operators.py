@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmill.functions import text
-from gridmill.operators import algebra, allocate, focal, frames, grid, pyramid, rank, reclass, regress, vector, zonal
+from gridmill.operators import algebra, allocate, focal, frames, grid, ordered, pyramid, rank, reclass, regress, vector, zonal
 from gridmill.plans import config, formula
 from gridmill.plans.tasks import Project
 from gridmill.sources import cells as src
@@ -289,3 +289,34 @@ def test_tiles_agree_with_plain_sums(spark, monkeypatch):
     for how, plain in (("sum", sum), ("min", min), ("max", max), ("count", len), ("avg", lambda x: sum(x) / len(x))):
         got = {(x["row"], x["col"]): x["value"] for x in focal.focal(df.drop("note"), 2, how).collect()}
         assert all((got[k] is None) == (not around(*k)) and (got[k] is None or abs(got[k] - plain(around(*k))) < 1e-9) for k in cells)
+
+
+def test_disjoint_sets_follow_one_greedy_walk(spark):
+    boxes = [(i, i * 7 % 23, i * 5 % 19, 1 + i % 6, 1 + i % 4) for i in range(90)] + [(200, 500, 500, 1, 1)]
+    rows = [(i, f"POLYGON(({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))") for i, x, y, w, h in boxes]
+    touch = lambda p, q: p[1] < q[1] + q[3] and q[1] < p[1] + p[3] and p[2] < q[2] + q[4] and q[2] < p[2] + p[4]
+    near = {p[0]: {q[0] for q in boxes if q[0] != p[0] and touch(p, q)} for p in boxes}
+    want: dict[int, int] = {}
+    for k in sorted(near, key=lambda k: (-len(near[k]), k)):
+        taken = {want[o] for o in near[k] if o in want}
+        want[k] = next(i for i in range(len(taken) + 1) if i not in taken)
+    frame = spark.createDataFrame(rows, "id long, wkt string")
+    got = {r["key"]: r["set"] for r in vector.disjoint_sets(frame, "id", 4.0).collect()}
+    assert got == want and len(set(got.values())) > 3
+    assert vector.disjoint_sets(frame.limit(0), "id", 4.0).count() == 0
+
+
+def test_quantile_of_common_values(spark):
+    values = [3.0] * 500 + [1.0, 2.0, None, 7.5, 9.0] + [4.0] * 40
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    there = sorted(v for v in values if v is not None)
+    for q in (0.0, 0.001, 0.5, 0.93, 0.998, 1.0):
+        assert abs(ordered.quantile(frame, "v", q).first()[0] - np.quantile(there, q)) < 1e-9
+    assert ordered.quantile(frame.limit(0), "v", 0.5).first()[0] is None
+
+
+def test_zone_cells_are_lists_of_tiles(spark):
+    cells = spark.createDataFrame([(1 if c < 5 else None, r, c) for r in range(6) for c in range(7)], "zone int, row long, col long")
+    got = zonal.zone_cells(cells, 4).collect()
+    assert all(len(r["cells"]) <= 16 for r in got) and all(r["cells"] == sorted(r["cells"]) for r in got)
+    assert sorted((p["row"], p["col"]) for r in got for p in r["cells"]) == [(r, c) for r in range(6) for c in range(5)]
