@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under a model of trusted text.
 
 A modified Kneser-Ney model of characters (``ngram``) is trained on texts labelled
-as good: a bounded sample of ``TRUSTED_SAMPLE`` labelled ids, chosen by a hash, of
-which one in ``CALIBRATION`` is kept out of the training to set the thresholds.
+as good and not toxic, all of them but one in ``CALIBRATION``, chosen by a hash of the
+id, which is kept out of the training to set the thresholds.
 A document's ``score`` is its perplexity after ``PRIOR_TOKENS`` further characters
 at its language's median loss, because a few words say little.  A document is
 rejected if its score is above its language's threshold: the ``QUANTILE`` of the
@@ -10,7 +10,8 @@ scores of the language's texts that were kept out, times ``SLACK``.
 
 Null and empty texts are kept with perplexity 1: there is nothing to reject.
 A language (null is one) without ``MIN_TRUSTED`` such texts uses the threshold of
-all.  Without any nothing is rejected.  Repeated rows get equal results, an empty
+all.  Without any nothing is rejected.  Quantiles are exact and do not depend on the
+order of rows.  Repeated rows get equal results, an empty
 table gives an empty one, and a long text is a block of its own.  Columns of
 ``keep`` that clash with those made here come under their names with ``kept_``
 before them.
@@ -18,18 +19,21 @@ before them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm import ngram
 from gridmill.llm.shared import saved
 
-TRUSTED_SAMPLE = 20_000
+#: Up to so many trusted ids (16 bytes each) are broadcast; beyond, the join shuffles the texts.
+BROADCAST_IDS = 2_000_000
 CALIBRATION = 4
 PRIOR_TOKENS = 200
 QUANTILE = 0.99
 SLACK = 1.15
 MIN_TRUSTED = 20
+#: Values of a nat are counted in so many bins before a quantile is looked for in one of them.
+BINS = 256
 MADE = ("n_tokens", "perplexity", "score", "threshold", "kept")
 
 
@@ -38,9 +42,9 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
 
 
-def trusted_ids(labels: DataFrame, n: int = TRUSTED_SAMPLE) -> DataFrame:
-    """At most ``n`` ids of documents labelled good and not toxic, by a hash of the id; ``held`` for those that set the thresholds."""
-    some = good_ids(labels).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Every id labelled good and not toxic, once; ``held`` for those that set the thresholds."""
+    some = good_ids(labels).select("doc_id").distinct()
     return some.select("doc_id", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(CALIBRATION)) == 0).alias("held"))
 
 
@@ -53,29 +57,47 @@ def _score(middle: Column) -> Column:
     return (F.col("loss") + F.lit(PRIOR_TOKENS) * middle) / (F.col("n_tokens") + F.lit(PRIOR_TOKENS))
 
 
-def thresholds(scored: DataFrame) -> DataFrame:
-    """(lang, mid, most): the median and the highest mean loss of each language with enough trusted texts, and of all as (null, true).
+def _quantile(values: DataFrame, q: float) -> DataFrame:
+    """(lang, whole, n, at): how many rows of (lang, whole, value) each group has, and their exact quantile, interpolated between neighbours.
 
-    The trusted sample is bounded, so its quantiles are exact and do not depend on the order of rows.
+    The rows are counted by bins first, so that one task gets the values of one bin and not of a language.
     """
+    group = ["lang", "whole"]
+    binned = values.withColumn("bin", F.floor(F.col("value") * BINS))
+    upto, every = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*group)
+    bins = binned.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("n", F.sum("c").over(every))
+    place = F.lit(q) * (F.col("n") - 1)
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))
+    near = lambda rows: rows.filter(holds(F.floor(place)) | holds(F.ceil(place)))
+    # At most two bins a language that has MIN_TRUSTED texts.
+    picked = near(bins.filter((F.col("n") >= MIN_TRUSTED) | F.col("whole")))
+    inner = binned.alias("a").join(F.broadcast(picked.alias("b")), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, "bin")])
+    inner = inner.groupBy(*[F.col(f"b.{c}") for c in (*group, "bin", "before", "n")], "a.value").agg(F.count(F.lit(1)).alias("c"))
+    within = Window.partitionBy(*group, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ends = near(inner.withColumn("before", F.col("before") + F.sum("c").over(within) - F.col("c")))
+    return ends.groupBy(*group, "n").agg((F.min("value") + (F.max("value") - F.min("value")) * F.max(place - F.floor(place))).alias("at"))
+
+
+def thresholds(scored: DataFrame) -> DataFrame:
+    """(lang, mid, most): the median and the highest mean loss of each language with enough trusted texts, and of all as (null, true)."""
     usable = saved(scored.filter(F.col("n_tokens") > 0).select("lang", "n_tokens", "loss"))
     each = F.array(F.struct(F.col("lang").alias("lang"), F.lit(False).alias("whole")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("whole")))
     dealt = usable.withColumn("g", F.explode(each)).select("g.*", "n_tokens", "loss")
-    mids = dealt.groupBy("lang", "whole").agg(F.percentile(_mean_loss(), F.lit(0.5)).alias("mid"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= MIN_TRUSTED) | F.col("whole"))
+    mids = saved(_quantile(dealt.select("lang", "whole", _mean_loss().alias("value")), 0.5).withColumnRenamed("at", "mid"))
     on = [F.col("a.lang").eqNullSafe(F.col("b.lang")), F.col("a.whole") == F.col("b.whole")]
-    both = dealt.alias("a").join(mids.alias("b"), on).select("a.lang", "a.whole", "mid", _score(F.col("mid")).alias("value"))
-    tops = both.groupBy("lang", "whole", "mid").agg(F.percentile("value", F.lit(QUANTILE)).alias("top"))
-    return tops.select("lang", "whole", "mid", (F.col("top") + F.log(F.lit(SLACK))).alias("most"))
+    scores = dealt.alias("a").join(F.broadcast(mids.alias("b")), on).select("a.lang", "a.whole", _score(F.col("mid")).alias("value"))
+    tops = _quantile(scores, QUANTILE).alias("a").join(F.broadcast(mids.alias("b")), on)
+    return tops.select("a.lang", "a.whole", "mid", (F.col("at") + F.log(F.lit(SLACK))).alias("most"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
     """(doc_id, *keep, n_tokens, perplexity, score, threshold, kept) of every row of ``docs`` (columns doc_id, lang, text)."""
-    # Ids of the sample are few by construction and are broadcast.
-    trusted = docs.select("doc_id", F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(saved(trusted_ids(labels))), "doc_id")
-    trusted = saved(trusted)
-    model = ngram.model(ngram.count(trusted.filter("not held")))
-    # Languages of a bounded sample are bounded too; (null, true) is there if any text is.
-    bars = F.broadcast(saved(thresholds(ngram.losses(trusted.filter("held"), model, keep=("lang",)))))
+    ids = saved(trusted_ids(labels))
+    near = F.broadcast if ids.count() <= BROADCAST_IDS else lambda some: some
+    texts = docs.select("doc_id", F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang"))
+    model = ngram.model(ngram.count(texts.join(near(ids.filter("not held")), "doc_id", "left_semi")))
+    # A language has its row for MIN_TRUSTED texts that were kept out; (null, true) is there if any text is.
+    bars = F.broadcast(saved(thresholds(ngram.losses(texts.join(near(ids.filter("held")), "doc_id", "left_semi"), model, keep=("lang",)))))
     narrow = docs.select("doc_id", F.col(text_col).alias("_text"), F.struct(F.col("lang").cast("string").alias("lang"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep) if k != text_col]).alias("_row"))
     scored = ngram.losses(narrow, model, text_col="_text", keep=("_row", *["_text"] * (text_col in keep)))
     own, every = bars.filter("not whole"), bars.filter("whole")

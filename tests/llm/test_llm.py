@@ -561,6 +561,39 @@ def test_classifier_verdict(spark):
     assert not got[305]["kept"]
 
 
+def test_classifier_learns_from_all_trusted(spark, monkeypatch):
+    """Every trusted text is counted or sets the thresholds, however many there are, and whichever way their ids are joined."""
+    n = 20_100
+    docs = spark.range(n).selectExpr("id doc_id", "concat('text ', id % 97) text", "'en' lang")
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic")
+    held = {r["doc_id"]: r["held"] for r in quality_kneser_ney.trusted_ids(labels).collect()}
+    assert len(held) == n
+    trained, set_by, count, thresholds = [], [], ngram.count, quality_kneser_ney.thresholds
+    monkeypatch.setattr(ngram, "count", lambda texts: (trained.append(texts.count()), count(texts))[1])
+    monkeypatch.setattr(quality_kneser_ney, "thresholds", lambda scored: (set_by.append(scored.count()), thresholds(scored))[1])
+    first = quality_kneser_ney.classify(docs, labels).orderBy("doc_id").collect()
+    monkeypatch.setattr(quality_kneser_ney, "BROADCAST_IDS", 10)
+    assert quality_kneser_ney.classify(docs, labels).orderBy("doc_id").collect() == first and len(first) == n
+    assert trained == [n - sum(held.values())] * 2 and set_by == [sum(held.values())] * 2
+
+
+def test_classifier_quantiles(spark):
+    """Thresholds by bins against numpy: ties, values in one bin and far apart, a language of few texts, no language."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for lang, values in (("a", rng.gamma(3, 1, 501)), ("b", np.repeat([2.0, 2.5, 7.0], 20)), ("c", rng.normal(3, 1e-5, 64)), (None, rng.uniform(0, 40, 20)), ("few", rng.uniform(1, 2, 19))):
+        rows += [(lang, int(k), float(v * k)) for v, k in zip(values, rng.integers(1, 900, len(values)), strict=True)]
+    rows.append(("a", 0, 0.0))
+    got = {(r["lang"], r["whole"]): (r["mid"], r["most"]) for r in quality_kneser_ney.thresholds(spark.createDataFrame(rows, "lang string, n_tokens long, loss double").repartition(5)).collect()}
+    assert set(got) == {("a", False), ("b", False), ("c", False), (None, False), (None, True)}
+    prior = quality_kneser_ney.PRIOR_TOKENS
+    for (lang, whole), found in got.items():
+        some = [(n, x) for g, n, x in rows if n and (whole or g == lang)]
+        mid = np.median([x / n for n, x in some])
+        top = np.quantile([(x + prior * mid) / (n + prior) for n, x in some], quality_kneser_ney.QUANTILE)
+        assert found == pytest.approx((mid, top + np.log(quality_kneser_ney.SLACK)), rel=1e-12)
+
+
 def test_scoring(spark, odd_docs, docs, labels):
     got = cross_entropy.score_against_trusted(docs, labels).join(labels, "doc_id").toPandas()
     assert got[got["quality"] == 0]["difference"].mean() > got[got["quality"] == 1]["difference"].mean() + 0.5
