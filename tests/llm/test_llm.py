@@ -795,6 +795,18 @@ def test_pipeline_on_odd_rows(spark, odd_docs, labels, tmp_path):
     assert len(kept[kept["doc_id"].isna()]) == 4 and len(kept[kept["doc_id"] == 20]) == 2
 
 
+def test_pipeline_classifier_learns_from_all_trusted(spark, tmp_path):
+    """A language stays whose trusted texts a sample of 20,000 ids would all have left out."""
+    corpus = pytest.importorskip("corpus_pipeline")
+    ids = spark.range(20_400).select(F.col("id").alias("doc_id"))
+    ids.selectExpr("doc_id", "1 quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    late = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id")).collect()[20_000:]]
+    text = F.when(F.col("doc_id").isin(late), F.concat(F.lit("мама мыла раму "), F.col("doc_id") % 9)).otherwise(F.concat(F.lit("plain words "), F.col("doc_id") % 9))
+    docs = ids.select("doc_id", F.repeat(F.concat(text, F.lit(" ")), 20).alias("text"), F.when(F.col("doc_id").isin(late), "ru").otherwise("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    kept = corpus.classify_quality(spark, docs, str(tmp_path)).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in kept} == {"en": 20_000, "ru": 400}
+
+
 def test_page_layouts():
     body = "Some sentences that make up the article, one after the other. " * 4
     pages = {
