@@ -49,6 +49,8 @@ QUERY_TERMS = 24
 #: Neighbours are ranked so many at a time.
 RANKED = 256
 HASHES = 4
+#: Ranges of shards are cut by the sort keys of about so many documents each.
+KEYS_A_RANGE = 100
 K1, B = 1.2, 0.75
 CACHE_WORDS = 600_000
 
@@ -367,21 +369,56 @@ def corpus_of(rows: DataFrame, vocabulary: int) -> tuple[Corpus, int]:
     return Corpus.of(df[:vocabulary], n, total), total + n
 
 
+def sort_keys(sig: np.ndarray, same: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One string of bytes a document, in the order of its numbers."""
+    numbers = np.stack((sig, same, at), axis=1).view(np.uint64) ^ np.uint64(1 << 63)
+    return numbers.astype(">u8").view("S24").ravel()
+
+
+def range_ends(keys: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """The last keys of the first n - 1 of ``n`` ranges of about equal sums of ``sizes``."""
+    order = np.argsort(keys, kind="stable")
+    upto = np.cumsum(sizes[order])
+    places = np.searchsorted(upto, upto[-1] * np.arange(1, n) / n) if len(order) else np.empty(0, np.int64)
+    return keys[order[places]]
+
+
 def sharded(rows: DataFrame, corpus: Corpus, total: int) -> DataFrame:
-    """(doc_id, ids), dealt by range of their signatures and sorted."""
-    shared, kind = rows.sparkSession.sparkContext.broadcast(corpus), id_type(len(corpus.idf))
+    """(doc_id, ids), dealt by range of their signatures and sorted.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The ranges' ends come from the sort keys of some documents, chosen by a hash of their
+    place, so that the signatures of all are made once; they decide how even the ranges
+    are, and every document goes to one.
+    """
+    context = rows.sparkSession.sparkContext
+    shared, kind = context.broadcast(corpus), id_type(len(corpus.idf))
+    numbered = rows.select("doc_id", "ids", F.monotonically_increasing_id().alias("at"))
+    n = max(1, min(MOST_PARTITIONS, -(-total // BLOCK_TOKENS)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 docs = _ids_of(part.column(1), kind)
-                same = np.array([zlib.crc32(d) for d in docs], np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.signatures(docs)), pa.array(same)], names=["doc_id", "ids", "sig", "same"])
+                yield part, docs, shared.value.signatures(docs), np.array([zlib.crc32(d) for d in docs], np.int64)
 
-    routed = rows.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, sig long, same long").withColumn("at", F.monotonically_increasing_id())
-    n = max(1, min(MOST_PARTITIONS, -(-total // BLOCK_TOKENS)))
-    return routed.repartitionByRange(n, "sig", "same", "at").sortWithinPartitions("sig", "same", "at").select("doc_id", "ids")
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, docs, sig, same in keyed(batches):
+            size = pa.array([len(d) + 1 for d in docs], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(same), part.column(2), size], names=["sig", "same", "at", "size"])
+
+    step = max(1, corpus.docs // (KEYS_A_RANGE * n))
+    some = numbered.filter(F.pmod(F.xxhash64("at"), F.lit(step)) == 0).mapInArrow(tidy(measure), "sig long, same long, at long, size long").toArrow() if n > 1 else None
+    ends = range_ends(sort_keys(*[some[k].to_numpy() for k in ("sig", "same", "at")]), some["size"].to_numpy(), n) if some else np.empty(0, "S24")
+    cuts = context.broadcast(ends)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, sig, same in keyed(batches):
+            to = np.searchsorted(cuts.value, sort_keys(sig, same, part.column(2).to_numpy())).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig), pa.array(same), pa.array(to)], names=["doc_id", "ids", "at", "sig", "same", "to"])
+
+    routed = numbered.mapInArrow(tidy(route), "doc_id long, ids binary, at long, sig long, same long, to int")
+    return routed.repartitionById(n, F.col("to")).sortWithinPartitions("sig", "same", "at").select("doc_id", "ids")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,11 +63,23 @@ class PieceCache:
         return self.store.gather(np.array(numbers, np.int64), np.fromiter(map(len, cut), np.int64, len(cut)))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, a place of each, the number of each place's value); np.unique sorts stably, which takes longer."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 class SlicedCache:
     """Parts as slices of bytes, all in arrays, so that only new parts become Python objects.
 
     Parts are found by their hashes and compared by their bytes: a part that hashes like
-    another one is segmented each time, and hashes never decide.
+    another one is segmented each time, and hashes never decide.  When more than ``most``
+    are remembered, those that were not met again since the last time are forgotten.
     """
 
     def __init__(self, segment: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
@@ -78,8 +90,23 @@ class SlicedCache:
         self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.raw, self.used = np.empty(1 << 16, np.uint8), 0
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.again = np.zeros(0, bool)
         self.store = PieceStore()
 
+    def _forget(self) -> None:
+        """Keep the parts met again, at most half of ``most``."""
+        met = np.flatnonzero(self.again[self.numbers])[: self.most // 2]
+        hashes, old = self.hashes[met], self.numbers[met]
+        ids, ends = self.store.gather(old, np.ones(len(old), np.int64))
+        starts, sizes, raw = self.starts[old], self.sizes[old], self.raw
+        self.clear()
+        self.hashes, self.numbers = hashes, np.arange(len(old))
+        self.starts, self.sizes, self.again = np.cumsum(sizes) - sizes, sizes, np.zeros(len(old), bool)
+        self.used = int(sizes.sum())
+        kept = raw[np.repeat(starts - self.starts, sizes) + np.arange(self.used)]
+        self.raw = np.concatenate((kept, np.empty(1 << 16, np.uint8)))
+        self.store.add(ids, np.diff(ends))
+
     def _add(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Numbers of new parts."""
         parts = [data[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
@@ -91,19 +118,21 @@ class SlicedCache:
         self.raw[self.used : self.used + len(joined)] = joined
         self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
+        self.again = np.concatenate((self.again, np.zeros(len(sizes), bool)))
         self.used += len(joined)
         return first + np.arange(len(parts))
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.store.n > self.most:
-            self.clear()
+            self._forget()
         size = ends - starts
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, inverse = _distinct(hashes)
         at = np.searchsorted(self.hashes, distinct)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == distinct[known]
         numbers = np.zeros(len(distinct), np.int64)
         numbers[known] = self.numbers[at[known]]
+        self.again[numbers[known]] = True
         raw = data.tobytes()
         new = first[~known]
         if len(new):

@@ -228,6 +228,44 @@ def test_tokens_do_not_rest_on_hashes(monkeypatch):
     assert [x.tolist() for x in packing.tokens(tokenizer_path("word_bpe_49k.json")).encode(texts)] == [want(t) for t in texts]
 
 
+@pytest.mark.parametrize("same_hashes", [False, True])
+def test_tokens_after_forgetting(monkeypatch, same_hashes):
+    """Ids stay right while parts are forgotten, and parts that come again are not tokenized again."""
+    path = tokenizer_path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE_WORDS", 100)
+    coder = packing.Tokens(path)
+    if same_hashes:
+        monkeypatch.setattr(packing, "word_hashes", lambda data, starts, ends: data[starts].astype(np.uint64) * np.uint64(64) + (ends - starts).astype(np.uint64) % np.uint64(3))
+    asked, segment = Counter(), coder.latin.segment
+    coder.latin.segment = lambda parts: (asked.update(parts), segment(parts))[1]
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmé", k=rng.randint(1, 30)))
+    common = [word() + "zz" for _ in range(20)]
+    for _ in range(30):
+        texts = [" ".join([*(word() for _ in range(10)), *common]) for _ in range(3)]
+        assert [x.tolist() for x in coder.encode(texts)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert same_hashes or max(asked[w.encode("latin-1")] for w in common) == 1
+
+
+def test_packing_ranges(spark, docs):
+    """Ranges follow the order of the numbers, split ties, and hold about as many tokens each."""
+    rng = np.random.default_rng(3)
+    sig, same, at = rng.integers(-(1 << 62), 1 << 62, 400), rng.integers(0, 3, 400), rng.permutation(400)
+    sig[:200] = 7
+    keys, sizes = packing.sort_keys(sig, same, at), rng.integers(1, 50, 400)
+    assert np.argsort(keys).tolist() == np.lexsort((at, same, sig)).tolist()
+    ends = packing.range_ends(keys, sizes, 8)
+    assert len(ends) == 7 and (np.bincount(np.searchsorted(ends, keys), weights=sizes, minlength=8) < sizes.sum() / 8 + 50).all()
+    assert len(packing.range_ends(keys[:0], sizes[:0], 8)) == 0
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = packing.saved(packing.coded(docs.crossJoin(spark.range(20)), path))
+    corpus, total = packing.corpus_of(rows, packing.tokens(path).tokenizer.get_vocab_size())
+    dealt = packing.sharded(rows, corpus, total).groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("ids") / 2 + 1).alias("n"), F.count(F.lit(1)).alias("c")).collect()
+    shards = -(-total // packing.BLOCK_TOKENS)
+    assert sum(r["c"] for r in dealt) == corpus.docs == 20 * docs.count() and len(dealt) == shards > 1
+    assert sum(r["n"] for r in dealt) == total and max(r["n"] for r in dealt) < 2 * total / shards
+
+
 def test_tokens_of_all_latin_characters():
     coder = packing.tokens(tokenizer_path("word_bpe_49k.json"))
     random.seed(3)
