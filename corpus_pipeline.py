@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all documents that its predeces
 kept, and returns a DataFrame that is written as Parquet and read back as the next
 one's docs.  The first four return the columns of documents:
 
-1. quality classifier: documents whose perplexity under the trusted-text model is too high go;
+1. quality classifier: documents whose perplexity under the model of all trusted texts is too high go;
 2. quality rules: documents that fail the base rules or the adaptive thresholds go;
 3. near-duplicates: one document of each class stays;
 4. secret scan: secrets are blanked out of the texts;
@@ -39,7 +39,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_kneser_ney.classify(docs.select(*COLUMNS), labels, keep=COLUMNS)
+    scored = quality_kneser_ney.classify(docs.select(*COLUMNS), labels, keep=COLUMNS, crossed=True)
     return scored.filter("kept").select(*COLUMNS)
 
 

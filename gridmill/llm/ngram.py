@@ -147,6 +147,11 @@ class Model:
     weight: float
     even: float
 
+    @property
+    def empty(self) -> bool:
+        """Whether it has seen no character."""
+        return self.even == 1.0
+
 
 def model(counts: DataFrame) -> Model:
     """The model of (gram, n).  Without counts every character has probability 1."""
