@@ -4,6 +4,9 @@ A token is a Unicode character, whatever its script; before a text stand ORDER -
 characters that no text has.  Counts are added up by n-gram, continuation counts,
 discounts and back-off weights come from joins of counts with the sums of their
 contexts, and the model is a table of (n-gram, discounted share, back-off weight).
+Texts may be dealt into groups; ``count`` then also counts each n-gram without each
+group, and one table has the models of all texts and of those without a group, so
+that they are made by as many Spark stages as one model.
 
 Documents are scored by shards (``shardjoin``): each block of texts asks for its
 distinct n-grams of all orders, the shards join them with the model, and the
@@ -107,8 +110,8 @@ def gram_keys(symbols: list[np.ndarray]) -> np.ndarray:
     return shardjoin.as_keys(key)
 
 
-def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) of the ORDER-grams of all texts, as strings."""
+def count(docs: DataFrame, text_col: str = "text", group_col: str | None = None, groups: int = 0) -> DataFrame:
+    """(gram, n) of the ORDER-grams of all texts, as strings; with groups 0 to ``groups`` - 1 also without_0, ..., the counts without the texts of each."""
     unit = shardjoin.UNIT // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,66 +123,83 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
             at = g.where[-1][n > 0]
             n = n[n > 0]
             letters = np.stack([g.symbols[at - j] for j in range(ORDER - 1, -1, -1)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+            group = shardjoin.group_of(table)
             for a in range(0, len(n), 50_000):
                 names = [letters[ORDER * i : ORDER * (i + 1)] for i in range(a, min(len(n), a + 50_000))]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n[a : a + 50_000])], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n[a : a + 50_000]), pa.array([group] * len(names), pa.int32())], names=["gram", "n", "part"])
 
-    narrow = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(tidy(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    narrow = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), *shardjoin.grouped(group_col))
+    others = [F.sum(F.when(F.col("part") != i, F.col("n")).otherwise(0)).alias(f"without_{i}") for i in range(groups)]
+    return narrow.mapInArrow(tidy(run), "gram string, n long, part int").groupBy("gram").agg(F.sum("n").alias("n"), *others)
 
 
-def _discounts(level: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of Chen and Goodman from counts of counts; plain ones where too few n-grams tell."""
-    row = level.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (row[f"n{k}"] or 0 for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True))
+def _discounts(level: DataFrame, columns: list[str]) -> list[tuple[float, float, float]]:
+    """The three discounts of Chen and Goodman from counts of counts, for each column; plain ones where too few n-grams tell."""
+    row = level.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in columns for k in (1, 2, 3, 4)]).first()
+    out = []
+    for c in columns:
+        n1, n2, n3, n4 = (row[f"{c}_{k}"] or 0 for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3 and n4):
+            out.append((0.5, 0.75, 0.9))
+            continue
+        y = n1 / (n1 + 2 * n2)
+        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        out.append(tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True)))
+    return out
 
 
 @dataclass
 class Model:
-    """``table`` has (gram, share, weight): an n-gram's discounted share under its context, and its weight as a context; the rest is for no context."""
+    """``table`` has gram and, for each of ``names``, share_ and weight_: an n-gram's discounted share under its context, and its weight as a context (null: not seen); the rest is for no context, by name."""
 
     table: DataFrame
-    weight: float
-    even: float
+    names: list[str]
+    weight: list[float]
+    even: list[float]
+
+    def of(self, *names: str) -> Model:
+        """The models of these names only."""
+        at = [self.names.index(n) for n in names]
+        return Model(self.table, list(names), [self.weight[i] for i in at], [self.even[i] for i in at])
 
     @property
-    def empty(self) -> bool:
-        """Whether it has seen no character."""
-        return self.even == 1.0
+    def empty(self) -> list[bool]:
+        """Whether each has seen no character."""
+        return [e == 1.0 for e in self.even]
 
 
 def model(counts: DataFrame) -> Model:
-    """The model of (gram, n).  Without counts every character has probability 1."""
+    """The models of (gram, n, ...), one for each column of counts.  Without counts every character has probability 1."""
     level = saved(counts)
+    columns = [c for c in counts.columns if c != "gram"]
     parts: list[DataFrame] = []
-    weight = even = 1.0
+    weight, even = [1.0] * len(columns), [1.0] * len(columns)
+    none = F.lit(None).cast("double")
     for k in range(ORDER, 0, -1):
-        d1, d2, d3 = _discounts(level)
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        cuts = dict(zip(columns, _discounts(level, columns), strict=True))
+        discount = {c: F.when(F.col(c) == 1, d1).when(F.col(c) == 2, d2).otherwise(d3) for c, (d1, d2, d3) in cuts.items()}
         # Whole numbers are summed, so that the model does not depend on the order of rows.
-        ones, twos, more = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)
+        cut = {c: d1 * F.count_if(F.col(c) == 1) + d2 * F.count_if(F.col(c) == 2) + d3 * F.count_if(F.col(c) > 2) for c, (d1, d2, d3) in cuts.items()}
         shard = level.withColumn("context", F.substring("gram", 1, k - 1))
-        sums = shard.groupBy("context").agg(F.sum("n").alias("total"), (d1 * ones + d2 * twos + d3 * more).alias("cut"))
-        share = shard.join(sums, "context").select("gram", ((F.col("n") - discount) / F.col("total")).alias("share"), F.lit(None).cast("double").alias("weight"))
+        sums = shard.groupBy("context").agg(*[x for c in columns for x in (F.sum(c).alias(f"total_{c}"), cut[c].alias(f"cut_{c}"))])
+        share = shard.join(sums, "context").select("gram", *[x for c in columns for x in (F.when(F.col(c) > 0, (F.col(c) - discount[c]) / F.col(f"total_{c}")).alias(f"share_{c}"), none.alias(f"weight_{c}"))])
         parts.append(share)
         if k > 1:
-            parts.append(sums.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("share"), (F.col("cut") / F.col("total")).alias("weight")))
-            level = saved(level.groupBy(F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+            parts.append(sums.select(F.col("context").alias("gram"), *[x for c in columns for x in (none.alias(f"share_{c}"), F.when(F.col(f"total_{c}") > 0, F.col(f"cut_{c}") / F.col(f"total_{c}")).alias(f"weight_{c}"))]))
+            level = saved(level.groupBy(F.substring("gram", 2, k - 1).alias("gram")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in columns]))
         elif row := sums.first():
-            weight, even = row["cut"] / row["total"], 1 / (1 + level.count())
+            seen = level.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in columns]).first()
+            weight = [row[f"cut_{c}"] / row[f"total_{c}"] if seen[c] else 1.0 for c in columns]
+            even = [1 / (1 + seen[c]) for c in columns]
     table = parts[0]
     for p in parts[1:]:
         table = table.unionByName(p)
-    return Model(saved(table.groupBy("gram").agg(F.max("share").alias("share"), F.max("weight").alias("weight"))), weight, even)
+    return Model(saved(table.groupBy("gram").agg(*[F.max(f"{x}_{c}").alias(f"{x}_{c}") for c in columns for x in ("share", "weight")])), columns, weight, even)
 
 
 def _shards_of(model: Model, shards: int) -> DataFrame:
-    """(shard, keys, share, weight): the model's rows as packed arrays, in the order of keys."""
+    """(shard, keys, share, weight): the models' rows as packed arrays, in the order of keys; shares and weights of one model after the other's."""
+    many = len(model.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,16 +212,16 @@ def _shards_of(model: Model, shards: int) -> DataFrame:
                 keys[at] = gram_keys(list(points.T))
             order = np.argsort(keys)
             keys = keys[order]
-            values = [batch.column(i).to_numpy(zero_copy_only=False)[order].astype(np.float32) for i in (1, 2)]
+            values = [np.stack([batch.column(1 + at + i).to_numpy(zero_copy_only=False)[order].astype(np.float32) for i in range(many)]) for at in (0, many)]
             values = [np.where(np.isnan(v), np.float32(d), v) for v, d in zip(values, (0, 1), strict=True)]
             cuts = np.searchsorted(shardjoin.shard_of(keys, shards), np.arange(shards + 1))
             for s in range(shards):
                 a, b = int(cuts[s]), int(cuts[s + 1])
                 if a < b:
-                    row = [pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in (shardjoin.packed_keys(keys[a:b]), *(v[a:b].tobytes() for v in values)))]
+                    row = [pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in (shardjoin.packed_keys(keys[a:b]), *(v[:, a:b].tobytes() for v in values)))]
                     yield pa.RecordBatch.from_arrays(row, names=["shard", "keys", "share", "weight"])
 
-    return model.table.select("gram", "share", "weight").mapInArrow(tidy(run), "shard int, keys binary, share binary, weight binary")
+    return model.table.select("gram", *[f"{x}_{c}" for x in ("share", "weight") for c in model.names]).mapInArrow(tidy(run), "shard int, keys binary, share binary, weight binary")
 
 
 def _keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int], Grams]:
@@ -209,14 +229,17 @@ def _keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[in
     return *grams.keys(), grams
 
 
-def losses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_tokens, loss): the summed negative log-likelihood in nats of each whole text."""
-    docs = shardjoin.stable(docs)
+def losses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), group_col: str | None = None, ordered: bool = False) -> DataFrame:
+    """(doc_id, *keep, n_tokens, loss): the summed negative log-likelihood in nats of each whole text under the first model, or the one whose place is the text's group.
+
+    ``ordered``: ``docs`` come in one order whenever they are read.
+    """
+    docs = docs if ordered else shardjoin.stable(docs)
     shards = shardjoin.shard_number(docs, text_col)
-    asked = shardjoin.ask(docs, _keys_of, shards, True, id_col, text_col, PARTS).select("shard", "block", "keys", *[F.lit(None).cast("binary").alias(c) for c in ("share", "weight")])
+    asked = shardjoin.ask(docs, _keys_of, shards, True, id_col, text_col, PARTS, group_col).select("shard", "block", "keys", *[F.lit(None).cast("binary").alias(c) for c in ("share", "weight")])
     known = _shards_of(model, shards).withColumn("block", F.lit(None).cast("binary"))
     dealt = asked.unionByName(known).repartition(shardjoin.partitions(shards), "shard").sortWithinPartitions("shard", "block")
-    weight, even = model.weight, model.even
+    many, start = len(model.names), np.array([w * e for w, e in zip(model.weight, model.even, strict=True)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in shardjoin.runs(batches, "shard"):
@@ -224,7 +247,7 @@ def losses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             keys = np.concatenate([np.array([1 << 63], np.uint64), *(shardjoin.unpacked_keys(r["keys"]) for r in mine)])
             order = np.argsort(keys)
             keys = keys[order]
-            values = [np.concatenate([np.array([d], np.float32), *(np.frombuffer(r[c], np.float32) for r in mine)])[order] for c, d in (("share", 0), ("weight", 1))]
+            values = [np.concatenate([np.full((many, 1), d, np.float32), *(np.frombuffer(r[c], np.float32).reshape(many, -1) for r in mine)], axis=1)[:, order] for c, d in (("share", 0), ("weight", 1))]
             seen = None
             for r in rows:
                 if r["block"] is not None and r["block"] != seen:
@@ -232,12 +255,13 @@ def losses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     wanted = shardjoin.unpacked_keys(r["keys"])
                     at = np.searchsorted(keys, wanted)
                     hit = keys[at] == wanted
-                    found = [np.where(hit, v[at], np.float32(d)).view(np.uint32) for v, d in zip(values, (0, 1), strict=True)]
+                    own = seen[0] if group_col else 0
+                    found = [np.where(hit, v[own][at], np.float32(d)).view(np.uint32) for v, d in zip(values, (0, 1), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([r["shard"]], pa.int32()), *(pa.array([x], pa.binary()) for x in (seen, *map(shardjoin.narrowed, found)))], names=["shard", "block", "v0", "v1"])
 
-    def finish(grams: Grams, ranks: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
+    def finish(grams: Grams, ranks: list[np.ndarray], found: list[np.ndarray], group: int = 0) -> list[np.ndarray]:
         share, back = (x.astype(np.uint32).view(np.float32).astype(np.float64) for x in found)
-        p = share[ranks[0]] + weight * even
+        p = share[ranks[0]] + start[group]
         for k in range(1, ORDER):
             at = grams.where[k]
             p = share[ranks[k]] + back[ranks[k - 1]][grams.ids[k - 1][np.maximum(at - 1, 0)]] * p[grams.ids[k - 1][at]]
@@ -245,4 +269,4 @@ def losses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return [grams.ends - grams.starts, sums[grams.ends] - sums[grams.starts]]
 
     answers = dealt.mapInArrow(tidy(answer), "shard int, block binary, v0 binary, v1 binary")
-    return shardjoin.meet(docs, answers, _keys_of, finish, [None, None], ["n_tokens", "loss"], shards, id_col, text_col, keep, PARTS)
+    return shardjoin.meet(docs, answers, _keys_of, finish, [None, None], ["n_tokens", "loss"], shards, id_col, text_col, keep, PARTS, group_col)

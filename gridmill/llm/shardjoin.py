@@ -8,7 +8,8 @@ occurrence is looked up where it stands.  What is shuffled are distinct n-grams
 of blocks and compressed texts, not occurrences; a hot n-gram comes once a block
 and a hot context has its n-grams in all shards.
 
-A block is known by a hash of its texts.  Both passes read the documents in one
+A block is known by a hash of its texts.  Rows may have a group (a number under 256):
+a block then holds rows of one group, and its name begins with it.  Both passes read the documents in one
 order: files are scanned twice, and anything else is written to the shared
 folder first (``stable``).  A block whose answers are incomplete raises an error.
 
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm.shared import saved
@@ -35,6 +36,8 @@ UNIT = 8 << 20
 KEY_BITS = 56
 MOST_PARTITIONS = 20_000
 ANSWER, TEXTS = 0, 1
+#: The column of a row's group, where rows have one.
+GROUP = "group"
 
 #: From a block's bytes and offsets: keys, where their parts end, and what ``finish`` needs besides.
 Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[int], object]]
@@ -90,11 +93,28 @@ def as_keys(hashes: np.ndarray) -> np.ndarray:
     return np.maximum(hashes >> np.uint64(64 - KEY_BITS), np.uint64(1))
 
 
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut where the group changes."""
+    for batch in batches:
+        ends = [batch.num_rows]
+        if GROUP in batch.schema.names:
+            ends = [*(np.flatnonzero(np.diff(batch.column(GROUP).to_numpy(zero_copy_only=False))) + 1).tolist(), *ends]
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield batch.slice(a, b - a)
+
+
+def group_of(rows: pa.RecordBatch | pa.Table) -> int | None:
+    return rows.column(GROUP)[0].as_py() if GROUP in rows.schema.names else None
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
-    """Rows (doc_id, text) in tables of about ``most_bytes`` of text, or one row."""
+    """Rows (doc_id, text) in tables of about ``most_bytes`` of text, or one row, and of one group."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
+    for batch in _by_group(batches):
+        if held and batch.num_rows and group_of(batch) != group_of(held[0]):
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
         _, offsets = utf8_buffers(batch.column(1))
         at = 0
         while at < batch.num_rows:
@@ -114,10 +134,15 @@ def block_name(table: pa.Table) -> bytes:
     data, offsets = utf8_buffers(table.column(1))
     digest = hashlib.blake2b(np.diff(offsets).tobytes(), digest_size=16)
     digest.update(data)
-    return digest.digest()
+    group = group_of(table)
+    return (b"" if group is None else bytes([group])) + digest.digest()
+
+
+def grouped(group_col: str | None) -> list[Column]:
+    return [F.col(group_col).cast("int").alias(GROUP)] if group_col else []
 
 
-def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
+def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str = "doc_id", text_col: str = "text", parts: int = 1, group_col: str | None = None) -> DataFrame:
     """(shard, block, keys, counts): the distinct keys of each block by shard and how often each occurs; block is null unless ``named``.  Blocks hold the ``parts``-th part of a unit."""
     unit = UNIT // parts
 
@@ -136,7 +161,7 @@ def ask(docs: DataFrame, keys_of: Keys, shards: int, named: bool, id_col: str =
                     row = [[s], [name], [packed_keys(keys[a:b])], [narrowed(times[a:b])]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "keys", "counts"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *grouped(group_col))
     return narrow.mapInArrow(tidy(run), "shard int, block binary, keys binary, counts binary")
 
 
@@ -154,16 +179,16 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]
         yield held
 
 
-def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[object, list[np.ndarray], list[np.ndarray]], list[np.ndarray]], kinds: list[str], names: list[str],
-         shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
-    """(*keep, doc_id, *names) of every row: ``finish`` gets what ``keys_of`` hands on, its parts as ranks of keys (key 0 is the first), and the answers by rank.
+def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[..., list[np.ndarray]], kinds: list[str], names: list[str],
+         shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), parts: int = 1, group_col: str | None = None) -> DataFrame:
+    """(*keep, doc_id, *names) of every row: ``finish`` gets what ``keys_of`` hands on, its parts as ranks of keys (key 0 is the first), the answers by rank, and with groups the block's.
 
     ``answers`` has (shard, block, values...): one array of ``kinds`` (numpy types, None for ``narrowed`` whole numbers) each, in the order of the block's keys.
     """
     # The text itself travels once, whether it is kept or not.
     rest = [k for k in keep if k != text_col]
     fields = ["doc_id", *rest, *([text_col] if text_col in keep else [])]
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("doc_id"), *[F.col(f"`{k}`") for k in rest]).alias("row"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("doc_id"), *[F.col(f"`{k}`") for k in rest]).alias("row"), *grouped(group_col))
     kept_types = [(f.name, f.dataType.simpleString()) for f in docs.schema["row"].dataType.fields] + [(text_col, "string")] * (text_col in keep)
     values, unit = [f"v{i}" for i in range(len(kinds))], UNIT // parts
 
@@ -171,8 +196,9 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[o
         for table in text_blocks(batches, unit):
             name = block_name(table)
             sink = pa.BufferOutputStream()
+            table = table.select(["doc_id", "text", "row"])
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table.select(["doc_id", "text", "row"]))
+                out.write_table(table)
             columns = [pa.array([TEXTS], pa.int32()), pa.array([0], pa.int32()), pa.array([name], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(1, pa.binary()) for _ in values]], names=["kind", "shard", "block", "texts", *values])
 
@@ -199,7 +225,7 @@ def meet(docs: DataFrame, answers: DataFrame, keys_of: Keys, finish: Callable[[o
                 if len(keys) + 1 != len(found[0]):
                     raise RuntimeError("the documents were read in another order the second time: write them before scoring")
                 del keys
-                results = finish(state, np.split(rank, cuts), found)
+                results = finish(state, np.split(rank, cuts), found, *([r["block"][0]] if group_col else []))
                 del rank, state
                 rows_of = table.column("row").combine_chunks()
                 out = [rows_of.field(k) for k in range(1 + len(rest))] + [table.column("text").combine_chunks()] * (len(fields) - 1 - len(rest))
